@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import BLOCK, SEED, SLOTS, mix_order
 from .packing import pack
+from .paragraph_sketch import fingerprints
 from .records import token_records
 from .secrets import find_secrets, report
 from .shared import table
@@ -27,6 +29,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_order(table(spark, sf_dir, "documents"), slots=SLOTS, block=BLOCK, seed=SEED)
+    return mixed.select("doc_id", "source", *[c for c in mixed.columns if c.startswith("mix_")])
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
