@@ -136,7 +136,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keep = [F.col(c) for c in ("bucket", "place")]
     sides = [F.expr(f"transform(k{side}, x -> named_struct('pair', {pair}, 'mine', {str(side == 0).lower()}, 'k', x, 'g', pmod(xxhash64(x, 7L), groups{pair})))") for pair, side in ((1, 0), (1, 1), (2, 0), (2, 2))]
     head = F.array(F.struct(F.lit(0).alias("pair"), F.lit(True).alias("mine"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("g")))
-    about = F.struct("doc_id", "n_chars", "edited_sha256", F.expr(fingerprint_sql("k0")).alias("fingerprint"), F.expr(fingerprint_sql("k1")).alias("edited_fingerprint"))
+    about = F.expr(f"named_struct('doc_id', doc_id, 'n_chars', n_chars, 'edited_sha256', edited_sha256, 'fingerprint', {fingerprint_sql('k0')}, 'edited_fingerprint', {fingerprint_sql('k1')})")
     spread = rows.select(*keep, about.alias("about"), F.explode(F.concat(head, *sides)).alias("x")).select(*keep, F.when(F.col("x.pair") == 0, F.col("about")).alias("about"), "x.pair", "x.g", "x.mine", "x.k")
     keys = lambda mine: F.collect_list(F.when((F.col("pair") > 0) & (F.col("mine") == mine), F.col("k")))
     met = spread.groupBy("bucket", "place", "pair", "g").agg(F.first("about", ignorenulls=True).alias("about"), keys(True).alias("a"), keys(False).alias("b"))

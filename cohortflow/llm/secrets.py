@@ -245,9 +245,13 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _is(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def report(found: DataFrame) -> DataFrame:
     """Counts and digests of find_secrets' rows."""
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts[:3], F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), *counts[3:])

@@ -31,6 +31,28 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables of one run in the shared folder, which cut lineage and survive lost executors; drop what is no longer read."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.count = spark, shared_dir(spark, name), 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of df, run once and read back; keeping under a name again replaces what is read, not what was written before."""
+        self.count += 1
+        path = f"{self.root}/{name}-{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete all tables kept under these names."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in store.listStatus(at):
+            if found.getPath().getName().rpartition("-")[0] in names:
+                store.delete(found.getPath(), True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

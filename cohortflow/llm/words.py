@@ -23,6 +23,8 @@ def plain_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one large_string array without nulls."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if column.offset:  # some of Arrow's string functions misread a cast array that starts within its buffers
+        column = column.take(pa.array(np.arange(len(column))))
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
