@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import near_vectors
 from .minhash import near_duplicates
 from .mixing import BLOCK, SEED, SLOTS, mix_order
 from .packing import pack
@@ -34,6 +35,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=24, rows=6)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_order(table(spark, sf_dir, "documents"), slots=SLOTS, block=BLOCK, seed=SEED)
     return mixed.select("doc_id", "source", *[c for c in mixed.columns if c.startswith("mix_")])
