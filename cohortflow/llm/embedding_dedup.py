@@ -136,11 +136,8 @@ def _compare(least: float, tables: int, hashes: int, probes: int):
                 if not len(x):
                     break
         links = np.bincount(x, weight[y], n) + np.bincount(y, weight[x], n)
-        tree = np.arange(n)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        by = order[np.arange(n)]
-        tree = rank.copy()
+        tree = np.empty(n, np.int64)
+        tree[order] = np.arange(n)
         while len(x):
             before = tree.copy()
             np.minimum.at(tree, x, before[y])
@@ -148,7 +145,7 @@ def _compare(least: float, tables: int, hashes: int, probes: int):
             if (tree == before).all():
                 break
         some = np.flatnonzero(links > 0)
-        return pa.table({"vec": pa.array(vec[some], pa.int64()), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(vec[by[tree[some]]], pa.int64())})
+        return pa.table({"vec": pa.array(vec[some], pa.int64()), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(vec[order[tree[some]]], pa.int64())})
 
     return run
 

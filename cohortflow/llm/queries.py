@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import near_vectors
+from .language_model import score_texts
 from .minhash import near_duplicates
 from .mixing import BLOCK, SEED, SLOTS, mix_order
 from .packing import pack
@@ -23,6 +24,10 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
