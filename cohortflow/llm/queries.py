@@ -13,6 +13,7 @@ from .minhash import near_duplicates
 from .mixing import BLOCK, SEED, SLOTS, mix_order
 from .packing import pack
 from .paragraph_sketch import fingerprints
+from .quality import quality
 from .records import token_records
 from .secrets import find_secrets, report
 from .shared import table
@@ -25,6 +26,10 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
