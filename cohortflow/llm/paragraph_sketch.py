@@ -9,8 +9,7 @@ sketch was too small, and the pair is sketched again with more cells.
 
 Pairs of long texts are first dealt into groups by digest, so that a sketch has a bounded number of
 digests to peel and the work grows in proportion to the text. Only SQL functions are used. The
-texts are shuffled once, by ranges of doc_id, to meet the next text; all later grouping keeps that
-partitioning.
+texts are shuffled once, by ranges of doc_id, to meet the next text; afterwards only digests are, once.
 """
 
 from __future__ import annotations
@@ -21,10 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import Scratch
+
 LONG = 256  # a paragraph over this many characters is cut at sentence ends
 PIECE = 128  # after at least this many
-GROUP = 6  # digests a group, on average
-CELLS = (8, 32, 256)  # cells a table, at the first try and at each retry
+GROUP = 16  # digests of a side in a group, on average
+TRIES = ((2, 100), (8, 200), (64, 300))  # cells of each table for a digest, and seed, at the first try and at each retry
 PRINT_CELLS = 4  # cells a table of the fingerprint itself
 ROUNDS = 12
 BUCKET_ROWS = 2000
@@ -39,6 +40,11 @@ def digests(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(parts, one)))
 
 
+def places_sql(key: str, cells: str, seed: str) -> str:
+    """A digest's cell in each of the three tables, numbered through."""
+    return "array(" + ", ".join(f"pmod(xxhash64({key}, {seed} + {j}L), {cells}) + {j}L * {cells}" for j in range(3)) + ")"
+
+
 def entries_sql(keys: str, cells: int) -> str:
     """keys with their check hash and their cell in each of the three tables."""
     places = ", ".join(f"pmod(xxhash64(x, {10 * cells + j}L), {cells}L) + {j * cells}L" for j in range(3))
@@ -52,28 +58,18 @@ def sketch_sql(entries: str, cells: int) -> str:
     return f"transform(sequence(0, {3 * cells - 1}), i -> aggregate(filter({entries}, e -> e.p[i div {cells}] = i), {none}, (a, e) -> {add}))"
 
 
-def difference_sql(mine: str, other: str, cells: int) -> str:
-    """Peels the difference of the sketches of two digest arrays: struct of rest (cells not empty at the end),
-    and of mine and other, the characters in paragraphs that only that side has."""
+def peel_sql(cells: str, size: str, seed: str) -> str:
+    """Peels an array of the cells (c, n, k, h) of a difference of which the empty ones are left out: struct of rest
+    (cells that are not empty at the end), and of mine and other, the characters in paragraphs that only that side has."""
     let = lambda name, value, then: f"transform(array({value}), {name} -> {then})[0]"
-    places = ", ".join(f"pmod(xxhash64(c.k, {10 * cells + j}L), {cells}L) + {j * cells}L" for j in range(3))
-    pure = f"array_distinct(transform(filter(acc.cells, c -> (c.n = 1L or c.n = -1L) and c.h = xxhash64(c.k, -1L)), c -> named_struct('n', c.n, 'k', c.k, 'h', c.h, 'p', array({places}))))"
-    take = f"transform(acc.cells, (c, i) -> aggregate(filter(found, e -> e.p[i div {cells}] = i), c, (a, e) -> named_struct('n', a.n - e.n, 'k', a.k ^ e.k, 'h', a.h ^ e.h)))"
+    pure = f"array_distinct(transform(filter(acc.cells, c -> (c.n = 1L or c.n = -1L) and c.h = xxhash64(c.k, -1L)), c -> named_struct('n', c.n, 'k', c.k, 'h', c.h, 'p', {places_sql('c.k', size, seed)})))"
+    take = "filter(transform(acc.cells, c -> aggregate(filter(found, e -> array_contains(e.p, c.c)), c, (a, e) -> named_struct('c', a.c, 'n', a.n - e.n, 'k', a.k ^ e.k, 'h', a.h ^ e.h))), c -> c.n <> 0L or c.k <> 0L or c.h <> 0L)"
     chars = lambda sign: f"aggregate(filter(found, e -> e.n = {sign}L), 0L, (a, e) -> a + (e.k & {LENGTHS}L))"
-    step = f"if(acc.over, acc, {let('found', pure, f"if(size(found) = 0, named_struct('over', true, 'cells', acc.cells, 'mine', acc.mine, 'other', acc.other), named_struct('over', false, 'cells', {take}, 'mine', acc.mine + {chars(1)}, 'other', acc.other + {chars(-1)}))")})"
-    minus = f"zip_with({sketch_sql(entries_sql(mine, cells), cells)}, {sketch_sql(entries_sql(other, cells), cells)}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'h', a.h ^ b.h))"
-    start = f"named_struct('over', false, 'cells', {minus}, 'mine', 0L, 'other', 0L)"
-    end = "named_struct('rest', size(filter(acc.cells, c -> c.n <> 0L or c.k <> 0L or c.h <> 0L)), 'mine', acc.mine, 'other', acc.other)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (acc, r) -> {step}, acc -> {end})"
-
-
-def retried_sql(mine: str, other: str) -> str:
-    """The difference at the first size whose peeling empties every cell."""
-    *first, last = CELLS
-    out = difference_sql(mine, other, last)
-    for cells in reversed(first):
-        out = f"transform(array({difference_sql(mine, other, cells)}), d -> if(d.rest = 0, d, {out}))[0]"
-    return out
+    next_round = f"named_struct('over', false, 'cells', {take}, 'mine', acc.mine + {chars(1)}, 'other', acc.other + {chars(-1)})"
+    stop = "named_struct('over', true, 'cells', acc.cells, 'mine', acc.mine, 'other', acc.other)"
+    step = f"if(acc.over or size(acc.cells) = 0, acc, {let('found', pure, f'if(size(found) = 0, {stop}, {next_round})')})"
+    start = f"named_struct('over', false, 'cells', {cells}, 'mine', 0L, 'other', 0L)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (acc, r) -> {step}, acc -> named_struct('rest', size(acc.cells), 'mine', acc.mine, 'other', acc.other))"
 
 
 def fingerprint_sql(keys: str) -> str:
@@ -117,30 +113,49 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"next_text": F.lead("text").over(order), "place": F.row_number().over(order)}).where("guest = 0").select("bucket", "place", "doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
 
 
+def differences(keyed: DataFrame, load: int, seed: int) -> DataFrame:
+    """row, pair (1: the edited text, 2: the next text), rest, mine, other, from keyed (row, k0, k1, k2), by sketches whose
+    tables have ``load`` cells for each digest of a group, on average. Both sides' digests go into the cells of one group, the
+    other side's with a negative count, which is the difference of their sketches."""
+    sides = [f"transform(k{side}, x -> named_struct('pair', {pair}, 's', {1 if side == 0 else -1}L, 'k', x, 'g', pmod(xxhash64(x, 7L), greatest(1L, (size(k0) + size(k{pair})) div {2 * GROUP}))))" for pair, side in ((1, 0), (1, 1), (2, 0), (2, 2))]
+    spread = keyed.repartition("row").select("row", F.explode(F.expr(f"concat({', '.join(sides)})")).alias("x")).select("row", "x.pair", "x.s", "x.k", "x.g")
+    cells = 2 * GROUP * load
+    put = spread.withColumn("c", F.explode(F.expr(places_sql("k", f"{cells}L", f"{seed}L")))).groupBy("row", "pair", "g", "c")
+    left = put.agg(F.sum("s").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor(F.xxhash64("k", F.lit(-1).cast("long"))).alias("h")).where("n <> 0 or k <> 0 or h <> 0")
+    met = left.groupBy("row", "pair", "g").agg(F.collect_list(F.struct("c", "n", "k", "h")).alias("cells"))
+    peeled = met.select("row", "pair", F.expr(peel_sql("cells", f"{cells}L", f"{seed}L")).alias("d"))
+    return peeled.groupBy("row", "pair").agg(F.sum("d.rest").alias("rest"), F.sum("d.mine").alias("mine"), F.sum("d.other").alias("other"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint of every text and of its edited form, with likenesses recovered by peeling.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next text.
     Likeness of two texts: the share of their characters, paragraph marks aside, that lies in paragraphs which both have; 1 for
-    two texts without any. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    two texts without any. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, cells_left.
 
     One row for each row of docs. Null texts are empty; null ids sort first; repeated rows follow each other;
-    a lone row is its own next; an empty table gives none; other columns are not read.
+    a lone row is its own next; an empty table gives none; other columns are not read. Pairs whose cells do not all come out
+    are sketched again with more cells and other hashes, twice at most; cells_left counts what even then stays.
     """
+    scratch = Scratch(docs.sparkSession, "sketch")
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4)
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(n_chars / 4) as int))"))
     rows = rows.withColumn("edited", F.when(cut > 0, edited).otherwise(F.col("text")))
-    rows = rows.select("bucket", "place", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), digests(F.col("text")).alias("k0"), digests(F.col("edited")).alias("k1"), digests(F.col("next_text")).alias("k2"))
-    rows = rows.withColumns({f"groups{i}": F.expr(f"greatest(1L, (size(k0) + size(k{i})) div {2 * GROUP})") for i in (1, 2)})
-    keep = [F.col(c) for c in ("bucket", "place")]
-    sides = [F.expr(f"transform(k{side}, x -> named_struct('pair', {pair}, 'mine', {str(side == 0).lower()}, 'k', x, 'g', pmod(xxhash64(x, 7L), groups{pair})))") for pair, side in ((1, 0), (1, 1), (2, 0), (2, 2))]
-    head = F.array(F.struct(F.lit(0).alias("pair"), F.lit(True).alias("mine"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("g")))
-    about = F.expr(f"named_struct('doc_id', doc_id, 'n_chars', n_chars, 'edited_sha256', edited_sha256, 'fingerprint', {fingerprint_sql('k0')}, 'edited_fingerprint', {fingerprint_sql('k1')})")
-    spread = rows.select(*keep, about.alias("about"), F.explode(F.concat(head, *sides)).alias("x")).select(*keep, F.when(F.col("x.pair") == 0, F.col("about")).alias("about"), "x.pair", "x.g", "x.mine", "x.k")
-    keys = lambda mine: F.collect_list(F.when((F.col("pair") > 0) & (F.col("mine") == mine), F.col("k")))
-    met = spread.groupBy("bucket", "place", "pair", "g").agg(F.first("about", ignorenulls=True).alias("about"), keys(True).alias("a"), keys(False).alias("b"))
-    peeled = met.select(*keep, "pair", "about", F.when((F.size("a") == 0) & (F.size("b") == 0), F.lit(None)).otherwise(F.expr(retried_sql("a", "b"))).alias("d"), *[F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(LENGTHS).cast("long"))).alias(f"chars_{c}") for c in "ab"])
-    near = lambda pair: F.coalesce(F.lit(1.0) - F.try_divide(F.sum(F.when(F.col("pair") == pair, F.col("d.mine") + F.col("d.other"))), F.sum(F.when(F.col("pair") == pair, F.col("chars_a") + F.col("chars_b")))), F.lit(1.0))
-    out = peeled.groupBy("bucket", "place").agg(F.first("about", ignorenulls=True).alias("about"), near(1).alias("near_edited"), near(2).alias("near_next"), F.coalesce(F.sum("d.rest"), F.lit(0)).alias("cells_left"))
-    return out.select("about.*", "near_edited", "near_next", "cells_left")
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), digests(F.col("text")).alias("k0"), digests(F.col("edited")).alias("k1"), digests(F.col("next_text")).alias("k2"))
+    rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select("row", "k0", "k1", "k2")
+    found = scratch.keep(differences(keyed, *TRIES[0]), "found")
+    for load, seed in TRIES[1:]:
+        failed = found.where("rest > 0").select("row", "pair")
+        again = differences(keyed.join(failed.select("row").distinct(), "row", "left_semi"), load, seed).join(failed, ["row", "pair"], "left_semi")
+        found = scratch.keep(found.where("rest = 0").unionByName(again), "found")
+    by_pair = [F.sum(F.when(F.col("pair") == p, F.col("mine") + F.col("other"))).alias(f"d{p}") for p in (1, 2)]
+    sums = found.groupBy("row").agg(*by_pair, F.sum("rest").alias("rest"))
+    chars = lambda k: F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit(LENGTHS).cast("long")))
+    near = lambda p: F.coalesce(F.lit(1.0) - F.try_divide(F.coalesce(f"d{p}", F.lit(0)), chars("k0") + chars(f"k{p}")), F.lit(1.0))
+    return rows.join(sums, "row", "left").select(
+        "doc_id", "n_chars", "edited_sha256", F.expr(fingerprint_sql("k0")).alias("fingerprint"), F.expr(fingerprint_sql("k1")).alias("edited_fingerprint"),
+        near(1).alias("near_edited"), near(2).alias("near_next"), F.coalesce("rest", F.lit(0)).alias("cells_left"),
+    )
