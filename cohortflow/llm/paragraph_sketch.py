@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from .shared import Scratch
 
-LONG = 256  # a paragraph over this many characters is cut at sentence ends
-PIECE = 128  # after at least this many
+# A line; a long one is cut at the first sentence end after 128 characters. It never goes back, so it takes linear time.
+PIECES = r"[^\n]{1,128}+[^\n.!?]*+[.!?]*+"
 GROUP = 16  # digests of a side in a group, on average
 TRIES = ((2, 100), (8, 200), (64, 300))  # cells of each table for a digest, and seed, at the first try and at each retry
 PRINT_CELLS = 4  # cells a table of the fingerprint itself
@@ -34,8 +34,7 @@ LENGTHS = 4095
 
 def digests(text: Column) -> Column:
     """The set of paragraph digests of a text, ascending."""
-    cut = F.regexp_replace(text, rf"([^\n]{{{PIECE},{LONG}}}?[.!?])[ \t]+", "$1\n")
-    parts = F.filter(F.split(cut, "\n"), lambda p: F.trim(p) != "")
+    parts = F.filter(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), lambda p: F.trim(p) != "")
     one = lambda p: F.xxhash64(p).bitwiseAND(F.lit(~LENGTHS)).bitwiseOR(F.least(F.length(p), F.lit(LENGTHS)).cast("long"))
     return F.array_sort(F.array_distinct(F.transform(parts, one)))
 
@@ -90,13 +89,13 @@ def _place(key: Column, bounds: list[int], parts: int) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with bucket, place (its row in the bucket) and next_text, the text of the row after it.
+    """docs (doc_id, text) with the text's digests k0, and next_text and k2, those of the row after it.
 
     Order: doc_id ascending (null first), then text; the row after the last is the first. The first row of each bucket is
     also dealt to the bucket before, to follow its last row. The map of first rows has a row for each bucket.
     """
     least = -(1 << 63)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"), digests(F.coalesce("text", F.lit(""))).alias("k0"))
     n, bounds = keyed.agg(F.count(F.lit(1)), F.percentile_approx("key", [i / 64 for i in range(64)], 1000)).first()
     bounds = sorted(set(bounds or []))
     parts = max(1, math.ceil(n / BUCKET_ROWS / max(1, len(bounds))))
@@ -107,10 +106,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = placed.join(F.broadcast(before), F.col("key") == F.col("first_key"), "left")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("bucket_before").alias("bucket"), F.lit(1).alias("guest"))
-    both = dealt.select("doc_id", "key", "text", F.explode(F.when(F.col("bucket_before").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("to"))
-    rows = both.select("doc_id", "key", "text", "to.bucket", "to.guest")
+    both = dealt.select("doc_id", "key", "text", "k0", F.explode(F.when(F.col("bucket_before").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("to"))
+    rows = both.select("doc_id", "key", "text", "k0", "to.bucket", "to.guest")
     order = Window.partitionBy("bucket").orderBy("guest", "key", "text")
-    return rows.withColumns({"next_text": F.lead("text").over(order), "place": F.row_number().over(order)}).where("guest = 0").select("bucket", "place", "doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    return rows.withColumns({"next_text": F.lead("text").over(order), "k2": F.lead("k0").over(order)}).where("guest = 0").select("doc_id", "text", "k0", F.coalesce("next_text", "text").alias("next_text"), F.coalesce("k2", "k0").alias("k2"))
 
 
 def differences(keyed: DataFrame, load: int, seed: int) -> DataFrame:
@@ -143,7 +142,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 4)
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(n_chars / 4) as int))"))
     rows = rows.withColumn("edited", F.when(cut > 0, edited).otherwise(F.col("text")))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), digests(F.col("text")).alias("k0"), digests(F.col("edited")).alias("k1"), digests(F.col("next_text")).alias("k2"))
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "k0", digests(F.col("edited")).alias("k1"), "k2")
     rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     keyed = rows.select("row", "k0", "k1", "k2")
     found = scratch.keep(differences(keyed, *TRIES[0]), "found")
