@@ -13,6 +13,7 @@ A source that has run out leaves its slots empty; the others keep their order an
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 SLOTS = 1000  # also the most sources that can be mixed
 BLOCK = 32
 SEED = 17
-ROWS_A_BUCKET = 20_000
+ROWS_A_BUCKET = 2_000
 
 
 def apportion(shares: list[float], slots: int) -> list[int]:
@@ -61,6 +62,9 @@ def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, s
     spark = docs.sparkSession
     names = ("mix_source_rank", "mix_block", "mix_slot", "mix_release", "mix_due", "mix_position")
     docs = docs.drop(*names)
+    columns = docs.columns
+    hidden = {c: f"own_{i}_{uuid.uuid4().hex}" for i, c in enumerate(columns) if c.lower().startswith("mix_")}  # they must not meet the names used here
+    docs = docs.withColumnsRenamed(hidden)
     if slots > 4096:
         raise ValueError("at most 4096 slots")
     sizes = docs.groupBy(F.col("source").cast("string").alias("source")).count().orderBy(F.col("source").asc_nulls_first()).limit(slots + 1).collect()
@@ -93,7 +97,7 @@ def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, s
         "mix_release": F.floor(F.col("mix_block") * slots / F.col("mix_w")),
         "mix_due": F.ceil((F.col("mix_block") + 1) * slots / F.col("mix_w")),
         "mix_position": _rows_before(cycle, rows, w, block) + F.col("mix_source_rank") % block,
-    }).select(*docs.columns, *names)
+    }).select(*[F.col(hidden.get(c, c)).alias(c) for c in columns], *names)
 
 
 def _rows_before(cycle: Column, rows: list[int], w: list[int], block: int) -> Column:

@@ -26,7 +26,7 @@ BEGINNINGS = (4, 5, 6)
 LEAST_ROWS = 5
 PENALTY = 10.0
 RIDGE = 1e-4
-STEPS = 400
+STEPS = 800
 # Identity terms, in groups whose members are swapped for each other.
 IDENTITY = (
     ("women", "men", "girls", "boys", "frauen", "männer", "femmes", "hommes", "mujeres", "hombres"),
@@ -74,7 +74,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
     prior = (labels.sum() + 0.5) / (len(labels) + 1)
     w, b = np.zeros(width), float(np.log(prior / (1 - prior)))
     ahead, ahead_b = w.copy(), b
-    rate = 4.0 / (1 + np.mean([len(r) for r in rows]) / 4 if rows else 1) / (1 + penalty / 4 * bool(changed))
+
+    def curved(v: np.ndarray, v_b: float) -> tuple[np.ndarray, float]:
+        """A bound of the loss's curvature, applied to a direction."""
+        z = (np.bincount(owner, v[index], len(rows)) + v_b) / (4 * n)
+        out = np.bincount(index, z[owner], width) + RIDGE * v
+        if changed:
+            moved = np.bincount(pair, sign * v[gone], len(changed))
+            out += 2 * penalty / len(changed) * np.bincount(gone, sign * moved[pair], width)
+        return out, float(z.sum())
+
+    v, v_b, most = np.random.default_rng(0).standard_normal(width), 1.0, 1.0
+    for _ in range(60):  # the largest curvature, so that steps cannot diverge
+        v, v_b = curved(v, v_b)
+        most = float(np.sqrt(v @ v + v_b * v_b)) + 1e-12
+        v, v_b = v / most, v_b / most
+    rate = 1 / (1.2 * most)
     for step in range(STEPS):
         z = np.bincount(owner, ahead[index], len(rows)) + ahead_b
         error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels) / n
