@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortflow.plans import clinical, process, vectors
+from cohortflow.plans import clinical, process, searches, vectors
 
-MODULES = (clinical, process, vectors)
+MODULES = (clinical, process, vectors, searches)
 
 
 def queries():

@@ -52,6 +52,11 @@ def site_preprocess(df: DataFrame, normal: list[str], log: list[str], binary: li
     return zscore(shifted, normal + log, by, sample=False).withColumns({c: F.col(c) - 0.5 for c in binary})
 
 
+def renormalise(df: DataFrame, log: list[str], columns: list[str], by: list[str]) -> DataFrame:
+    """A second pass over scaled data: log-shift of ``log``, then all columns scaled again with n below."""
+    return zscore(df.withColumns({c: log_shift(c) for c in log}), columns, by, sample=False)
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r for each pair of columns in the order given, from one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

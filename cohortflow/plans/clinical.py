@@ -180,6 +180,26 @@ def fed_preprocess(spark, sf_dir):
     return _rounded(normalise.site_preprocess(_holed(spark, sf_dir), ["q"], ["e"], [], ["site"]), ["q", "e"])
 
 
+_TWICE = f"{_HOLED}, {_IMPUTED}, {_CLIPPED}, l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, site, q, ln(0.1 + greatest(e, 0.0)) AS e FROM c), z AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, site, (q - avg(q) OVER w) / stddev_pop(q) OVER w AS q, ln(0.1 + greatest((e - avg(e) OVER w) / stddev_pop(e) OVER w, 0.0)) AS e FROM l WINDOW w AS (PARTITION BY site))"
+
+
+@query(f"WITH {_TWICE} SELECT {_KEYS}, site, round((q - avg(q) OVER w) / stddev_pop(q) OVER w, 6) AS q, round((e - avg(e) OVER w) / stddev_pop(e) OVER w, 6) AS e FROM z WINDOW w AS (PARTITION BY site)")
+def renormalize(spark, sf_dir):
+    once = normalise.site_preprocess(_holed(spark, sf_dir), ["q"], ["e"], [], ["site"])
+    return _rounded(normalise.renormalise(once, ["e"], ["q", "e"], ["site"]), ["q", "e"])
+
+
+@query()
+def biased_counts(spark, sf_dir):
+    cohort = views.severity(spark, sf_dir)
+    counts = {r["severity"]: r["count"] for r in cohort.groupBy("severity").count().collect()}  # three severities
+    room, sizes = cohorts.apportion(sum(counts.values()), [4, 3, 3]), {}
+    for severity, weights in (("3", [6, 3, 1]), ("1", [1, 3, 6]), ("2", [4, 3, 3])):
+        sizes[severity] = cohorts.allocate_within(counts.get(severity, 0), weights, room)
+        room = [r - n for r, n in zip(room, sizes[severity])]
+    return cohorts.assign_sites(cohort, sizes).groupBy("severity", F.col("site").cast("long").alias("site")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _PAIRS = [(a, b) for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]]
 
 
