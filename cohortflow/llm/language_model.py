@@ -2,8 +2,9 @@
 
 The probability of a token is that of its class, given all of the text before it, times its share of the class:
 
-* a gated recurrent network, trained by truncated backpropagation, gives the classes; it is trained on a bounded sample
-  of training texts (``SAMPLE_TEXTS`` whole texts of up to ``SAMPLE_TOKENS`` tokens);
+* a gated recurrent network, trained by truncated backpropagation, gives the classes; it is trained on every token of all
+  training texts, ``PASSES`` times: in a pass each task learns from its whole texts, beginning from the same weights, and a grouped
+  sum of fixed size averages the tasks' weights, each by its tokens;
 * shares are counts over all training texts, smoothed by 0.5, with one place for unseen words in each class.
 
 Words are classed by shape and frequency. The ``HEAD`` most frequent words, bounded whatever the corpus, go to all tasks;
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recurrent import score, train
+from .recurrent import Learner, flattened, score, start, unflattened
 from .shared import Scratch, held_out
 from .words import plain_texts, slices, split_words
 
@@ -28,7 +29,8 @@ HEAD = 65_536
 CLASSES = 64
 SHAPES = 8
 HIDDEN, WIDTH = 16, 16
-SAMPLE_TEXTS, SAMPLE_TOKENS, STREAMS = 2_000, 4_096, 64
+PASSES = 2
+UNIT = 1 << 16  # sums of weights are whole numbers of 1 / UNIT, so their order changes nothing
 END = ""  # no word is empty
 
 
@@ -122,7 +124,32 @@ def _coder(key: str, head) -> Coder:
     return _CODERS[key]
 
 
-def score_texts(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
+def trained(texts: DataFrame, coder_of, mass: np.ndarray) -> dict[str, np.ndarray]:
+    """The network after PASSES passes over texts (text); mass: the tokens of each class among them. A pass brings one row a weight to the driver."""
+    weights = start(CLASSES, HIDDEN, WIDTH)
+    weights["bo"] = np.log((mass + 1.0) / (mass + 1.0).sum()).astype(np.float32)
+    for _ in range(PASSES):
+        sent = texts.sparkSession.sparkContext.broadcast(weights)
+
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            coder, learner = coder_of(), Learner(sent.value)
+            for batch in batches:
+                for part in slices(batch):
+                    found, bounds, *_ = coder.code(plain_texts(part.column("text")))
+                    learner.learn(found, bounds)
+            sums = np.append(np.rint(flattened(learner.m) * learner.tokens * UNIT), learner.tokens).astype(np.int64)
+            if learner.tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["place", "total"])
+
+        rows = texts.select("text").mapInArrow(learn, "place long, total long").groupBy("place").agg(F.sum("total")).collect()
+        sums = np.array([total for _, total in sorted(map(tuple, rows))], float)
+        if len(sums):
+            weights = unflattened(sums[:-1] / UNIT / sums[-1], weights)
+        sent.destroy()
+    return weights
+
+
+def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs (doc_id, text).
 
     Rows with crc32(doc_id as text) mod 5 = 1 are held out: nothing is learned from them. Null texts are empty and consist of
@@ -158,20 +185,7 @@ def score_texts(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
     below = np.log10(mass + 0.5 * (kinds + 1))
     head, key = spark.sparkContext.broadcast((words, heads, classes)), scratch.root
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(key, head)
-        for batch in batches:
-            for part in slices(batch):
-                found, bounds, *_ = coder.code(plain_texts(part.column("text")))
-                kept = np.flatnonzero(np.diff(bounds) <= SAMPLE_TOKENS)
-                yield pa.RecordBatch.from_arrays([pa.array([found[bounds[i] : bounds[i + 1]].astype(np.uint8).tobytes() for i in kept], pa.binary())], names=["classes"])
-
-    sample = rows.where("not held_out").select("doc_id", "text", F.xxhash64("doc_id", F.lit(11)).alias("draw")).orderBy("draw", "doc_id").limit(texts).select("text")
-    drawn = [np.frombuffer(r[0], np.uint8).astype(np.int64) for r in sample.mapInArrow(classed, "classes binary").collect()]
-    joined = np.concatenate([np.append(CLASSES, x) for x in drawn]) if drawn else np.full(2, CLASSES)
-    width = max(2, len(joined) // STREAMS)
-    streams = joined[: len(joined) // width * width].reshape(-1, width)
-    model = spark.sparkContext.broadcast(train(streams, CLASSES, HIDDEN, WIDTH))
+    model = spark.sparkContext.broadcast(trained(rows.where("not held_out"), lambda: _coder(key, head), mass))
     none = float(np.log10(0.5))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

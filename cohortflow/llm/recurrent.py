@@ -5,9 +5,12 @@ The input of a step is the class of the token before; the output is a softmax ov
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 WEIGHTS = ("embed", "wx", "wh", "bx", "bh", "wo", "bo")
+LEAST_LANES, MOST_LANES, LANE_TOKENS = 16, 256, 4096  # texts read side by side, and the tokens a lane has at least if there are fewer
 
 
 def start(classes: int, hidden: int, width: int, seed: int = 7) -> dict[str, np.ndarray]:
@@ -30,65 +33,115 @@ def _step(m: dict, inputs: np.ndarray, h: np.ndarray):
     return c + z * (h - c), (z, r, c, own[:, 2 * k :])
 
 
-def train(streams: np.ndarray, classes: int, hidden: int, width: int, window: int = 24, epochs: int = 2, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """streams: class numbers, one row for each stream that is read in windows with its state carried on; ``classes`` starts a text.
-
-    A position before which a text starts holds the number ``classes`` as input, which also clears the state.
+class Learner:
+    """Learns from whole texts by truncated backpropagation with Adam, beginning from given weights."""
+
+    def __init__(self, m: dict[str, np.ndarray], window: int = 24, rate: float = 0.01):
+        self.m = {k: v.copy() for k, v in m.items()}
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+        self.window, self.rate, self.steps, self.tokens = window, rate, 0, 0
+
+    def learn(self, tokens: np.ndarray, bounds: np.ndarray) -> None:
+        """One pass over texts (class numbers, bounds): each token of each text is a target once.
+
+        Texts are dealt whole to lanes, the longest first, each to the shortest lane. Lanes advance side by side in windows with their
+        states carried on, and stop as they end; a text's start clears the state. A token weighs the same in full and in sparse windows.
+        """
+        if not len(tokens):
+            return
+        classes, hidden = self.m["wo"].shape[1], self.m["wo"].shape[0]
+        before = np.append(classes, tokens[:-1]).astype(np.uint8)
+        before[bounds[:-1]] = classes
+        lanes = deal(np.diff(bounds), min(MOST_LANES, max(LEAST_LANES, len(tokens) // LANE_TOKENS)))
+        parts = [np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in lane]) for lane in lanes]
+        parts.sort(key=len, reverse=True)
+        lengths = np.array([len(x) for x in parts])
+        scale = np.float32(1 / (len(parts) * self.window))
+        h = np.zeros((len(parts), hidden), np.float32)
+        for at in range(0, lengths[0], self.window):
+            n, steps = int(np.searchsorted(-lengths, -at)), int(min(self.window, lengths[0] - at))
+            inputs, targets = np.full((steps, n), classes, np.uint8), np.full((steps, n), -1)
+            for i, own in enumerate(parts[:n]):
+                place = own[at : at + steps]
+                inputs[: len(place), i], targets[: len(place), i] = before[place], tokens[place]
+            g, h, _ = gradients(self.m, inputs, targets, h[:n], scale)
+            self._move(g)
+        self.tokens += len(tokens)
+
+    def _move(self, g: dict[str, np.ndarray]) -> None:
+        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        self.steps += 1
+        for k, v in self.m.items():
+            grad = g[k] * min(1.0, 1.0 / (norm + 1e-9))
+            self.first[k] = 0.9 * self.first[k] + 0.1 * grad
+            self.second[k] = 0.999 * self.second[k] + 0.001 * grad * grad
+            v -= (self.rate * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.999**self.steps)) + 1e-8)).astype(np.float32)
+
+
+def deal(lengths: np.ndarray, n: int) -> list[list[int]]:
+    """Text numbers of at most n lanes: the longest text first, each to the shortest lane."""
+    heap = [(0, k) for k in range(min(n, len(lengths)))]
+    lanes: list[list[int]] = [[] for _ in heap]
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        length, k = heap[0]
+        lanes[k].append(i)
+        heapq.heapreplace(heap, (length + int(lengths[i]), k))
+    return lanes
+
+
+def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, scale: float):
+    """Gradients of scale times the loss over a window (steps, lanes), the state after it, and the loss in nats.
+
+    The input ``classes`` starts a text and clears the state; the target -1 pads a lane that has ended.
     """
-    m = start(classes, hidden, width)
-    counts = np.bincount(streams[streams < classes].ravel(), minlength=classes) + 1.0
-    m["bo"] = np.log(counts / counts.sum()).astype(np.float32)
-    first = {k: np.zeros_like(v) for k, v in m.items()}
-    second = {k: np.zeros_like(v) for k, v in m.items()}
-    n, length = streams.shape
-    count = 0
-    for _ in range(epochs):
-        h = np.zeros((n, hidden), np.float32)
-        for at in range(0, length - 1, window):
-            inputs, targets = streams[:, at : at + window], streams[:, at + 1 : at + window + 1]
-            inputs = inputs[:, : targets.shape[1]]
-            g = {k: np.zeros_like(v) for k, v in m.items()}
-            trace, table = [], m["embed"] @ m["wx"] + m["bx"]
-            for t in range(inputs.shape[1]):
-                h = np.where((inputs[:, t] == classes)[:, None], np.float32(0), h)
-                new, kept = _step(m, table[inputs[:, t]], h)
-                scores = new @ m["wo"] + m["bo"]
-                scores -= scores.max(1, keepdims=True)
-                p = np.exp(scores)
-                p /= p.sum(1, keepdims=True)
-                trace.append((h, new, kept, p))
-                h = new
-            used = targets < classes
-            scale = np.float32(1 / max(1, used.sum()))
-            back, dtable = np.zeros_like(h), np.zeros_like(table)
-            for t in reversed(range(inputs.shape[1])):
-                before, new, (z, r, c, own), p = trace[t]
-                d = p * scale
-                rows = np.flatnonzero(used[:, t])
-                d[~used[:, t]] = 0
-                d[rows, targets[rows, t]] -= scale
-                g["wo"] += new.T @ d
-                g["bo"] += d.sum(0)
-                dh = back + d @ m["wo"].T
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (before - c) * z * (1 - z)
-                dr = dc * own * r * (1 - r)
-                gates = np.concatenate((dz, dr, dc), 1)
-                inner = np.concatenate((dz, dr, dc * r), 1)
-                np.add.at(dtable, inputs[:, t], gates)
-                g["wh"] += before.T @ inner
-                g["bh"] += inner.sum(0)
-                back = dh * z + inner @ m["wh"].T
-                back[inputs[:, t] == classes] = 0
-            g["embed"], g["wx"], g["bx"] = dtable @ m["wx"].T, m["embed"].T @ dtable, dtable.sum(0)
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            count += 1
-            for k in m:
-                grad = g[k] * min(1.0, 1.0 / (norm + 1e-9))
-                first[k] = 0.9 * first[k] + 0.1 * grad
-                second[k] = 0.999 * second[k] + 0.001 * grad * grad
-                m[k] -= (rate * (first[k] / (1 - 0.9**count)) / (np.sqrt(second[k] / (1 - 0.999**count)) + 1e-8)).astype(np.float32)
-    return m
+    classes, hidden = m["wo"].shape[1], m["wo"].shape[0]
+    table = m["embed"] @ m["wx"] + m["bx"]
+    fed, on = table[inputs], (inputs != classes)[:, :, None].astype(np.float32)
+    shape = (*inputs.shape, hidden)
+    old, new, z, r, c, own = (np.empty(shape, np.float32) for _ in range(6))
+    for t in range(len(inputs)):
+        old[t] = h * on[t]
+        h, (z[t], r[t], c[t], own[t]) = _step(m, fed[t], old[t])
+        new[t] = h
+    flat, goal = new.reshape(-1, hidden), targets.ravel()
+    d = flat @ m["wo"] + m["bo"]
+    d -= d.max(1, keepdims=True)
+    np.exp(d, out=d)
+    d /= d.sum(1, keepdims=True)
+    used = np.flatnonzero(goal >= 0)
+    loss = -float(np.log(d[used, goal[used]] + 1e-30).sum())
+    d[used, goal[used]] -= 1
+    d[goal < 0] = 0
+    d *= scale
+    above = (d @ m["wo"].T).reshape(shape)
+    by_c, by_z, by_r = (1 - z) * (1 - c * c), (old - c) * z * (1 - z), own * r * (1 - r)
+    gates, inner = (np.empty((*inputs.shape, 3 * hidden), np.float32) for _ in range(2))
+    back, turned = np.zeros_like(h), m["wh"].T.copy()
+    for t in reversed(range(len(inputs))):
+        dh = back + above[t]
+        dc = dh * by_c[t]
+        inner[t, :, :hidden] = dh * by_z[t]
+        inner[t, :, hidden : 2 * hidden] = dc * by_r[t]
+        inner[t, :, 2 * hidden :] = dc * r[t]
+        gates[t, :, 2 * hidden :] = dc
+        back = (dh * z[t] + inner[t] @ turned) * on[t]
+    gates[:, :, : 2 * hidden] = inner[:, :, : 2 * hidden]
+    order = np.argsort(inputs.ravel(), kind="stable")
+    names, starts = np.unique(inputs.ravel()[order], return_index=True)
+    dtable = np.zeros_like(table)
+    dtable[names] = np.add.reduceat(gates.reshape(-1, 3 * hidden)[order], starts, axis=0)
+    inner = inner.reshape(-1, 3 * hidden)
+    g = {"embed": dtable @ m["wx"].T, "wx": m["embed"].T @ dtable, "wh": old.reshape(-1, hidden).T @ inner, "bx": dtable.sum(0), "bh": inner.sum(0), "wo": flat.T @ d, "bo": d.sum(0)}
+    return g, h, loss
+
+
+def flattened(m: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([m[k].ravel() for k in WEIGHTS]).astype(np.float64)
+
+
+def unflattened(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([like[k].size for k in WEIGHTS])
+    return {k: v.reshape(like[k].shape).astype(np.float32) for k, v in zip(WEIGHTS, np.split(values, ends[:-1]), strict=True)}
 
 
 def score(m: dict[str, np.ndarray], tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
