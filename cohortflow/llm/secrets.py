@@ -4,12 +4,13 @@ Base patterns (assignments, access keys, hex runs) are reported as they match. F
 decoded, and reported only if their inside proves what they are:
 
 * ``pem``: a private-key block whose base64 body decodes to a key structure,
-* ``der``: a base64 or hex run that decodes to a private key in DER, every nested length filling
+* ``der``: base64 or hex that decodes to a private key in DER, every nested length filling
   its parent exactly, in one of the shapes PKCS#8, PKCS#1 or SEC 1,
-* ``openssh``: a base64 run that decodes to the OpenSSH key container with fitting length fields,
+* ``openssh``: base64 that decodes to the OpenSSH key container with fitting length fields,
 * ``jwt``: a signed token whose header and claims decode to JSON objects, the header naming its algorithm.
 
-Whole texts are scanned. Cheap linear patterns first find the texts in which a kind can occur at all.
+A key outside of a ``pem`` span may be wrapped over lines: its own length fields say how many characters belong to it,
+and these must end where a run ends. Whole texts are scanned. Cheap linear patterns first find the texts in which a kind can occur at all.
 """
 
 from __future__ import annotations
@@ -35,8 +36,13 @@ SPANS = "array<struct<kind:string,start:long,end:long>>"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
+# How a key begins: 0x30, its length, then 0x02 or 0x30; or the OpenSSH magic. Nothing is asked of a longer length's bytes.
+KEY64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n)|(?<=\\r))(?:M[A-H][AEIMQUYcgkosw048][Cw]|MI[E-T][A-Za-z0-9+/_-]|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/_-]{4}")
+KEY16 = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?(30[0-9A-Fa-f]{6})")
+RUN64, RUN16, GAP = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+"), re.compile(r"(?:\s|\\[nr])+")
+END64, END16 = re.compile(r"={0,2}(?![A-Za-z0-9+/_=-])"), re.compile(r"(?![0-9A-Za-z])")
+LEAST64, LEAST16 = 40, 64
+PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:[^\S\n]*\S*")
 PEM_EDGE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
 
@@ -46,7 +52,7 @@ MAY_HAVE = {
     "access": "AKIA[A-Z0-9]{14}",
     "hex": "[0-9a-f]{16}",
     "pem": "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----",
-    "run": "[A-Za-z0-9+/_-]{40}|[0-9a-f]{64}|[0-9A-F]{64}",
+    "run": "M[A-H][AEIMQUYcgkosw048][Cw][A-Za-z0-9+/_-]{4}|MI[E-T][A-Za-z0-9+/_-]{5}|b3BlbnNzaC1rZXkt|30[0-9A-Fa-f]{6}",
     "jwt": r"ey[A-Za-z0-9_-]{6}[A-Za-z0-9_-]*\.[A-Za-z0-9_-]{2}[A-Za-z0-9_-]*\.",
 }
 OPENSSH_MAGIC = b"openssh-key-v1\x00"
@@ -109,6 +115,15 @@ def is_key_der(data: bytes) -> bool:
     return tags[1] == 0x04 and items[1][2] - items[1][1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
 
 
+def der_length(head: bytes) -> int | None:
+    """Length in bytes, header included, of the DER value that begins with head (6 bytes at least)."""
+    n = head[1]
+    if not n & 0x80:
+        return n + 2
+    width = n & 0x7F
+    return 2 + width + int.from_bytes(head[2 : 2 + width], "big") if 1 <= width <= 4 else None
+
+
 def is_key_openssh(data: bytes) -> bool:
     """Whether data is the OpenSSH container: magic, three strings, a key count, and as many public keys."""
     if not data.startswith(OPENSSH_MAGIC):
@@ -128,6 +143,72 @@ def is_key_openssh(data: bytes) -> bool:
     return 1 <= keys <= 16 and at == len(data)
 
 
+def taken(text: str, at: int, n: int, run: re.Pattern) -> tuple[str, int] | None:
+    """The first n characters of the runs from ``at`` on, white space between them left out, and the end of the last."""
+    parts = []
+    while m := run.match(text, at):
+        if m.end() - at >= n:
+            return "".join([*parts, text[at : at + n]]), at + n
+        parts.append(m[0])
+        n -= m.end() - at
+        if not (gap := GAP.match(text, m.end())):
+            return None
+        at = gap.end()
+    return None
+
+
+def key64(text: str, at: int) -> tuple[str, int] | None:
+    """Kind and end of the key that begins at ``at`` in base64."""
+
+    def head(n: int) -> bytes | None:
+        found = taken(text, at, -(-n * 4 // 3), RUN64)
+        return found and decode64(found[0])
+
+    if text.startswith("M", at):
+        start = head(6)
+        n = start and der_length(start)
+        if not n:
+            return None
+    else:
+        n, left = len(OPENSSH_MAGIC), 3  # three strings and a count, then a string for each key and one for all private ones
+        while left:
+            if (start := head(n + 4)) is None:
+                return None
+            n += 4 + int.from_bytes(start[n : n + 4], "big")
+            left -= 1
+        if (start := head(n + 4)) is None or not 1 <= (keys := int.from_bytes(start[n : n + 4], "big")) <= 16:
+            return None
+        n += 4
+        for _ in range(keys + 1):
+            if (start := head(n + 4)) is None:
+                return None
+            n += 4 + int.from_bytes(start[n : n + 4], "big")
+    found = taken(text, at, -(-n * 4 // 3), RUN64)
+    if not found or len(found[0]) < LEAST64 or not (end := END64.match(text, found[1])):
+        return None
+    data = decode64(found[0])
+    kind = data and ("der" if is_key_der(data) else "openssh" if is_key_openssh(data) else None)
+    return (kind, end.end()) if kind else None
+
+
+def key16(text: str, at: int) -> int | None:
+    """End of the DER key that begins at ``at`` in hexadecimal."""
+    head = taken(text, at, 12, RUN16)
+    n = head and der_length(bytes.fromhex(head[0]))
+    found = taken(text, at, 2 * n, RUN16) if n and 2 * n >= LEAST16 else None
+    return found[1] if found and END16.match(text, found[1]) and is_key_der(bytes.fromhex(found[0])) else None
+
+
+def is_pem_body(body: str) -> bool:
+    """Whether the text between the edges of a block holds a key; headers go with their lines, or with one word if lines are joined by spaces."""
+    body = body.replace("\\r", "\n").replace("\\n", "\n")
+    for bare in ("\n".join(x for x in body.split("\n") if ":" not in x), PEM_HEADER.sub(" ", body)):
+        data = decode64("".join(bare.split()))
+        if data and (is_key_der(data) or is_key_openssh(data) or "ENCRYPTED" in body):
+            return True
+    return False
+
+
 def is_jwt(header: str, claims: str) -> bool:
     try:
         head, body = (json.loads(decode64(x) or b"") for x in (header, claims))
@@ -157,21 +238,24 @@ def confirmed_spans(text: str, kinds: set[str]) -> list[tuple[int, int, int]]:
             if m[1] == "BEGIN":
                 begun = m
             elif begun is not None and begun[2] == m[2]:
-                lines = text[begun.end() : m.start()].replace("\\n", "\n").split("\n")
-                body = decode64("".join(x.strip() for x in lines if ":" not in x))
-                if body and (is_key_der(body) or is_key_openssh(body) or any("ENCRYPTED" in x for x in lines)):
+                if is_pem_body(text[begun.end() : m.start()]):
                     found.append((begun.start(), KINDS.index("pem"), m.end()))
                 begun = None
     if "run" in kinds:
-        for m in ANY_HEX.finditer(text):
-            if len(m[0]) % 2 == 0 and is_key_der(bytes.fromhex(m[0])):
-                found.append((m.start(), KINDS.index("der"), m.end()))
-        for m in BASE64.finditer(text):
-            data = decode64(m[0])
-            if data and is_key_der(data):
-                found.append((m.start(), KINDS.index("der"), m.end()))
-            elif data and is_key_openssh(data):
-                found.append((m.start(), KINDS.index("openssh"), m.end()))
+        blocks = sorted((s, e) for s, _, e in found)
+        runs, block, stop = [], 0, 0
+        for m in KEY16.finditer(text):
+            if m.start(1) >= stop and (end := key16(text, m.start(1))):
+                runs.append((m.start(1), "der", stop := end))
+        stop = 0
+        for m in KEY64.finditer(text):
+            if m.start() >= stop and (key := key64(text, m.start())):
+                runs.append((m.start(), key[0], stop := key[1]))
+        for start, kind, end in sorted(runs):
+            while block < len(blocks) and blocks[block][1] <= start:
+                block += 1
+            if block == len(blocks) or start < blocks[block][0]:
+                found.append((start, KINDS.index(kind), end))
     if "jwt" in kinds:
         found += [(m.start(), KINDS.index("jwt"), m.end()) for m in JWT.finditer(text) if is_jwt(m[1], m[2])]
     return found
