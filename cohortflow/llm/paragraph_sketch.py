@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches over paragraph digests.
 
-A text is cut into paragraphs (lines; long ones again at sentence ends). A paragraph's digest is a 64-bit
+A text is cut into paragraphs (lines; long ones again at sentence ends; with ``longest`` given, what is still longer is cut by
+content, so that an edit touches only pieces nearby). A paragraph's digest is a 64-bit
 hash whose low 12 bits hold its length. A sketch has three tables of cells; a digest goes into one cell of
 each, where a cell keeps a count, the xor of digests and the xor of their check hashes. Two
 sketches of one size subtract cell by cell, which cancels everything that the texts share; peeling then
@@ -24,6 +25,11 @@ from .shared import Scratch
 
 # A line; a long one is cut at the first sentence end after 128 characters. It never goes back, so it takes linear time.
 PIECES = r"[^\n]{1,128}+[^\n.!?]*+[.!?]*+"
+LONGEST = 1024  # characters from which the registered query cuts a paragraph by content
+# Bits of a long paragraph: up to a vowel, an even digit, white space or a character beyond Latin letters, so they fall alike after an edit.
+BITS = r"[\x21-\u036F&&[^aeiouAEIOU02468]]{0,64}+[\s\S]|[\x21-\u036F]{1,64}"
+CUT_ONE_IN = 128  # a cut follows one in so many runs of three bits, by their hash
+HARD = 2048  # no piece is longer, whatever the content; below LENGTHS, so that whole lengths count
 GROUP = 16  # digests of a side in a group, on average
 TRIES = ((2, 100), (8, 200), (64, 300))  # cells of each table for a digest, and seed, at the first try and at each retry
 PRINT_CELLS = 4  # cells a table of the fingerprint itself
@@ -32,9 +38,23 @@ BUCKET_ROWS = 2000
 LENGTHS = 4095
 
 
-def digests(text: Column) -> Column:
-    """The set of paragraph digests of a text, ascending."""
-    parts = F.filter(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), lambda p: F.trim(p) != "")
+def pieces(paragraph: Column) -> Column:
+    """A long paragraph in pieces of HARD characters at most, cut where the hash of the last three bits says so. Linear in its length."""
+    let = lambda value, then: F.flatten(F.transform(F.array(value), then))
+    hit = lambda bits, i: F.pmod(F.xxhash64(F.get(bits, i - 2), F.get(bits, i - 1), F.get(bits, i)), F.lit(CUT_ONE_IN)) == 0
+    last = lambda bits: F.size(bits) - 1
+    ends = lambda bits: F.array_distinct(F.concat(F.filter(F.sequence(F.lit(0), last(bits)), lambda i: hit(bits, i)), F.array(last(bits))))
+    piece = lambda bits, cuts, end, k: F.array_join(F.slice(bits, F.coalesce(F.get(cuts, k - 1), F.lit(-1)) + 2, end - F.coalesce(F.get(cuts, k - 1), F.lit(-1))), "")
+    short = lambda p: F.regexp_extract_all(p, F.lit(rf"[\s\S]{{1,{HARD}}}"), F.lit(0))
+    return let(F.regexp_extract_all(paragraph, F.lit(BITS), F.lit(0)), lambda bits: let(ends(bits), lambda cuts: F.flatten(F.transform(cuts, lambda end, k: short(piece(bits, cuts, end, k))))))
+
+
+def digests(text: Column, longest: int | None = None) -> Column:
+    """The set of paragraph digests of a text, ascending; paragraphs of more than ``longest`` characters are cut by content."""
+    parts = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+    if longest:
+        parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= longest, F.array(p)).otherwise(pieces(p))))
+    parts = F.filter(parts, lambda p: F.trim(p) != "")
     one = lambda p: F.xxhash64(p).bitwiseAND(F.lit(~LENGTHS)).bitwiseOR(F.least(F.length(p), F.lit(LENGTHS)).cast("long"))
     return F.array_sort(F.array_distinct(F.transform(parts, one)))
 
@@ -88,14 +108,14 @@ def _place(key: Column, bounds: list[int], parts: int) -> Column:
     return at.cast("long") * parts + inner
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, longest: int | None = None) -> DataFrame:
     """docs (doc_id, text) with the text's digests k0, and next_text and k2, those of the row after it.
 
     Order: doc_id ascending (null first), then text; the row after the last is the first. The first row of each bucket is
     also dealt to the bucket before, to follow its last row. The map of first rows has a row for each bucket.
     """
     least = -(1 << 63)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"), digests(F.coalesce("text", F.lit(""))).alias("k0"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"), digests(F.coalesce("text", F.lit("")), longest).alias("k0"))
     n, bounds = keyed.agg(F.count(F.lit(1)), F.percentile_approx("key", [i / 64 for i in range(64)], 1000)).first()
     bounds = sorted(set(bounds or []))
     parts = max(1, math.ceil(n / BUCKET_ROWS / max(1, len(bounds))))
@@ -126,7 +146,7 @@ def differences(keyed: DataFrame, load: int, seed: int) -> DataFrame:
     return peeled.groupBy("row", "pair").agg(F.sum("d.rest").alias("rest"), F.sum("d.mine").alias("mine"), F.sum("d.other").alias("other"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, longest: int | None = None) -> DataFrame:
     """Fingerprint of every text and of its edited form, with likenesses recovered by peeling.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next text.
@@ -135,14 +155,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     One row for each row of docs. Null texts are empty; null ids sort first; repeated rows follow each other;
     a lone row is its own next; an empty table gives none; other columns are not read. Pairs whose cells do not all come out
-    are sketched again with more cells and other hashes, twice at most; cells_left counts what even then stays.
+    are sketched again with more cells and other hashes, twice at most; cells_left counts what even then stays. Without ``longest``
+    a paragraph has no upper length and counts LENGTHS characters at most; the registered query gives LONGEST.
     """
     scratch = Scratch(docs.sparkSession, "sketch")
-    rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
+    rows = with_next(docs, longest).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4)
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(n_chars / 4) as int))"))
     rows = rows.withColumn("edited", F.when(cut > 0, edited).otherwise(F.col("text")))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "k0", digests(F.col("edited")).alias("k1"), "k2")
+    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "k0", digests(F.col("edited"), longest).alias("k1"), "k2")
     rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     keyed = rows.select("row", "k0", "k1", "k2")
     found = scratch.keep(differences(keyed, *TRIES[0]), "found")

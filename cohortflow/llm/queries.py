@@ -12,7 +12,7 @@ from .language_model import score_texts
 from .minhash import near_duplicates
 from .mixing import BLOCK, SEED, SLOTS, mix_order
 from .packing import pack
-from .paragraph_sketch import fingerprints
+from .paragraph_sketch import LONGEST, fingerprints
 from .quality import quality
 from .records import token_records
 from .secrets import find_secrets, report
@@ -60,7 +60,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(table(spark, sf_dir, "documents"), longest=LONGEST)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
