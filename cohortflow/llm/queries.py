@@ -43,7 +43,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=24, rows=6)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, bands=32, rows=8)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; where that is unset (local tests), one is made and set."""
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset one is made in local mode, whose tasks share this machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", conf)
     return f"{conf.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -53,6 +55,11 @@ class Scratch:
                 store.delete(found.getPath(), True)
 
 
+def semi(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """Rows of df whose key is among ids (a written table): a broadcast of ``most`` ids at most, a shuffled join beyond."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -142,7 +142,7 @@ def test_near_duplicates_equal_brute_force(docs, empty):
             if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
-    found = minhash.near_duplicates(docs, words=3, percent=85, bands=24, rows=6).collect()
+    found = minhash.near_duplicates(docs, words=3, percent=85, bands=32, rows=8).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
     assert minhash.near_duplicates(empty).count() == 0
 
