@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runs import lists_of, matrix_of, pairs_of, whole_groups
+from .runs import GROUP, apart, in_groups, lists_of, matrix_of, pairs_of, whole_groups
 from .shared import Scratch, semi
 from .shingles import mix64, sets_of
 
@@ -108,9 +108,6 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, shingles array<long>")
 
 
-GROUP = ["bucket", "low", "high"]
-
-
 def _near(table: pa.Table, bounds: np.ndarray, percent: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs of different components that sizes and signatures let link; in a pair of chunks only across them."""
     component, chunk, low, high, n = (table.column(c).to_numpy() for c in ("component", "chunk", "low", "high", "n_shingles"))
@@ -199,27 +196,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     labelled = members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
     labelled = scratch.keep(labelled, "labelled")
     scratch.drop("members")
-    mark = F.xxhash64("doc")
-    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("m1"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("m2"))
-    whole_buckets = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.bit_xor("m1").alias("m1"), F.sum("m2").alias("m2")).where("kinds > 1")
-    alike = whole_buckets.groupBy("n", "m1", "m2").agg(F.min(F.struct("bucket", "top")).alias("at"))  # buckets of the same members are one
-    chunks = {"ours": F.ceil(F.col("top.n") / CHUNK), "theirs": F.when(F.col("n") > CHUNK, F.ceil((F.col("n") - F.col("top.n")) / CHUNK)).otherwise(F.lit(0))}
-    open_buckets = scratch.keep(alike.select("n", "at.bucket", "at.top").withColumns(chunks).select("bucket", F.col("top.component").alias("largest"), "ours", "theirs"), "open")
-    turn, mine = F.xxhash64("doc", F.lit(5)), F.col("component") == F.col("largest")
-    chunk = F.when(F.col("theirs") == 0, F.lit(0)).when(mine, F.pmod(turn, F.col("ours"))).otherwise(F.col("ours") + F.pmod(turn, F.col("theirs"))).cast("long")
-    first = F.when((F.col("theirs") > 0) & mine, F.col("ours")).otherwise(F.lit(0))
-    last = F.when(F.col("theirs") == 0, F.lit(0)).otherwise(F.col("ours") + F.col("theirs") - 1)
-    rest = labelled.join(open_buckets, "bucket").withColumn("chunk", chunk).withColumn("with", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    rest = rest.select("doc", "bucket", "component", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
+    rest = apart(labelled, scratch, CHUNK)
     sigma = (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
     test = (percent, percent / 100 - SURE * sigma)
     schema = "doc long, bucket long, component long, chunk long, low long, high long"
-    shown = rest.join(classes.select("doc", "n_shingles", "marks"), "doc").repartition(*GROUP).sortWithinPartitions(*GROUP, "doc")
-    shown = shown.select("doc", "bucket", "component", "chunk", "low", "high", "n_shingles", "marks")
+    shown = in_groups(rest.join(classes.select("doc", "n_shingles", "marks"), "doc").select("doc", "bucket", "component", "chunk", "low", "high", "n_shingles", "marks"))
     hopeful = scratch.keep(shown.mapInArrow(_hopeful(*test), f"{schema}, n_shingles long, marks binary"), "hopeful")
     sets = sets_of_ids(hopeful.select(F.col("doc").alias("doc_id")))
-    dealt = hopeful.join(sets, "doc").repartition(*GROUP).sortWithinPartitions(*GROUP, "doc")
-    more = scratch.keep(dealt.mapInArrow(_compare(*test), "a long, b long"), "more")
+    more = scratch.keep(in_groups(hopeful.join(sets, "doc")).mapInArrow(_compare(*test), "a long, b long"), "more")
     joined = scratch.keep(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch), "joined")
     scratch.drop("sets", "wanted", "labelled", "hopeful", "star", "more", "open", "edges", "up", "labels")
     named = scratch.keep(classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select(*key, F.coalesce("component", "doc").alias("found")), "named")

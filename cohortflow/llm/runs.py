@@ -6,7 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .shared import Scratch
 from .words import expand
 
 ROWS = 20_000
@@ -63,3 +66,30 @@ def lists_of(column: pa.ChunkedArray) -> list[np.ndarray]:
 def matrix_of(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
     """Binary values of one width as rows of a matrix."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+GROUP = ["bucket", "low", "high"]
+
+
+def apart(labelled: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """Where members of different components still share a bucket: doc, bucket, component, chunk, low, high, to be compared in groups of GROUP.
+
+    labelled: bucket, doc, component. Buckets of the same members are one. A bucket of more than ``size`` members is dealt into chunks of about that
+    many, which meet pairwise, save that those of its largest component do not meet each other; so it costs its size times the number of chunks of others.
+    """
+    mark = F.xxhash64("doc")
+    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("m1"), F.sum(mark.bitwiseAND(F.lit((1 << 40) - 1))).alias("m2"))
+    whole = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.bit_xor("m1").alias("m1"), F.sum("m2").alias("m2")).where("kinds > 1")
+    alike = whole.groupBy("n", "m1", "m2").agg(F.min(F.struct("bucket", "top")).alias("at"))
+    chunks = {"ours": F.ceil(F.col("top.n") / size), "theirs": F.when(F.col("n") > size, F.ceil((F.col("n") - F.col("top.n")) / size)).otherwise(F.lit(0))}
+    dealt = scratch.keep(alike.select("n", "at.bucket", "at.top").withColumns(chunks).select("bucket", F.col("top.component").alias("largest"), "ours", "theirs"), "open")
+    turn, mine = F.xxhash64("doc", F.lit(5)), F.col("component") == F.col("largest")
+    chunk = F.when(F.col("theirs") == 0, F.lit(0)).when(mine, F.pmod(turn, F.col("ours"))).otherwise(F.col("ours") + F.pmod(turn, F.col("theirs"))).cast("long")
+    first = F.when((F.col("theirs") > 0) & mine, F.col("ours")).otherwise(F.lit(0)).cast("long")
+    last = F.when(F.col("theirs") == 0, F.lit(0)).otherwise(F.col("ours") + F.col("theirs") - 1).cast("long")
+    rest = labelled.join(dealt, "bucket").withColumn("chunk", chunk).withColumn("with", F.explode(F.sequence(first, last)))
+    return rest.select("doc", "bucket", "component", "chunk", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"))
+
+
+def in_groups(rows: DataFrame, keys: list[str] = GROUP) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
