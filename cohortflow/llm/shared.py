@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,9 +55,21 @@ class Scratch:
                 store.delete(found.getPath(), True)
 
 
-def semi(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
-    """Rows of df whose key is among ids (a written table): a broadcast of ``most`` ids at most, a shuffled join beyond."""
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_semi")
+def semi(df: DataFrame, few: DataFrame, key: str, most: int = 1_000_000, join: str = "left_semi") -> DataFrame:
+    """Rows of df whose key is in ``few`` (a written table of ids, and little else): a broadcast of ``most`` rows at most, a shuffled join beyond."""
+    return df.join(F.broadcast(few) if few.count() <= most else few, key, join)
+
+
+def few(df: DataFrame, n: int, draw: Column, ties: list[str]) -> DataFrame:
+    """The n rows of the least digests ``draw`` (a 64-bit hash), equal ones by the columns ``ties``.
+
+    df is counted first; a bound on the digest leaves about n rows in all, so what is sorted does not grow with df's rows or partitions.
+    """
+    total = df.count()
+    share = (n + 8 * n**0.5 + 64) / max(1, total)
+    spread = F.pmod(draw, F.lit(1 << 32))
+    bounded = df if share >= 1 else df.where(spread < F.lit(int(share * (1 << 32))))
+    return bounded.withColumn("few_draw", spread).orderBy("few_draw", *ties).limit(n).drop("few_draw")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
