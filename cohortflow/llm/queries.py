@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .embedding_dedup import near_vectors
 from .language_model import score_texts
 from .minhash import near_duplicates
-from .mixing import BLOCK, SEED, SLOTS, mix_order
+from .mixing import BLOCK, SEED, mix_order
 from .packing import pack
 from .paragraph_sketch import LONGEST, fingerprints
 from .quality import quality
@@ -55,7 +55,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_order(table(spark, sf_dir, "documents"), slots=SLOTS, block=BLOCK, seed=SEED)
+    mixed = mix_order(table(spark, sf_dir, "documents"), block=BLOCK, seed=SEED)
     return mixed.select("doc_id", "source", *[c for c in mixed.columns if c.startswith("mix_")])
 
 

@@ -196,12 +196,51 @@ def test_fingerprints_recover_the_difference(docs, empty):
 
 
 def test_mixing_keeps_all_rows_and_bounds_the_lag(docs, empty):
-    mixed = mixing.mix_order(docs, {"s0": 5, "s1": 3, "s2": 1, None: 1}, slots=10, block=2).collect()
+    mixed = mixing.mix_order(docs, {"s0": 5, "s1": 3, "s2": 1, None: 1}, block=2, period=10).collect()
     assert sorted(r["mix_position"] for r in mixed) == list(range(len(TEXTS))) and sorted(r["doc_id"] for r in mixed) == list(range(len(TEXTS)))
-    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_due"] for r in mixed)
+    assert all(r["mix_slot"] is None or r["mix_release"] <= r["mix_slot"] < r["mix_due"] for r in mixed)
     assert mixing.mix_order(empty).count() == 0
 
 
+@pytest.mark.parametrize("weights", [[0.9995, 0.0005], [9.0] * 20 + [1.0] * 20, [1.0, math.pi, math.e, 0.01, 7.3]])
+def test_mixing_follows_any_weights(spark, weights):
+    n = 4000
+    shares = [w / sum(weights) for w in weights]
+    rows = [max(40, math.ceil(n * w)) for w in shares]
+    data = spark.createDataFrame([(k * 100_000 + i, f"{k} {i}", f"s{k:02}") for k, size in enumerate(rows) for i in range(size)], "doc_id long, text string, source string")
+    mixed = sorted(mixing.mix_order(data, {f"s{k:02}": w for k, w in enumerate(weights)}, block=8).select("mix_position", "source", "mix_slot").collect())
+    assert [r[0] for r in mixed] == list(range(sum(rows)))
+    had = collections.Counter()
+    for at, (_, source, _) in enumerate(mixed, 1):
+        had[source] += 1
+        if at % 4 == 0 and all(had[f"s{k:02}"] < size - 8 for k, size in enumerate(rows)):
+            assert all(abs(had[f"s{k:02}"] - at * w) < 8 for k, w in enumerate(shares))
+
+
+def test_schedule_is_earliest_deadline_first(docs):
+    shares, rows = [0.5, 0.3, 0.2], [400, 300, 200]
+    found = sorted(mixing.schedule(docs, shares, rows, 1, 20).select("mix_slot", "mix_s", "mix_turn", "mix_first").collect())
+    had, want = [0, 0, 0], []
+    sums = mixing.rounded_sums(shares)
+    for e in range(math.ceil(found[-1][0] / 20 + 0.01)):
+        upto = lambda e: [math.floor(e * 20 * sums[s + 1] + 0.5) - math.floor(e * 20 * sums[s] + 0.5) for s in range(3)]  # noqa: B023, E731
+        owed = [b - a for a, b in zip(upto(e), upto(e + 1))]
+        done = [0, 0, 0]
+        for t in range(20):
+            due, s = min((-(-(done[s] + 1) * 20 // owed[s]), s) for s in range(3) if done[s] < owed[s] and done[s] * 20 // owed[s] <= t)
+            assert t < due
+            want.append((e * 20 + t, s, had[s], sum(min(r, h) for r, h in zip(rows, had))))
+            done[s] += 1
+            had[s] += 1
+    assert [tuple(r) for r in found] == want
+
+
+def test_mixing_puts_sources_without_weight_last(docs):
+    mixed = sorted(mixing.mix_order(docs, {"s0": 1, "s1": 2}, block=4).select("mix_position", "source", "mix_slot").collect())
+    others = sum(1 for r in mixed if r["source"] not in ("s0", "s1"))
+    assert [r[0] for r in mixed] == list(range(len(TEXTS))) and {r["source"] for r in mixed[-others:]} == {None, "s2"} and all(r["mix_slot"] is None for r in mixed[-others:])
+
+
 def test_classifiers(spark, docs, empty):
     rng = random.Random(2)
     rows, labels = [], []
