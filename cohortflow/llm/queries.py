@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .embedding_dedup import near_vectors
 from .language_model import score_texts
@@ -60,7 +61,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"), longest=LONGEST)
+    found = fingerprints(table(spark, sf_dir, "documents"), longest=LONGEST)
+    recovered = {f"n_{name}": F.size(name).cast("long") for name in ("only_own", "only_edited", "next_own", "next_other")}
+    return found.withColumns(recovered).drop("only_own", "only_edited", "next_own", "next_other")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

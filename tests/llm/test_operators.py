@@ -178,6 +178,38 @@ def test_language_model_base_scores(docs, empty):
     assert language_model.score_texts(empty).count() == 0
 
 
+def parsed(fingerprint):
+    """Groups, characters and cells of a published fingerprint."""
+    groups, characters, cells = fingerprint.split(":")
+    signed = lambda x: int(x, 16) - (1 << 64 if int(x, 16) >> 63 else 0)
+    return int(groups, 16), int(characters, 16), {int(c, 16): (int(n, 16), signed(k), signed(h)) for c, n, k, h in (x.split(".") for x in cells.split("-") if cells)}
+
+
+def peeled(one, two):
+    """Sign and digest of what one of two fingerprints alone has, from the strings; None if cells are left."""
+    groups, size = min(one[0], two[0]), 3 * paragraph_sketch.CELLS
+    cells, members = collections.defaultdict(lambda: (0, 0, 0)), collections.defaultdict(set)
+    for sign, (_, _, own) in ((1, one), (-1, two)):
+        for c, (n, k, h) in own.items():
+            at = c // size % groups * size + c % size
+            cells[at] = (cells[at][0] + sign * n, cells[at][1] ^ k, cells[at][2] ^ h)
+    # the check hash of a digest and its cells are known from the cells that hold it alone, in either fingerprint
+    check = {k: h for _, _, own in (one, two) for n, k, h in own.values() if n == 1}
+    for _, _, own in (one, two):
+        for c, (n, k, h) in own.items():
+            if n == 1:
+                members[k].add(c // size % groups * size + c % size)
+    found = []
+    while True:
+        pure = {k: n for n, k, h in cells.values() if abs(n) == 1 and check.get(k) == h and len(members[k]) == 3}
+        if not pure:
+            return None if any(v != (0, 0, 0) for v in cells.values()) else found
+        for k, n in pure.items():
+            found.append((n, k))
+            for at in members[k]:
+                cells[at] = (cells[at][0] - n, cells[at][1] ^ k, cells[at][2] ^ check[k])
+
+
 def test_fingerprints_recover_the_difference(docs, empty):
     found = {r["doc_id"]: r for r in paragraph_sketch.fingerprints(docs).collect()}
     for i, t in enumerate(TEXTS):
@@ -185,12 +217,17 @@ def test_fingerprints_recover_the_difference(docs, empty):
         k = len(t) // 4
         edited = t[: len(t) - k] + after[:k]
         assert found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and found[i]["n_chars"] == len(t)
-        assert found[i]["cells_left"] == 0
         one = lambda s: collections.Counter({p: min(len(p), 4095) for p in re.findall(r"[^\n]{1,128}[^\n.!?]*[.!?]*", s) if p.strip(" ")})
         for other, name in ((edited, "near_edited"), (after, "near_next")):
             a, b = one(t), one(other)
             both, whole = sum(a[p] for p in a if p in b), sum(a.values()) + sum(b.values())
             assert found[i][name] == pytest.approx(2 * both / whole if whole else 1.0)
+        a, b = parsed(found[i]["fingerprint"]), parsed(found[(i + 1) % len(TEXTS)]["fingerprint"])
+        for other, near, mine, theirs in ((parsed(found[i]["edited_fingerprint"]), "near_edited", "only_own", "only_edited"), (b, "near_next", "next_own", "next_other")):
+            gone = peeled(a, other)
+            if gone is not None:  # fingerprints of this size tell the difference by themselves
+                assert sorted(k for n, k in gone if n == 1) == sorted(found[i][mine]) and sorted(k for n, k in gone if n == -1) == sorted(found[i][theirs])
+                assert found[i][near] == pytest.approx(1 - sum(k & 4095 for _, k in gone) / (a[1] + other[1]) if a[1] + other[1] else 1.0)
     assert found[len(TEXTS) - 2]["fingerprint"] == found[len(TEXTS) - 1]["fingerprint"]
     assert paragraph_sketch.fingerprints(empty).count() == 0
 
