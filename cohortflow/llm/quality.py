@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, few
 from .words import plain_texts, slices, split_words
 
 SAMPLE_ROWS = 20_000
@@ -27,7 +27,6 @@ THRESHOLD = 0.5
 RIDGE = 1e-3
 STRENGTHS = (2.0, 10_000.0)  # the range of a shrinkage's prior rows
 EVIDENCE = 12.0  # the most that a document's log odds can say
-PLACES = 0.25  # the weight of the places' log odds beside the document's
 FIGURES = ("upper", "digits", "marks", "stops", "wide", "spaces", "word_length", "variety", "line_variety", "long_words", "short_lines", "size")
 
 _KIND = np.zeros(256, np.uint8)  # classes of bytes
@@ -141,7 +140,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), part.column("path"), lists], names=["doc_id", "host", "path", "figures"])
 
     measured = scratch.keep(rows.mapInArrow(measure, "doc_id long, host string, path string, figures array<double>").join(known, "doc_id", "left"), "measured")
-    drawn = measured.where("label is not null").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").select("figures", "label").limit(sample_rows).toPandas()
+    drawn = few(measured.where("label is not null"), sample_rows, F.xxhash64("doc_id", F.lit(5)), ["doc_id", "label"]).select("figures", "label").toPandas()
     y = (drawn["label"].to_numpy(float) >= 0.5).astype(float) if len(drawn) else np.zeros(0)
     fitted = 0 < y.sum() < len(y)
     base = float(y.mean()) if fitted else 1.0
@@ -170,7 +169,7 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
     path_mean = (F.col("path_sum") - F.col("soft") + k_path * F.col("host_mean")) / (F.col("path_n") - 1 + k_path)
     out = out.withColumn("host_mean", host_mean).withColumn("path_mean", path_mean)
     place_odds = F.ln(F.col("path_mean") / F.greatest(1 - F.col("path_mean"), F.lit(1e-9)))
-    posterior = F.col("evidence") + PLACES * (place_odds - prior)
+    posterior = F.col("evidence") + place_odds - prior
     score = F.lit(1.0) / (1 + F.exp(-posterior)) if fitted else F.col("path_mean")
     out = out.withColumn("score", score)
     return out.select("doc_id", "evidence", "host_mean", "path_mean", "score", (F.col("score") >= threshold if fitted else F.lit(True)).alias("kept"))
