@@ -136,11 +136,11 @@ def is_key_openssh(data: bytes) -> bool:
     if at + 4 > len(data):
         return False
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    for _ in range(min(keys, 16) + 1):
+    for _ in range(keys + 1):
         if at + 4 > len(data):
             return False
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return 1 <= keys <= 16 and at == len(data)
+    return keys >= 1 and at == len(data)
 
 
 def taken(text: str, at: int, n: int, run: re.Pattern) -> tuple[str, int] | None:
@@ -157,32 +157,50 @@ def taken(text: str, at: int, n: int, run: re.Pattern) -> tuple[str, int] | None
     return None
 
 
+def begun(text: str, at: int, n: int, run: re.Pattern) -> str:
+    """The first n characters, or all, of the runs from ``at`` on, white space between them left out."""
+    parts = []
+    while n > 0 and (m := run.match(text, at)):
+        parts.append(text[at : min(m.end(), at + n)])
+        n -= len(parts[-1])
+        if n <= 0 or not (gap := GAP.match(text, m.end())):
+            break
+        at = gap.end()
+    return "".join(parts)
+
+
 def key64(text: str, at: int) -> tuple[str, int] | None:
     """Kind and end of the key that begins at ``at`` in base64."""
 
-    def head(n: int) -> bytes | None:
-        found = taken(text, at, -(-n * 4 // 3), RUN64)
-        return found and decode64(found[0])
+    known, whole = b"", False  # the bytes decoded so far, and whether the text holds no more
+
+    def number(i: int, size: int = 4) -> int | None:
+        """The bytes from i on as a number; decodes twice as much whenever more is asked for, so a key costs time in proportion to its length."""
+        nonlocal known, whole
+        while len(known) < i + size and not whole:
+            asked = max(i + size, 2 * len(known), 96) // 3 * 3 + 3
+            found = begun(text, at, asked // 3 * 4, RUN64)
+            known, whole = decode64(found[: len(found) // 4 * 4]) or b"", len(found) < asked // 3 * 4
+        if len(known) >= i + size:
+            return int.from_bytes(known[i : i + size], "big")
+        tail = decode64(begun(text, at, -(-(i + size) * 4 // 3), RUN64)) or b""  # the last three characters or fewer
+        return int.from_bytes(tail[i : i + size], "big") if len(tail) >= i + size else None
 
     if text.startswith("M", at):
-        start = head(6)
-        n = start and der_length(start)
+        n = None if number(0, 6) is None else der_length(known)
         if not n:
             return None
     else:
-        n, left = len(OPENSSH_MAGIC), 3  # three strings and a count, then a string for each key and one for all private ones
-        while left:
-            if (start := head(n + 4)) is None:
+        n, left, counted = len(OPENSSH_MAGIC), 3, False  # three strings and a count, then a string for each key and one for all private ones
+        while left or not counted:
+            if (length := number(n)) is None:
                 return None
-            n += 4 + int.from_bytes(start[n : n + 4], "big")
-            left -= 1
-        if (start := head(n + 4)) is None or not 1 <= (keys := int.from_bytes(start[n : n + 4], "big")) <= 16:
-            return None
-        n += 4
-        for _ in range(keys + 1):
-            if (start := head(n + 4)) is None:
+            if left:
+                n, left = n + 4 + length, left - 1
+            elif not length:
                 return None
-            n += 4 + int.from_bytes(start[n : n + 4], "big")
+            else:
+                n, left, counted = n + 4, length + 1, True
     found = taken(text, at, -(-n * 4 // 3), RUN64)
     if not found or len(found[0]) < LEAST64 or not (end := END64.match(text, found[1])):
         return None
