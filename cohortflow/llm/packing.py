@@ -85,13 +85,14 @@ def best_cuts(positions: np.ndarray, penalties: np.ndarray, window: int = WINDOW
     return cuts[::-1]
 
 
-def with_loose(positions: np.ndarray, penalties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """More possible cuts, every LOOSE tokens, in stretches of over twice that."""
+def with_loose(positions: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """More possible cuts, every LOOSE tokens (or as many as a small window allows), in stretches of over twice that, so that no stretch exceeds a window."""
+    step = max(1, min(LOOSE, window // 2))
     gaps = np.diff(positions)
-    wide = np.flatnonzero(gaps > 2 * LOOSE)
+    wide = np.flatnonzero(gaps > min(2 * step, window))
     if not len(wide):
         return positions, penalties
-    more = np.concatenate([np.arange(positions[i] + LOOSE, positions[i + 1] - LOOSE // 2, LOOSE) for i in wide])
+    more = np.concatenate([np.arange(positions[i] + step, positions[i + 1] - step // 2, step) for i in wide])
     positions = np.concatenate((positions, more))
     order = np.argsort(positions, kind="stable")
     return positions[order], np.concatenate((penalties, np.full(len(more), LOOSE_PENALTY)))[order]
@@ -119,7 +120,7 @@ class Packer:
         positions = np.concatenate(([0], ends, sentences))
         order = np.argsort(positions, kind="stable")
         penalties = np.concatenate((np.zeros(len(ends) + 1, np.int64), np.full(len(sentences), SENTENCE_PENALTY)))[order]
-        positions, penalties = with_loose(positions[order].astype(np.int64), penalties)
+        positions, penalties = with_loose(positions[order].astype(np.int64), penalties, self.window)
         windows = positions[best_cuts(positions, penalties, self.window)]
         if last:
             stop = windows[-1]
@@ -172,6 +173,8 @@ def pack(docs: DataFrame, tokenizer: str, order: list[str] | None = None, window
             yield _batch(pieces)
 
     ranges = [F.col(c).asc_nulls_first() for c in keys]
+    if not order:
+        ranges.append(F.xxhash64("text"))  # deals rows of one doc_id to several tasks
     return rows.repartitionByRange(*ranges).sortWithinPartitions(*ranges, *([] if "text" in keys else [F.col("text")])).select("doc_id", "text").mapInArrow(run, PIECES)
 
 

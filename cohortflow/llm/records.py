@@ -35,6 +35,7 @@ from .words import encoder, plain_texts, slices
 
 END_ID = 2
 MASK_DELTA = 0xA282EAD8
+PART_BYTES = 32 << 20
 HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<qBBI")
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u4"), ("before", "<u8"), ("n_tokens", "<u4"), ("doc_id", "<i8"), ("flags", "u1")])
 MANIFEST = "shard int, file string, first_doc long, n_records long, n_tokens long, n_bytes long"
@@ -76,7 +77,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
 
     Returns the manifest (one row for each file; it is small and already on disk). Null texts are
     empty and give a record that holds the end id alone; a null doc_id sorts first; rows of the same
-    doc_id each give a record, ordered by text. Other columns are not read. No rows: an empty manifest.
+    doc_id each give a record, ordered by a digest of the text. Other columns are not read. No rows: an empty manifest.
     Rows are dealt by ranges of doc_id, so files follow each other in that order whatever the skew of
     other columns; a task holds one slice of its rows at a time.
     """
@@ -108,15 +109,19 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         if records:
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "first_doc": [first], "n_records": [records], "n_tokens": [before], "n_bytes": [offset]}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string())] + [(c, pa.int64()) for c in ("first_doc", "n_records", "n_tokens", "n_bytes")]))
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the digest deals rows of one doc_id to several tasks
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_index(manifest: DataFrame, folder: str, block: int = 4096) -> DataFrame:
+def read_index(manifest: DataFrame, folder: str, block: int = 1024) -> DataFrame:
     """One row per record: shard, file, offset, length, before, n_tokens, doc_id; read it in any order,
-    or shuffle it and give it to read_records for a shuffled pass over the data."""
-    blocks = manifest.withColumn("at", F.explode(F.expr(f"sequence(0L, n_records - 1, {block}L)"))).select("shard", "file", "at", F.least(F.lit(block), F.col("n_records") - F.col("at")).alias("n")).repartition("shard", "at")
+    or shuffle it and give it to read_records for a shuffled pass over the data. Its partitions follow the bytes of data, PART_BYTES each."""
+    size = manifest.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    blocks = manifest.withColumn("at", F.explode(F.expr(f"sequence(0L, n_records - 1, {block}L)"))).select("shard", "file", "at", F.least(F.lit(block), F.col("n_records") - F.col("at")).alias("n"))
+    blocks = blocks.repartition(max(1, -(-int(size) // PART_BYTES)), "shard", "at")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
