@@ -62,27 +62,34 @@ PLACE = {term: (group, i) for group in IDENTITY for i, term in enumerate(group)}
 PLACE_BEFORE = {term: (group, i) for group in BEFORE_PEOPLE for i, term in enumerate(group)}
 TERM = re.compile(rf"(?<![^\W\d_])(?:({'|'.join(PLACE_BEFORE)})(?=\s+(?:{'|'.join(PEOPLE)})(?![^\W\d_]))|({'|'.join(PLACE)}))(?![^\W\d_])")
 SENTENCE_END = re.compile(r"(?<=[.!?\n])\s+")
-_OF_WORD: dict[str, tuple[int, ...]] = {}  # of each Python worker, bounded
+KEPT_WORDS = 100_000  # whose slots a Python worker remembers
+SLICE = 3 << 20
+_PLACE: dict[str, int] = {}
+_SLOTS = np.empty((KEPT_WORDS, 1 + len(BEGINNINGS)), np.int32)
 
 
 def slot(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature) % SLOTS
 
 
-def _slots_of_word(word: str) -> tuple[int, ...]:
-    own = _OF_WORD.get(word)
-    if own is None:
-        own = (slot(word), *(slot(word[:k] + "+") if len(word) > k else -1 for k in BEGINNINGS))
-        if len(_OF_WORD) < 500_000:
-            _OF_WORD[word] = own
-    return own
+def _slots_of_words(words: list[str]) -> np.ndarray:
+    """A row of slots for each word: its own, then those of its beginnings, -1 where it is too short."""
+    at = np.fromiter((_PLACE.get(w, -1) for w in words), np.int64, len(words))
+    out = _SLOTS[at]
+    for i in np.flatnonzero(at < 0).tolist():
+        word = words[i]
+        out[i] = (slot(word), *(slot(word[:k] + "+") if len(word) > k else -1 for k in BEGINNINGS))
+        if len(_PLACE) < KEPT_WORDS:
+            _SLOTS[len(_PLACE)] = out[i]
+            _PLACE[word] = len(_PLACE)
+    return out
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Text number and slot of each feature of each text, ascending, each once."""
     words, bounds = split_words(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " "))
     coded = words.dictionary_encode()
-    table = np.array([_slots_of_word(w) for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, 1 + len(BEGINNINGS))
+    table = _slots_of_words(coded.dictionary.to_pylist())
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(bounds))
     met = np.unique(owner << 32 | coded.indices.to_numpy())
     slots = table[met & 0xFFFFFFFF]
@@ -153,7 +160,7 @@ def _feature_counts(labelled: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 2 * SLOTS), np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 doc, found = features(plain_texts(part.column("text")))
                 counts[0] += np.bincount(found, minlength=2 * SLOTS)
                 counts[1] += np.bincount(found[part.column("toxic").to_numpy()[doc] == 1], minlength=2 * SLOTS)
@@ -177,7 +184,7 @@ def _encoded(chosen: np.ndarray):
 
         empty = np.empty(0, np.int32)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 texts = plain_texts(part.column("text"))
                 out = [(int(y), x.tobytes(), b"") for x, y in zip(places(texts), part.column("toxic").to_pylist())]
                 before, after = [], []
@@ -243,7 +250,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
         weight = np.zeros(2 * SLOTS)
         weight[slots] = values
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 doc, found = features(plain_texts(part.column("text")))
                 z = base + np.bincount(doc, weight[found], part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=["doc_id", "score"])
