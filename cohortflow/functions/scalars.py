@@ -27,6 +27,12 @@ def hash_uniform(*keys: Column | str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 31)) / float(1 << 31)
 
 
+def digest_uniform(*keys: Column | str, seed: int = 0) -> Column:
+    """A number in [0, 1) from the MD5 digest of the keys and the seed as text, joined by "|"; other engines draw the same."""
+    text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def hazen_quantile(values: Column, q: float) -> Column:
     """Quantile of an array by Hazen's positions: n * q + 1/2, kept within [1, n - 1], then linear; null if empty."""
     v = F.array_sort(F.filter(values, lambda x: x.isNotNull()))

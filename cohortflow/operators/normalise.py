@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortflow.functions.ranks import column_quantiles
 from cohortflow.functions.scalars import clip, present
 
 
@@ -14,9 +15,9 @@ def moments(df: DataFrame, columns: list[str], by: list[str] | None = None, samp
     return df.groupBy(*(by or [])).agg(*[f(present(c)).alias(f"{p}_{c}") for c in columns for p, f in (("mean", F.avg), ("sd", sd))])
 
 
-def _with(df: DataFrame, stats: DataFrame, by: list[str] | None) -> DataFrame:
-    """stats has one row, or one for each site, of which there are few."""
-    return df.join(F.broadcast(stats), by) if by else df.crossJoin(F.broadcast(stats))
+def _with(df: DataFrame, stats: DataFrame, by: list[str] | None, how: str = "inner") -> DataFrame:
+    """stats has one row, or one for each group; Spark broadcasts them if they are small."""
+    return df.join(stats, by, how) if by else df.crossJoin(F.broadcast(stats))
 
 
 def zscore(df: DataFrame, columns: list[str], by: list[str] | None = None, sample: bool = True) -> DataFrame:
@@ -33,16 +34,18 @@ def log_shift(c: str) -> Column:
 
 def impute(df: DataFrame, means: list[str], medians: list[str], by: list[str] | None = None) -> DataFrame:
     """Missing values (null or NaN) as the group's mean or exact median."""
-    stats = df.groupBy(*(by or [])).agg(*[F.avg(present(c)).alias(f"_{c}") for c in means], *[F.median(present(c)).alias(f"_{c}") for c in medians])
+    stats = df.groupBy(*(by or [])).agg(*[F.avg(present(c)).alias(f"_{c}") for c in means], F.count(F.lit(1)).alias("_rows")).drop("_rows")
+    if medians:
+        stats = _with(stats, column_quantiles(df, medians, {"": 0.5}, by), by, "left")
     return _with(df, stats, by).withColumns({c: F.coalesce(present(c), F.col(f"_{c}")) for c in [*means, *medians]}).select(df.columns)
 
 
 def winsorise(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, by: list[str] | None = None) -> DataFrame:
     """Values within the group's exact quantiles; then infinities and nulls as 0."""
-    stats = df.groupBy(*(by or [])).agg(*[F.percentile(F.col(c), F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns])
-    held = {c: clip(F.col(c), F.col(f"_{c}")[0], F.col(f"_{c}")[1]) for c in columns}
+    stats = column_quantiles(df, columns, {"_low": low, "_high": high}, by)
+    held = {c: clip(F.col(c), F.col(f"_low_{c}"), F.col(f"_high_{c}")) for c in columns}
     finite = {c: F.when(held[c].isNull() | (F.abs(held[c]) == float("inf")), 0.0).otherwise(held[c]) for c in columns}
-    return _with(df, stats, by).withColumns(finite).select(df.columns)
+    return _with(df, stats, by, "left").withColumns(finite).select(df.columns)
 
 
 def site_preprocess(df: DataFrame, normal: list[str], log: list[str], binary: list[str], by: list[str]) -> DataFrame:

@@ -9,19 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortflow.functions.ranks import running
+from cohortflow.functions.scalars import digest_uniform
+
 SURVIVED, DIED = 751, 750
 
 
 def dose_bins(df: DataFrame, dose: str, bin_name: str, positive_only: bool) -> DataFrame:
     """df with bin_name: 1 for no dose, else 1 + the quartile bin of the dose's average rank among doses (``> 0`` or ``<> 0``).
 
-    Average ranks come from the counts of equal doses, so only distinct doses are ordered, not all rows.
+    Average ranks come from the counts of equal doses, so only distinct doses are ordered, not all rows, and those in ranges.
     """
     used = df.where(F.col(dose) > 0 if positive_only else F.col(dose) != 0)
-    counts = used.groupBy(dose).agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.orderBy(dose).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    rank = (F.coalesce(F.sum("_n").over(running), F.lit(0)) + (F.col("_n") + 1) / 2) / F.sum("_n").over(whole)
+    counts = running(used.groupBy(dose).agg(F.count(F.lit(1)).alias("_n")), dose, "_n")
+    rank = (F.col("before") + (F.col("_n") + 1) / 2) / F.col("total")
     bins = counts.select(F.col(dose).alias("_dose"), (F.floor((rank + 0.2499999999) * 4) + 1).cast("long").alias("_bin"))
     return df.join(bins, F.col(dose) == F.col("_dose"), "left").withColumn(bin_name, F.coalesce("_bin", F.lit(1).cast("long"))).drop("_dose", "_bin")
 
@@ -123,10 +124,10 @@ def weighted_importance(rows: DataFrame, weight: Column | None = None) -> Column
 
 def bootstrap_wis(rows: DataFrame, times: int, share: float, seed: int = 0) -> DataFrame:
     """boot, wis: weighted importance sampling over Bernoulli samples of stays, drawn by digests of (id, boot)."""
-    from cohortflow.functions.scalars import hash_uniform
-
-    boots = F.broadcast(rows.sparkSession.range(times).withColumnRenamed("id", "boot"))
-    return rows.crossJoin(boots).where(hash_uniform("icustayid", "boot", seed=seed) < share).groupBy("boot").agg(weighted_importance(rows).alias("wis"))
+    boots = F.broadcast(rows.sparkSession.range(times).withColumnRenamed("id", "boot"))  # the rows of a pair only pass through partial sums
+    drawn = rows.where(F.col("rho").isNotNull()).crossJoin(boots).where(digest_uniform("icustayid", "boot", seed=seed) < share)
+    sums = drawn.groupBy("boot").agg(weighted_importance(rows).alias("wis"))
+    return boots.join(sums, "boot", "left")
 
 
 def monte_carlo_q(log: DataFrame, gamma: float) -> DataFrame:

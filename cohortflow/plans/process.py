@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortflow.functions.scalars import hazen_quantile
+from cohortflow.functions import ranks
 from cohortflow.operators import trajectories as T
 
 from . import views
@@ -59,24 +59,25 @@ def _acts(spark, sf_dir):
 
 
 def _log(spark, sf_dir):
-    return T.trajectory_log(_acts(spark, sf_dir))
+    """The log, written once below spark.checkpoint.dir, so that what is derived from it doesn't build it again."""
+    return T.trajectory_log(_acts(spark, sf_dir)).checkpoint()
 
 
-def _counts(spark, sf_dir):
-    return T.transition_counts(_log(spark, sf_dir), LEAST)
+def _counts(log):
+    return T.transition_counts(log, LEAST).checkpoint()
 
 
-def _process(spark, sf_dir):
-    probs = T.transition_probs(_counts(spark, sf_dir))
+def _process(counts):
+    probs = T.transition_probs(counts)
     return probs, T.reward_matrix(probs)
 
 
-def _solved(spark, sf_dir):
-    return T.value_iteration(*_process(spark, sf_dir), GAMMA, 3)
+def _solved(counts):
+    return T.value_iteration(*_process(counts), GAMMA, 3)
 
 
-def _policies(spark, sf_dir):
-    return T.softened(T.behaviour_policy(_counts(spark, sf_dir)), N_ACTIONS), T.greedy_softened(_solved(spark, sf_dir).select("s", "best"), N_ACTIONS)
+def _policies(counts):
+    return T.softened(T.behaviour_policy(counts), N_ACTIONS), T.greedy_softened(_solved(counts).select("s", "best"), N_ACTIONS)
 
 
 @query(f"WITH {views.PANEL}, {BINS} SELECT event_id, io FROM bins")
@@ -96,7 +97,9 @@ def action_ids(spark, sf_dir):
 
 @query(f"WITH {views.PANEL}, {BINS}, {ACTS} SELECT action, io, vc, round(median(iv), 6) AS iv_median, round(median(vaso), 6) AS vaso_median, count(*) AS n FROM acts GROUP BY action, io, vc")
 def bin_medians(spark, sf_dir):
-    return _acts(spark, sf_dir).groupBy("action", "io", "vc").agg(F.round(F.median("iv"), 6).alias("iv_median"), F.round(F.median("vaso"), 6).alias("vaso_median"), F.count(F.lit(1)).alias("n"))
+    acts, key = _acts(spark, sf_dir).select("action", "io", "vc", "iv", "vaso").checkpoint(), ["action", "io", "vc"]
+    medians = ranks.column_quantiles(acts, ["iv", "vaso"], {"median": 0.5}, key)
+    return acts.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(medians, key).select(*key, F.round("median_iv", 6).alias("iv_median"), F.round("median_vaso", 6).alias("vaso_median"), "n")
 
 
 @query(f"WITH {BASE} SELECT icustayid, bloc, state, action, reward FROM log")
@@ -111,44 +114,44 @@ def terminal_rows(spark, sf_dir):
 
 @query(f"WITH {BASE} SELECT s, a, s2, n FROM cnt")
 def transition_counts(spark, sf_dir):
-    return _counts(spark, sf_dir)
+    return _counts(_log(spark, sf_dir))
 
 
 @query(f"WITH {BASE} SELECT s, a, s2, round(p, 6) AS p FROM pr")
 def transition_probs(spark, sf_dir):
-    return T.transition_probs(_counts(spark, sf_dir)).select("s", "a", "s2", F.round("p", 6).alias("p"))
+    return T.transition_probs(_counts(_log(spark, sf_dir))).select("s", "a", "s2", F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {BASE} SELECT s, a, round(p, 6) AS p FROM pib")
 def behaviour_policy(spark, sf_dir):
-    return T.behaviour_policy(_counts(spark, sf_dir)).withColumn("p", F.round("p", 6))
+    return T.behaviour_policy(_counts(_log(spark, sf_dir))).withColumn("p", F.round("p", 6))
 
 
 @query(f"WITH {BASE} SELECT s, a, round(r, 6) AS r FROM rew")
 def reward_matrix(spark, sf_dir):
-    return _process(spark, sf_dir)[1].withColumn("r", F.round("r", 6))
+    return _process(_counts(_log(spark, sf_dir)))[1].withColumn("r", F.round("r", 6))
 
 
 @query(f"WITH {BASE} SELECT count(*) AS pairs, count(*) FILTER (abs(t - 1) > 1e-9) AS not_stochastic, coalesce(sum(neg), 0)::BIGINT AS negative FROM (SELECT s, a, sum(p) AS t, sum(CASE WHEN p < 0 THEN 1 ELSE 0 END) AS neg FROM pr GROUP BY s, a)")
 def mdp_validate(spark, sf_dir):
-    sums = _process(spark, sf_dir)[0].groupBy("s", "a").agg(F.sum("p").alias("t"), F.count(F.when(F.col("p") < 0, 1)).alias("neg"))
+    sums = _process(_counts(_log(spark, sf_dir)))[0].groupBy("s", "a").agg(F.sum("p").alias("t"), F.count(F.when(F.col("p") < 0, 1)).alias("neg"))
     return sums.agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.abs(F.col("t") - 1) > 1e-9, 1)).alias("not_stochastic"), F.coalesce(F.sum("neg"), F.lit(0)).alias("negative"))
 
 
 @query(f"WITH {BASE}, {SWEEPS} SELECT s, a, round(q, 6) AS q FROM q2")
 def bellman_1(spark, sf_dir):
-    probs, rewards = _process(spark, sf_dir)
+    probs, rewards = _process(_counts(_log(spark, sf_dir)))
     return T.q_values(probs, rewards, T.greedy(T.q_values(probs, rewards, None, GAMMA)), GAMMA).withColumn("q", F.round("q", 6))
 
 
 @query(f"WITH {BASE}, {SWEEPS} SELECT s, round(v, 6) AS v FROM v3")
 def value_iter_3(spark, sf_dir):
-    return _solved(spark, sf_dir).select("s", F.round("v", 6).alias("v"))
+    return _solved(_counts(_log(spark, sf_dir))).select("s", F.round("v", 6).alias("v"))
 
 
 @query(f"WITH {BASE}, {SWEEPS} SELECT 1 AS steps_left, s, round(v, 6) AS v FROM v1 UNION ALL SELECT 2, s, round(v, 6) FROM v2 UNION ALL SELECT 3, s, round(v, 6) FROM v3")
 def finite_horizon_3(spark, sf_dir):
-    probs, rewards = _process(spark, sf_dir)
+    probs, rewards = _process(_counts(_log(spark, sf_dir)))
     out, found = None, None
     for i in (1, 2, 3):
         found = T.greedy(T.q_values(probs, rewards, found, GAMMA))
@@ -159,23 +162,25 @@ def finite_horizon_3(spark, sf_dir):
 
 @query(f"WITH {BASE}, {SWEEPS}, {BEST} SELECT s, best FROM best")
 def greedy_policy(spark, sf_dir):
-    return _solved(spark, sf_dir).select("s", "best")
+    return _solved(_counts(_log(spark, sf_dir))).select("s", "best")
 
 
 @query(f"WITH {ALL} SELECT sb.s, sb.a, round(sb.p, 6) AS pi_b, round(se.p, 6) AS pi_e FROM sb JOIN se ON sb.s = se.s AND sb.a = se.a")
 def softened_policies(spark, sf_dir):
-    b, e = _policies(spark, sf_dir)
+    b, e = _policies(_counts(_log(spark, sf_dir)))
     return b.withColumnRenamed("p", "pi_b").join(e.withColumnRenamed("p", "pi_e"), ["s", "a"]).select("s", "a", F.round("pi_b", 6).alias("pi_b"), F.round("pi_e", 6).alias("pi_e"))
 
 
 @query(f"WITH {ALL} SELECT icustayid, bloc, state, action, round(sb.p, 6) AS pi_b, round(se.p, 6) AS pi_e FROM log LEFT JOIN sb ON state = sb.s AND action = sb.a LEFT JOIN se ON state = se.s AND action = se.a")
 def log_with_policies(spark, sf_dir):
-    b, e = (x.select(F.col("s").alias("state"), F.col("a").alias("action"), F.round("p", 6).alias(n)) for x, n in zip(_policies(spark, sf_dir), ("pi_b", "pi_e")))
-    return _log(spark, sf_dir).join(b, ["state", "action"], "left").join(e, ["state", "action"], "left").select("icustayid", "bloc", "state", "action", "pi_b", "pi_e")
+    log = _log(spark, sf_dir)
+    b, e = (x.select(F.col("s").alias("state"), F.col("a").alias("action"), F.round("p", 6).alias(n)) for x, n in zip(_policies(_counts(log)), ("pi_b", "pi_e")))
+    return log.join(b, ["state", "action"], "left").join(e, ["state", "action"], "left").select("icustayid", "bloc", "state", "action", "pi_b", "pi_e")
 
 
 def _returns(spark, sf_dir):
-    return T.returns(_log(spark, sf_dir), *_policies(spark, sf_dir), GAMMA)
+    log = _log(spark, sf_dir)
+    return T.returns(log, *_policies(_counts(log)), GAMMA).checkpoint()
 
 
 @query(f"WITH {ALL} SELECT icustayid, round(ln(rho), 5) AS ln_rho, round(g, 5) AS g FROM rho")
@@ -189,9 +194,12 @@ def wis_full(spark, sf_dir):
     return rows.agg(F.round(T.weighted_importance(rows), 4).alias("wis"))
 
 
-@query()
+BOOTS = 750  # of the training rows; 2,000 of the held-out ones, in model_row
+
+
+@query(f"WITH {ALL}, b AS (SELECT unnest(range({BOOTS})) AS boot), d AS (SELECT boot, rho, g FROM rho, b WHERE rho IS NOT NULL AND CAST('0x' || substr(md5(icustayid || '|' || boot || '|0'), 1, 8) AS BIGINT) / 4294967296.0 < 0.75) SELECT b.boot, round(sum(rho * g) / nullif(sum(rho), 0), 4) AS wis FROM b LEFT JOIN d ON b.boot = d.boot GROUP BY b.boot")
 def wis_boot(spark, sf_dir):
-    return T.bootstrap_wis(_returns(spark, sf_dir), 50, 0.75)
+    return T.bootstrap_wis(_returns(spark, sf_dir), BOOTS, 0.75).withColumn("wis", F.round("wis", 4))
 
 
 MCQ = f"mcq AS (SELECT state AS s, action AS a, avg(pow({GAMMA}, last - bloc - 1) * final) AS q FROM (SELECT *, row_number() OVER (PARTITION BY icustayid ORDER BY bloc) AS t, max(bloc) OVER (PARTITION BY icustayid) AS last, sum(reward) OVER (PARTITION BY icustayid) AS final FROM log) WHERE action >= 0 AND t > 1 GROUP BY state, action)"
@@ -205,7 +213,7 @@ def mc_q(spark, sf_dir):
 @query(f"WITH {BASE}, {MCQ}, vv AS (SELECT pib.s, sum(p * q) AS v FROM pib JOIN mcq ON pib.s = mcq.s AND pib.a = mcq.a GROUP BY pib.s), d0 AS (SELECT state AS s, count(*) AS n FROM log WHERE bloc = 1 GROUP BY state) SELECT round(sum(n * v) / sum(n), 6) AS td_value FROM d0 LEFT JOIN vv ON d0.s = vv.s")
 def td_value(spark, sf_dir):
     log = _log(spark, sf_dir)
-    return T.value_of_policy(T.monte_carlo_q(log, GAMMA), T.behaviour_policy(_counts(spark, sf_dir)), log).withColumn("td_value", F.round("td_value", 6))
+    return T.value_of_policy(T.monte_carlo_q(log, GAMMA), T.behaviour_policy(_counts(log)), log).withColumn("td_value", F.round("td_value", 6))
 
 
 def _hazen_sql(q: float) -> str:
@@ -214,8 +222,8 @@ def _hazen_sql(q: float) -> str:
 
 @query("WITH g AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY event_type), k AS (SELECT *, " + ", ".join(f"greatest(1, least(CAST(floor(n * {q} + 0.5) AS BIGINT), n - 1)) AS k{int(q * 100)}" for q in (0.05, 0.5, 0.95)) + " FROM g) SELECT event_type, " + ", ".join(f"round({_hazen_sql(q)}, 6) AS q{int(q * 100)}" for q in (0.05, 0.5, 0.95)) + " FROM k")
 def boot_quantiles(spark, sf_dir):
-    g = views.table(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return g.select("event_type", *[F.round(hazen_quantile(F.col("v"), q), 6).alias(f"q{int(q * 100)}") for q in (0.05, 0.5, 0.95)])
+    found = ranks.quantiles(views.table(spark, sf_dir, "events"), "value", {f"q{int(q * 100)}": q for q in (0.05, 0.5, 0.95)}, ["event_type"], ranks.hazen)
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in found.columns[1:]])
 
 
 @query(f"WITH {views.PANEL} SELECT icustayid, bloc, greatest(0.0, max(value - 50) OVER (PARTITION BY icustayid ORDER BY bloc)) AS top FROM panel")
@@ -227,10 +235,10 @@ def running_max(spark, sf_dir):
 @query("WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type) SELECT event_type, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3, round(min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)), 6) AS low, round(max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)), 6) AS high FROM events JOIN q USING (event_type) GROUP BY event_type, q1, q2, q3")
 def boxplot_stats(spark, sf_dir):
     e = views.table(spark, sf_dir, "events").select("event_type", "value")
-    q = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select("event_type", *[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)])
+    q = ranks.quantiles(e, "value", {f"q{i}": i / 4 for i in (1, 2, 3)}, ["event_type"])
     span = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col("value")
-    whiskers = e.join(F.broadcast(q), "event_type").groupBy("event_type", "q1", "q2", "q3").agg(F.min(F.when(v >= F.col("q1") - span, v)).alias("low"), F.max(F.when(v <= F.col("q3") + span, v)).alias("high"))
+    whiskers = e.join(q, "event_type").groupBy("event_type", "q1", "q2", "q3").agg(F.min(F.when(v >= F.col("q1") - span, v)).alias("low"), F.max(F.when(v <= F.col("q3") + span, v)).alias("high"))
     return whiskers.select("event_type", *[F.round(c, 6).alias(c) for c in ("q1", "q2", "q3", "low", "high")])
 
 

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 def _knn_sql(x: str) -> str:
     d2 = vectors.D2.format
-    return f"""{views.FEATURES}, cut AS (SELECT id, label, {x} AS x FROM feat), va AS (SELECT * FROM cut WHERE id % 5 = 0), tr AS (SELECT * FROM cut WHERE id % 5 <> 0),
+    return f"""{views.FEATURES}, cut AS (SELECT id, label, {x} AS x FROM feat), va AS (SELECT * FROM cut WHERE id % 20 = 0), tr AS (SELECT * FROM cut WHERE id % 20 <> 0),
  nn AS (SELECT va.id, va.label, tr.label AS tl, row_number() OVER (PARTITION BY va.id ORDER BY {d2(a='va.x', b='tr.x')}, tr.id) AS r FROM va, tr),
  votes AS (SELECT id, label, tl, count(*) AS n FROM nn WHERE r <= {K} GROUP BY id, label, tl), pred AS (SELECT id, label, tl AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, tl) AS r FROM votes) WHERE r = 1),
  f AS (SELECT c, 2.0::DOUBLE * count(*) FILTER (label = predicted) / (count(*) + count(*) FILTER (label = predicted)) AS f FROM (SELECT label AS c, label, predicted FROM pred UNION ALL SELECT predicted, label, predicted FROM pred WHERE predicted <> label) GROUP BY c),
@@ -34,7 +34,7 @@ def _knn_sql(x: str) -> str:
 
 def _split(spark, sf_dir):
     points = views.features(spark, sf_dir)
-    return points.where("id % 5 <> 0"), points.where("id % 5 = 0")
+    return points.where("id % 20 <> 0"), points.where("id % 20 = 0")
 
 
 @query(f"WITH {_knn_sql('x')} SELECT id, label, predicted FROM pred")
@@ -58,11 +58,9 @@ def subset_fitness(spark, sf_dir):
     return neighbours.subset_fitness(*_split(spark, sf_dir), DIMS_USED, 64).withColumn("fitness", F.round("fitness", 6))
 
 
-@query(f"WITH {views.FEATURES}, m AS (SELECT p.id, p.label, q.label AS o, sum(sqrt({vectors.D2.format(a='p.x', b='q.x')})) AS t, count(*) AS n FROM feat p, feat q WHERE p.id % 20 = 0 GROUP BY p.id, p.label, q.label), s AS (SELECT id, max(CASE WHEN label = o AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN label <> o THEN t / n END) AS b FROM m GROUP BY id) SELECT round(avg(coalesce((b - a) / nullif(CASE WHEN a IS NOT NULL THEN greatest(a, b) END, 0), 0)), 6) AS score FROM s")
+@query(f"WITH {views.FEATURES}, m AS (SELECT p.id, p.label, q.label AS o, sum(sqrt({vectors.D2.format(a='p.x', b='q.x')})) AS t, count(*) AS n FROM feat p, feat q GROUP BY p.id, p.label, q.label), s AS (SELECT id, max(CASE WHEN label = o AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN label <> o THEN t / n END) AS b FROM m GROUP BY id) SELECT round(avg(coalesce((b - a) / nullif(CASE WHEN a IS NOT NULL THEN greatest(a, b) END, 0), 0)), 6) AS score FROM s")
 def silhouette(spark, sf_dir):
-    """The stated queries are the ids divisible by 20; each meets all rows."""
-    points = views.features(spark, sf_dir)
-    return neighbours.silhouettes(points, points.where("id % 20 = 0")).agg(F.round(F.avg("s"), 6).alias("score"))
+    return neighbours.silhouettes(views.features(spark, sf_dir)).agg(F.round(F.avg("s"), 6).alias("score"))
 
 
 _IMPUTE = """WITH g AS (SELECT l_orderkey, CASE WHEN l_partkey % 11 <> 0 THEN l_quantity END AS q, CASE WHEN l_suppkey % 7 <> 0 THEN l_extendedprice END AS e, l_discount AS d, l_tax AS t FROM lineitem),
@@ -111,23 +109,46 @@ def fed_pso_optimum(spark, sf_dir):
 
 
 def _kept_process(spark, sf_dir):
-    probs, rewards = process._process(spark, sf_dir)
+    probs, rewards = process._process(process._counts(process._log(spark, sf_dir)))
     return probs.select("s", "a", "s2", "p").checkpoint(), rewards.checkpoint()
 
 
-@query()
+def _states_sql(gamma: float, limit: float, most: int, rest: str = "") -> str:
+    """Sweeps from zero over states with an action, until a sweep's changes span less than limit: rows (n, s, v) of each sweep."""
+    swept = f"SELECT w.n, w.s, max(rew.r + {gamma} * coalesce(x.ahead, 0)) AS v, any_value(w.v) AS old FROM (SELECT * FROM it WHERE going) w JOIN rew ON rew.s = w.s LEFT JOIN (SELECT pr.s, pr.a, sum(pr.p * y.v) AS ahead FROM pr JOIN (SELECT * FROM it WHERE going) y ON y.s = pr.s2 GROUP BY pr.s, pr.a) x ON x.s = rew.s AND x.a = rew.a GROUP BY w.n, w.s"
+    return f"it AS (SELECT 0 AS n, s, 0.0::DOUBLE AS v, true AS going FROM (SELECT DISTINCT s FROM rew) UNION ALL SELECT n + 1, s, v, max(v - old) OVER () - min(v - old) OVER () >= {limit} AND n + 1 < {most} FROM ({swept}))"
+
+
+def _solution_sql(gamma: float, limit: float, most: int, base: str = process.BASE) -> str:
+    return f"""WITH RECURSIVE {base}, {_states_sql(gamma, limit, most)}, last AS (SELECT s, v FROM it WHERE n = (SELECT max(n) FROM it)), before AS (SELECT s, v FROM it WHERE n = (SELECT max(n) - 1 FROM it)),
+ q AS (SELECT rew.s, rew.a, r + {gamma} * coalesce(x.v, 0) AS q FROM rew LEFT JOIN (SELECT pr.s, a, sum(p * v) AS v FROM pr JOIN before ON pr.s2 = before.s GROUP BY pr.s, a) x ON rew.s = x.s AND rew.a = x.a)
+ SELECT last.s, (SELECT min(a) FROM q WHERE q.s = last.s AND q.q >= (SELECT max(q) FROM q z WHERE z.s = last.s) - 1e-9) AS best, round(last.v, 6) AS v FROM last"""
+
+
+def _solution(spark, sf_dir, method, gamma, **options):
+    found = solvers.solved(*_kept_process(spark, sf_dir), method, gamma, **options)
+    return found.select("s", "best", F.round("v", 6).alias("v")).distinct()
+
+
+@query(_solution_sql(0.9, 0.01 * (1 - 0.9) / 0.9, 1000))
 def value_iteration(spark, sf_dir):
-    return solvers.solve_by_values(*_kept_process(spark, sf_dir), 0.9)[0].select("s", "best", F.round("v", 6).alias("v"))
+    return _solution(spark, sf_dir, "values", 0.9)
 
 
-@query()
+@query(_solution_sql(process.GAMMA, 1e-10, 6000))
 def policy_iteration(spark, sf_dir):
-    return solvers.solve_by_policies(*_kept_process(spark, sf_dir), process.GAMMA)[0].select("s", "best", F.round("v", 6).alias("v"))
+    return _solution(spark, sf_dir, "policies", process.GAMMA)
+
+
+@query()
+def policy_iteration_q(spark, sf_dir):
+    """The table of q that a model keeps beside its policy."""
+    return solvers.solved(*_kept_process(spark, sf_dir), "policies", process.GAMMA).select("s", "a", F.round("q", 6).alias("q"))
 
 
 @query()
 def modified_pi(spark, sf_dir):
-    return solvers.solve_by_partial_policies(*_kept_process(spark, sf_dir), 0.9)[0].select("s", "best", F.round("v", 6).alias("v"))
+    return _solution(spark, sf_dir, "partial", 0.9)
 
 
 @query()
@@ -136,8 +157,8 @@ def relative_vi(spark, sf_dir):
     probs, rewards = _kept_process(spark, sf_dir)
     again = spark.createDataFrame([(s, 0, 0, 1.0) for s in (750, 751)], "s long, a long, s2 long, p double")
     none = again.select("s", "a", F.lit(0.0).alias("r"))
-    found, gain, _ = solvers.relative_values(probs.unionByName(again), rewards.unionByName(none))
-    return found.select("s", "best", F.round("v", 6).alias("v"), F.round(F.lit(gain), 6).alias("average_reward"))
+    found = solvers.solved(probs.unionByName(again), rewards.unionByName(none), "relative")
+    return found.select("s", "best", F.round("v", 6).alias("v"), F.round("gain", 6).alias("average_reward")).distinct()
 
 
 @query()
@@ -155,7 +176,7 @@ def choose_k(spark, sf_dir):
 @query()
 def kmeans_best_of_n(spark, sf_dir):
     points = views.features(spark, sf_dir)
-    centres, _ = models.kmeans_restarts(points, 10, 4, 100)
+    centres, _ = models.kmeans_restarts(points, 10)
     return clusters.nearest(points, centres).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d2"), 4).alias("inertia"))
 
 

@@ -32,6 +32,26 @@ def test_value_sweeps(spark):
     assert n == 4 and values(found)[0] == [0, 0, 0] and values(found)[1] == pytest.approx([5.93215488, 9.38815488, 13.38815488])
 
 
+def test_solved_in_one_task(spark):
+    """Published solutions of the two small processes."""
+
+    def of(process, *options, **more):
+        rows = sorted({(r["s"], r["best"], r["v"], r["rounds"], r["gain"]) for r in solvers.solved(*process, *options, **more).collect()})
+        return [r[1] for r in rows], [r[2] for r in rows], rows[0][3], rows[0][4]
+
+    forest, small = process(spark, *FOREST), process(spark, *SMALL)
+    assert of(forest, "values", 0.96)[::2] == ([0, 0, 0], 4) and of(forest, "values", 0.96)[1] == pytest.approx([5.93215488, 9.38815488, 13.38815488])
+    assert of(small, "values", 0.9)[::2] == ([1, 0], 26) and of(small, "values", 0.9)[1] == pytest.approx([40.04862539, 33.65371176])
+    assert of(forest, "policies", 0.9)[1] == pytest.approx([26.244, 29.484, 33.484])
+    assert of(small, "policies", 0.9)[1] == pytest.approx([42.44186047, 36.04651163]) and of(small, "policies", 0.9)[0] == [1, 0]
+    assert of(forest, "partial", 0.9)[1] == pytest.approx([21.81408652, 25.05408652, 29.05408652])
+    assert of(forest, "relative")[0::2] == ([0, 0, 0], 4) and of(forest, "relative")[3] == pytest.approx(3.24)
+    assert of(small, "relative")[0::2] == ([1, 0], 29) and of(small, "relative")[3] == pytest.approx(3.885235246411831)
+    with pytest.raises(ValueError):
+        wide = spark.range(2000).selectExpr("id as s", "0L as a", "id as s2", "1.0D as p")
+        solvers.solved(wide, wide.selectExpr("s", "a", "p as r"), "values", 0.9)
+
+
 def test_policy_rounds(spark):
     assert values(solvers.solve_by_policies(*process(spark, *FOREST), 0.9)[0])[1] == pytest.approx([26.244, 29.484, 33.484])
     best, v = values(solvers.solve_by_policies(*process(spark, *SMALL), 0.9)[0])
