@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortflow.plans import clinical, process, searches, vectors
+from cohortflow.plans import clinical, flow, process, searches, vectors
 
-MODULES = (clinical, process, vectors, searches)
+MODULES = (clinical, process, vectors, searches, flow)
 
 
 def queries():

@@ -12,6 +12,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .clusters import nearest
+from .neighbours import silhouettes
+
 
 def _vectors(points: DataFrame) -> DataFrame:
     return points.withColumn("_x", array_to_vector("x"))
@@ -61,6 +64,18 @@ def clusters_by_elbow(points: DataFrame, n: int, d: int, runs: int = 5, least: i
     return elbow(ks, [kmeans_restarts(points, k, runs, 100)[1] for k in ks])
 
 
+def clusters_by_silhouette(points: DataFrame, n: int, d: int, runs: int = 5, least: int = 2, most: int = 50) -> list[tuple[int, float]]:
+    """[(k, score)] of the k of the best mean silhouette about the heuristic, from 3 below to 7 above in steps of 2; the smaller of equals. Every point counts."""
+    about, best = heuristic_clusters(n, d), None
+    for k in range(max(least, about - 3), min(most, about + 7) + 1, 2):
+        centres, _ = kmeans_restarts(points, k, runs, 100)
+        labelled = nearest(points, centres).select("id", "x", F.col("k").alias("label")).checkpoint()
+        score = silhouettes(labelled).agg(F.avg("s")).first()[0]
+        if best is None or score > best[1]:
+            best = (k, score)
+    return [best] if best else []
+
+
 def components(points: DataFrame, n: int = 2) -> DataFrame:
     """id, pc: centred vectors on their first principal axes; the largest loading of an axis is positive."""
     data = _vectors(points)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from cohortflow.functions.ranks import column_quantiles
 from cohortflow.functions.scalars import clip, present
 
+from .cohorts import first_rows
+
 
 def moments(df: DataFrame, columns: list[str], by: list[str] | None = None, sample: bool = True) -> DataFrame:
     """One row (or one for each group) with mean_c and sd_c of each column; NaN is missing; sd with n - 1 or n below."""
@@ -27,6 +32,57 @@ def zscore(df: DataFrame, columns: list[str], by: list[str] | None = None, sampl
     return _with(df, stats, by).withColumns(scaled).select(df.columns)
 
 
+def scale_by(df: DataFrame, stats: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """df scaled by given moments (mean_c, sd_c), such as those of training rows, for rows that had no part in them; a sd of 0 counts as 1."""
+    scaled = {c: (F.col(c) - F.col(f"mean_{c}")) / F.when(F.col(f"sd_{c}") == 0, 1.0).otherwise(F.col(f"sd_{c}")) for c in columns}
+    return _with(df, stats, by).withColumns(scaled).select(df.columns)
+
+
+def normalised(df: DataFrame, binary: list[str], normal: list[str], log: list[str], dose: str | None = None, doubled: str | None = None, stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(df, moments): binary columns less a half, normal ones scaled, log ones scaled after ln(0.1 + c), n - 1 below; a dose is ln(c + 0.6) after its half is
+    taken off, so ln(0.1 + dose); one column counts twice. With ``stats`` given, those moments are used, otherwise those of df."""
+    shifted = df.withColumns({c: log_shift(c) for c in log})
+    stats = moments(shifted, normal + log) if stats is None else stats
+    out = scale_by(shifted, stats, normal + log).withColumns({c: F.col(c) - 0.5 for c in binary})
+    if dose:
+        out = out.withColumn(dose, F.ln(F.col(dose) + 0.6))
+    return (out.withColumn(doubled, 2 * F.col(doubled)) if doubled else out), stats
+
+
+@dataclass(frozen=True)
+class SitePreprocessing:
+    """What a site's preprocessing does, in this order: first row of each stay, selection, imputation, clipping to quantiles, log-shift, pruning, scaling."""
+
+    normal: tuple[str, ...]
+    log: tuple[str, ...]
+    binary: tuple[str, ...]
+    first_bloc: bool = True
+    low: float = 0.01
+    high: float = 0.99
+    prune: bool = False
+    most: float = 0.9
+
+    def run(self, df: DataFrame, key: str, order: str, site: str) -> DataFrame:
+        """key, site and the features that are left."""
+        rows = first_rows(df, key, order) if self.first_bloc else df
+        normal, log, binary = ([c for c in columns if c in df.columns] for columns in (self.normal, self.log, self.binary))
+        filled = winsorise(impute(rows.select(key, site, *normal, *log, *binary), normal + binary, log, [site]), normal + log, self.low, self.high, [site])
+        shifted = filled.withColumns({c: log_shift(c) for c in log})
+        gone = {r["name"] for r in correlated_columns(shifted, normal + log, self.most).collect()} if self.prune else set()
+        kept = [c for c in normal + log if c not in gone]
+        return zscore(shifted.drop(*gone), kept, [site], sample=False).withColumns({c: F.col(c) - 0.5 for c in binary})
+
+
+def chosen_columns(df: DataFrame, wanted: list[str]) -> tuple[list[str], list[str]]:
+    """Those of the wanted columns that df has, in the order wanted, and those that it lacks."""
+    return [c for c in wanted if c in df.columns], [c for c in wanted if c not in df.columns]
+
+
+def numeric_columns(df: DataFrame, without: list[str]) -> list[str]:
+    """All numeric columns but those excluded: what is used when no features are named."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in without]
+
+
 def log_shift(c: str) -> Column:
     """ln(0.1 + c), with c below 0 as 0; null stays null."""
     return F.when(F.col(c).isNotNull(), F.ln(F.lit(0.1) + F.greatest(F.col(c), F.lit(0.0))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -58,3 +60,31 @@ def write_json(df: DataFrame, path: str) -> None:
 def replace_view(df: DataFrame, name: str) -> None:
     """A materialised view: the query's rows as a table, dropped and made again."""
     df.write.mode("overwrite").format("parquet").saveAsTable(name)
+
+
+def write_csv_for_spreadsheets(df: DataFrame, path: str) -> None:
+    """CSV files that begin with a UTF-8 byte order mark, which spreadsheets want: the mark is part of each file's header line."""
+    names = df.columns
+    marked = df.select(*[F.col(c).alias(("\ufeff" if i == 0 else "") + c) for i, c in enumerate(names)])
+    marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
+    """One table below folder for each name: a stored model, a step's state, or the sheets of a report."""
+    for name, df in tables.items():
+        (df.write.mode("overwrite").option("header", True) if kind == "csv" else df.write.mode("overwrite")).format(kind).save(f"{folder.rstrip('/')}/{name}")
+
+
+def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """The tables that write_tables stored; a name that is not there raises."""
+    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """The one text column of df as lines."""
+    df.write.mode("overwrite").text(path)
+
+
+def run_folder(root: str, name: str, at: datetime | None = None) -> str:
+    """Where a run's output goes: root, name and the time."""
+    return f"{root.rstrip('/')}/{name}_{(at or datetime.now()).strftime('%Y%m%d_%H%M%S')}"
