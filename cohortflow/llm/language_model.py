@@ -76,7 +76,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, size=24 << 20):
+            for part in slices(batch, size=8 << 20):
                 flat, _ = split_words(pc.ascii_lower(plain_texts(part.column("text"))))
                 found = flat.value_counts()
                 words = pa.concat_arrays([found.field(0).cast(pa.string()), pa.array([END])])
@@ -134,7 +134,7 @@ def trained(texts: DataFrame, coder_of, mass: np.ndarray) -> dict[str, np.ndarra
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             coder, learner = coder_of(), Learner(sent.value)
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, size=10 << 20):
                     found, bounds, *_ = coder.code(plain_texts(part.column("text")))
                     learner.learn(found, bounds)
             sums = np.append(np.rint(flattened(learner.m) * learner.tokens * UNIT), learner.tokens).astype(np.int64)
@@ -191,7 +191,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, weights = _coder(key, head), model.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=10 << 20):
                 found, bounds, place, codes, plain, listing = coder.code(plain_texts(part.column("text")))
                 n = part.num_rows
                 doc = np.repeat(np.arange(n), np.diff(plain))

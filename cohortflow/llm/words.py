@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-SLICE_BYTES = 10 << 20
+SLICE_BYTES = 4 << 20
 
 
 def plain_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
