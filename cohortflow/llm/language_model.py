@@ -2,12 +2,14 @@
 
 The probability of a token is that of its class, given all of the text before it, times its share of the class:
 
-* a gated recurrent network, trained by truncated backpropagation, gives the classes; it is trained on every token of all
-  training texts, ``PASSES`` times: in a pass each task learns from its whole texts, beginning from the same weights, and a grouped
-  sum of fixed size averages the tasks' weights, each by its tokens;
-* shares are counts over all training texts, smoothed by 0.5, with one place for unseen words in each class.
+* a gated recurrent network, trained by truncated backpropagation, gives the classes and, for the LEARNED most frequent words, the words of a class: both
+  are softmax layers over its state. Its classes of learned words are runs of words by frequency, of about equal mass by the root of the count;
+* all other words are classed by shape, and their shares are counts over all training texts, smoothed by 0.5, with one place for unseen words in each.
 
-Words are classed by shape and frequency. The ``HEAD`` most frequent words, bounded whatever the corpus, go to all tasks;
+The network is trained on every token of every training text once: texts are dealt to ROUNDS rounds by a digest; in a round each task learns from its
+whole texts, beginning from the same weights, and a grouped sum of fixed size averages the tasks' weights, each by its tokens.
+
+The ``HEAD`` most frequent words, bounded whatever the corpus, go to all tasks;
 the counts of all other words stay in a table of the size of the vocabulary, to which the texts' rare words are joined.
 """
 
@@ -21,15 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recurrent import Learner, flattened, score, start, unflattened
+from .recurrent import Layout, Learner, flattened, score, start, unflattened
 from .shared import Scratch, held_out
 from .words import plain_texts, slices, split_words
 
 HEAD = 65_536
-CLASSES = 64
+LEARNED, LEARNED_CLASSES, MOST_WORDS = 4_096, 56, 128  # words with a softmax of their own, their classes, and the words of a class
 SHAPES = 8
-HIDDEN, WIDTH = 16, 16
-PASSES = 2
+HIDDEN, WIDTH = 24, 16
+ROUNDS = 2
 UNIT = 1 << 16  # sums of weights are whole numbers of 1 / UNIT, so their order changes nothing
 END = ""  # no word is empty
 
@@ -50,25 +52,17 @@ def shapes(words: pa.Array) -> np.ndarray:
     return out
 
 
-def class_table(words: pa.Array, counts: np.ndarray, tail_mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each head word, and the class of unlisted words of each shape. Words come by falling count.
-
-    Every shape has one class for its unlisted words; the others go to shapes by their mass, and in a shape each
-    class takes an equal part of it.
-    """
-    shape = shapes(words)
-    mass = np.bincount(shape, counts, SHAPES)
-    free = CLASSES - SHAPES
-    share = np.maximum(1, np.floor(free * mass / max(1, mass.sum())).astype(int)) * (mass > 0)
-    while share.sum() > free:
-        share[np.argmax(share)] -= 1
-    out, first = np.zeros(len(words), np.int64), SHAPES
-    for s in np.flatnonzero(share):
-        own = np.flatnonzero(shape == s)
-        before = np.cumsum(counts[own]) - counts[own]
-        out[own] = first + np.minimum(share[s] - 1, before * share[s] // max(1, counts[own].sum()))
-        first += share[s]
-    return out, np.arange(SHAPES)
+def classes_of(counts: np.ndarray) -> Layout:
+    """Classes of learned words, whose counts fall: about equal sums of roots of counts, MOST_WORDS words at most."""
+    words = min(len(counts), LEARNED)
+    roots = np.sqrt(counts[:words].astype(float))
+    share, firsts, mass, n = roots.sum() / LEARNED_CLASSES, [], 0.0, 0
+    for w in range(words):
+        if not firsts or mass >= share or n >= MOST_WORDS:
+            firsts.append(w)
+            mass, n = 0.0, 0
+        mass, n = mass + roots[w], n + 1
+    return Layout(words, np.array(firsts, np.int64), SHAPES)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -87,31 +81,33 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Coder:
-    """Class and smoothed log10 count of each token of a batch, for words of the head; others by shape alone."""
+    """Code and smoothed log10 count of each token of a batch, for words of the head; others by shape alone."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, classes: np.ndarray):
-        self.words, self.classes = pa.array(words, pa.large_string()), np.append(classes, 0)
+    def __init__(self, words: list[str], counts: np.ndarray, layout: Layout):
+        self.words, self.layout = pa.array(words, pa.large_string()), layout
+        shaped = layout.words + shapes(self.words)
+        self.codes = np.append(np.where(np.arange(len(words)) < layout.words, np.arange(len(words)), shaped), 0)
         self.logs = np.append(np.log10(counts + 0.5), 0.0)
         at = words.index(END) if END in words else len(words)
-        self.end = int(self.classes[at]) if at < len(words) else 2
+        self.end = int(self.codes[at]) if at < len(words) else layout.words + 2
         self.end_log, self.end_seen = (float(self.logs[at]), True) if at < len(words) else (float(np.log10(0.5)), False)
 
     def code(self, texts: pa.Array):
-        """classes with ends, bounds with ends; per distinct word: place in head (or -1); word codes; bounds without ends; words."""
+        """codes with ends, bounds with ends; per distinct word: place in head (or -1); word codes; bounds without ends; words."""
         flat, bounds = split_words(pc.ascii_lower(texts))
         coded = flat.dictionary_encode()
         words, codes = coded.dictionary, coded.indices.to_numpy()
         place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
-        each = np.where(place >= 0, self.classes[place], 0)
+        each = np.where(place >= 0, self.codes[place], 0)
         rare = np.flatnonzero(place < 0)
-        each[rare] = shapes(words.take(pa.array(rare)))
+        each[rare] = self.layout.words + shapes(words.take(pa.array(rare)))
         n = len(bounds) - 1
-        classes = np.empty(len(codes) + n, np.int64)
+        out = np.empty(len(codes) + n, np.int64)
         ends = bounds[1:] + np.arange(n)
-        inside = np.ones(len(classes), bool)
+        inside = np.ones(len(out), bool)
         inside[ends] = False
-        classes[inside], classes[ends] = each[codes], self.end
-        return classes, np.append(0, ends + 1), place, codes, bounds, words
+        out[inside], out[ends] = each[codes], self.end
+        return out, np.append(0, ends + 1), place, codes, bounds, words
 
 
 _CODERS: dict[str, Coder] = {}
@@ -124,15 +120,18 @@ def _coder(key: str, head) -> Coder:
     return _CODERS[key]
 
 
-def trained(texts: DataFrame, coder_of, mass: np.ndarray) -> dict[str, np.ndarray]:
-    """The network after PASSES passes over texts (text); mass: the tokens of each class among them. A pass brings one row a weight to the driver."""
-    weights = start(CLASSES, HIDDEN, WIDTH)
-    weights["bo"] = np.log((mass + 1.0) / (mass + 1.0).sum()).astype(np.float32)
-    for _ in range(PASSES):
+def trained(texts: DataFrame, coder_of, layout: Layout, counts: np.ndarray, mass: np.ndarray) -> dict[str, np.ndarray]:
+    """The network after one pass over texts (text). counts: of the learned words; mass: tokens of each other class. A round brings one row a weight to the driver."""
+    weights = start(layout, HIDDEN, WIDTH)
+    both = np.concatenate((mass, np.add.reduceat(counts, layout.firsts) if layout.words else [])) + 1.0
+    weights["bo"] = np.log(both / both.sum()).astype(np.float32)
+    weights["bw"] = np.log(counts + 1.0).astype(np.float32) - np.float32(np.log(counts.mean() + 1.0) if len(counts) else 0.0)
+    for turn in range(ROUNDS):
+        mine = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(ROUNDS)) == turn)
         sent = texts.sparkSession.sparkContext.broadcast(weights)
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            coder, learner = coder_of(), Learner(sent.value)
+            coder, learner = coder_of(), Learner(sent.value, layout)
             for batch in batches:
                 for part in slices(batch, size=10 << 20):
                     found, bounds, *_ = coder.code(plain_texts(part.column("text")))
@@ -141,7 +140,7 @@ def trained(texts: DataFrame, coder_of, mass: np.ndarray) -> dict[str, np.ndarra
             if learner.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["place", "total"])
 
-        rows = texts.select("text").mapInArrow(learn, "place long, total long").groupBy("place").agg(F.sum("total")).collect()
+        rows = mine.select("text").mapInArrow(learn, "place long, total long").groupBy("place").agg(F.sum("total")).collect()
         sums = np.array([total for _, total in sorted(map(tuple, rows))], float)
         if len(sums):
             weights = unflattened(sums[:-1] / UNIT / sums[-1], weights)
@@ -176,17 +175,17 @@ def score_texts(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES)), pa.array(mass), pa.array(kinds)], names=["shape", "mass", "kinds"])
 
     tails = rare.select("word", "n").mapInArrow(by_shape, "shape long, mass long, kinds long").groupBy("shape").agg(F.sum("mass"), F.sum("kinds")).collect()
-    mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    mass, kinds = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in tails:
         mass[r[0]], kinds[r[0]] = r[1], r[2]
-    classes, _ = class_table(pa.array(words, pa.large_string()), heads, mass[:SHAPES])
-    mass += np.bincount(classes, heads, CLASSES)
-    kinds += np.bincount(classes, minlength=CLASSES)
+    layout = classes_of(heads)
+    others = shapes(pa.array(words[layout.words :], pa.large_string()))
+    mass += np.bincount(others, heads[layout.words :], SHAPES)
+    kinds += np.bincount(others, minlength=SHAPES)
     below = np.log10(mass + 0.5 * (kinds + 1))
-    head, key = spark.sparkContext.broadcast((words, heads, classes)), scratch.root
-
-    model = spark.sparkContext.broadcast(trained(rows.where("not held_out"), lambda: _coder(key, head), mass))
-    none = float(np.log10(0.5))
+    head, key = spark.sparkContext.broadcast((words, heads, layout)), scratch.root
+    network = trained(rows.where("not held_out"), lambda: _coder(key, head), layout, heads[: layout.words], mass)
+    model = spark.sparkContext.broadcast(network)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, weights = _coder(key, head), model.value
@@ -197,9 +196,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 doc = np.repeat(np.arange(n), np.diff(plain))
                 at = place[codes]
                 known, log = at >= 0, np.where(at >= 0, coder.logs[at], 0.0)
-                inside = score(weights, found, bounds) / np.log(10)
-                ends = np.repeat(np.arange(n), np.diff(bounds))
-                inside -= np.bincount(ends, below[found], n)
+                inside = score(weights, layout, found, bounds) / np.log(10)
+                owner, shaped = np.repeat(np.arange(n), np.diff(bounds)), found >= layout.words
+                inside -= np.bincount(owner[shaped], below[found[shaped] - layout.words], n)
+                inside += np.bincount(doc, np.where(at >= layout.words, log, 0.0), n)
+                if coder.end >= layout.words:
+                    inside += coder.end_log
                 seen = np.bincount(doc, log, n) + coder.end_log
                 rare = np.flatnonzero(~known)
                 pairs, tf = np.unique(doc[rare] * np.int64(1 << 32) + codes[rare], return_counts=True)
@@ -220,5 +222,5 @@ def score_texts(docs: DataFrame) -> DataFrame:
     seen = F.col("seen") + F.coalesce("tail_seen", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (seen - F.col("n_tokens") * F.lit(float(np.log10(total + 0.5 * (distinct + 1))))).alias("base_score"), (seen + F.col("inside")).alias("score"),
+        (seen - F.col("n_tokens") * F.lit(float(np.log10(total + 0.5 * (distinct + 1))))).alias("base_score"), (F.col("inside") + F.coalesce("tail_seen", F.lit(0.0))).alias("score"),
     )

@@ -1,22 +1,55 @@
-"""A gated recurrent network over word classes: training by truncated backpropagation and scoring, in numpy.
+"""A gated recurrent network with a class-factored softmax: training by truncated backpropagation and scoring, in numpy.
 
-The input of a step is the class of the token before; the output is a softmax over classes. Single precision throughout.
+The input of a step is the token before: a learned word, the shape of another word, or a text's start. The output is a softmax over classes,
+and for the classes of learned words a softmax over the words of the class. Classes are runs of word numbers. Single precision throughout.
 """
 
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 import numpy as np
 
-WEIGHTS = ("embed", "wx", "wh", "bx", "bh", "wo", "bo")
+WEIGHTS = ("embed", "wx", "wh", "bx", "bh", "wo", "bo", "ww", "bw")
 LEAST_LANES, MOST_LANES, LANE_TOKENS = 16, 256, 4096  # texts read side by side, and the tokens a lane has at least if there are fewer
+HELD = 32_768  # states kept before their outputs are worked out together
 
 
-def start(classes: int, hidden: int, width: int, seed: int = 7) -> dict[str, np.ndarray]:
+@dataclass(frozen=True)
+class Layout:
+    """``others`` classes without learned words come first; learned word w is in the class of the last of ``firsts`` (ascending, from 0) that it reaches."""
+
+    words: int
+    firsts: np.ndarray
+    others: int
+
+    @property
+    def classes(self) -> int:
+        return self.others + len(self.firsts)
+
+    @property
+    def start(self) -> int:
+        """The input that begins a text; before it stand the words, then the other classes."""
+        return self.words + self.others
+
+    def class_of(self, codes: np.ndarray) -> np.ndarray:
+        """Classes of codes: below ``words`` learned words, from there on the other classes."""
+        return np.where(codes < self.words, self.others + np.searchsorted(self.firsts, codes, side="right") - 1, codes - self.words)
+
+    def bounds(self, k: int) -> tuple[int, int]:
+        """The words of the k-th class of learned words."""
+        return int(self.firsts[k]), int(self.firsts[k + 1]) if k + 1 < len(self.firsts) else self.words
+
+
+def start(layout: Layout, hidden: int, width: int, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    of = lambda *shape: (rng.standard_normal(shape) * (shape[0] ** -0.5)).astype(np.float32)
-    return {"embed": of(classes + 1, width), "wx": of(width, 3 * hidden), "wh": of(hidden, 3 * hidden), "bx": np.zeros(3 * hidden, np.float32), "bh": np.zeros(3 * hidden, np.float32), "wo": of(hidden, classes), "bo": np.zeros(classes, np.float32)}
+    of = lambda n, m, size: (rng.standard_normal((n, m)) * size**-0.5).astype(np.float32)
+    zeros = lambda n: np.zeros(n, np.float32)
+    return {
+        "embed": of(layout.start + 1, width, 4 * width), "wx": of(width, 3 * hidden, width), "wh": of(hidden, 3 * hidden, hidden), "bx": zeros(3 * hidden), "bh": zeros(3 * hidden),
+        "wo": of(hidden, layout.classes, 4 * hidden), "bo": zeros(layout.classes), "ww": of(layout.words, hidden, 16 * hidden), "bw": zeros(layout.words),
+    }
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -33,26 +66,59 @@ def _step(m: dict, inputs: np.ndarray, h: np.ndarray):
     return c + z * (h - c), (z, r, c, own[:, 2 * k :])
 
 
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    scores = np.exp(scores - scores.max(1, keepdims=True))
+    return scores / scores.sum(1, keepdims=True)
+
+
+def outputs(m: dict, layout: Layout, h: np.ndarray, goal: np.ndarray, backward: bool = False):
+    """Natural log of each goal's probability after state h: its class, and in a class of learned words its share. With ``backward`` also the
+    gradients of the sum of -log: of h, and of wo, bo, ww, bw."""
+    classes, every = layout.class_of(goal), np.arange(len(goal))
+    p = _softmax(h @ m["wo"] + m["bo"])
+    logs = np.log(p[every, classes] + 1e-30)
+    g = {}
+    if backward:
+        p[every, classes] -= 1
+        g = {"wo": h.T @ p, "bo": p.sum(0), "ww": np.zeros_like(m["ww"]), "bw": np.zeros_like(m["bw"])}
+        dh = p @ m["wo"].T
+    order = np.argsort(classes, kind="stable")
+    ends = np.searchsorted(classes[order], np.arange(layout.others, layout.classes + 1))
+    for k in range(len(layout.firsts)):
+        mine = order[ends[k] : ends[k + 1]]
+        low, high = layout.bounds(k)
+        if not len(mine) or high - low == 1:
+            continue
+        own, which = h[mine], goal[mine] - low
+        q = _softmax(own @ m["ww"][low:high].T + m["bw"][low:high])
+        logs[mine] += np.log(q[np.arange(len(mine)), which] + 1e-30)
+        if backward:
+            q[np.arange(len(mine)), which] -= 1
+            g["ww"][low:high], g["bw"][low:high] = q.T @ own, q.sum(0)
+            dh[mine] += q @ m["ww"][low:high]
+    return (logs, dh, g) if backward else logs
+
+
 class Learner:
     """Learns from whole texts by truncated backpropagation with Adam, beginning from given weights."""
 
-    def __init__(self, m: dict[str, np.ndarray], window: int = 24, rate: float = 0.01):
+    def __init__(self, m: dict[str, np.ndarray], layout: Layout, window: int = 24, rate: float = 0.01):
         self.m = {k: v.copy() for k, v in m.items()}
         self.first, self.second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
-        self.window, self.rate, self.steps, self.tokens = window, rate, 0, 0
+        self.layout, self.window, self.rate, self.steps, self.tokens = layout, window, rate, 0, 0
 
-    def learn(self, tokens: np.ndarray, bounds: np.ndarray) -> None:
-        """One pass over texts (class numbers, bounds): each token of each text is a target once.
+    def learn(self, codes: np.ndarray, bounds: np.ndarray) -> None:
+        """One pass over texts (codes, bounds): each token of each text is a target once.
 
         Texts are dealt whole to lanes, the longest first, each to the shortest lane. Lanes advance side by side in windows with their
         states carried on, and stop as they end; a text's start clears the state. A token weighs the same in full and in sparse windows.
         """
-        if not len(tokens):
+        if not len(codes):
             return
-        classes, hidden = self.m["wo"].shape[1], self.m["wo"].shape[0]
-        before = np.append(classes, tokens[:-1]).astype(np.uint8)
-        before[bounds[:-1]] = classes
-        lanes = deal(np.diff(bounds), min(MOST_LANES, max(LEAST_LANES, len(tokens) // LANE_TOKENS)))
+        begin, hidden = self.layout.start, self.m["wo"].shape[0]
+        before = np.append(begin, codes[:-1])
+        before[bounds[:-1]] = begin
+        lanes = deal(np.diff(bounds), min(MOST_LANES, max(LEAST_LANES, len(codes) // LANE_TOKENS)))
         parts = [np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in lane]) for lane in lanes]
         parts.sort(key=len, reverse=True)
         lengths = np.array([len(x) for x in parts])
@@ -60,22 +126,23 @@ class Learner:
         h = np.zeros((len(parts), hidden), np.float32)
         for at in range(0, lengths[0], self.window):
             n, steps = int(np.searchsorted(-lengths, -at)), int(min(self.window, lengths[0] - at))
-            inputs, targets = np.full((steps, n), classes, np.uint8), np.full((steps, n), -1)
+            inputs, targets = np.full((steps, n), begin), np.full((steps, n), -1)
             for i, own in enumerate(parts[:n]):
                 place = own[at : at + steps]
-                inputs[: len(place), i], targets[: len(place), i] = before[place], tokens[place]
-            g, h, _ = gradients(self.m, inputs, targets, h[:n], scale)
+                inputs[: len(place), i], targets[: len(place), i] = before[place], codes[place]
+            g, h, _ = gradients(self.m, self.layout, inputs, targets, h[:n], scale)
             self._move(g)
-        self.tokens += len(tokens)
+        self.tokens += len(codes)
 
     def _move(self, g: dict[str, np.ndarray]) -> None:
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         self.steps += 1
         for k, v in self.m.items():
-            grad = g[k] * min(1.0, 1.0 / (norm + 1e-9))
-            self.first[k] = 0.9 * self.first[k] + 0.1 * grad
-            self.second[k] = 0.999 * self.second[k] + 0.001 * grad * grad
-            v -= (self.rate * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.999**self.steps)) + 1e-8)).astype(np.float32)
+            grad = g[k] * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            self.first[k] += np.float32(0.1) * (grad - self.first[k])
+            self.second[k] += np.float32(0.001) * (grad * grad - self.second[k])
+            slow, fast = np.float32(self.rate / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.999**self.steps))
+            v -= slow * self.first[k] / (np.sqrt(self.second[k] * fast) + np.float32(1e-8))
 
 
 def deal(lengths: np.ndarray, n: int) -> list[list[int]]:
@@ -89,33 +156,30 @@ def deal(lengths: np.ndarray, n: int) -> list[list[int]]:
     return lanes
 
 
-def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, scale: float):
+def gradients(m: dict[str, np.ndarray], layout: Layout, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, scale: float):
     """Gradients of scale times the loss over a window (steps, lanes), the state after it, and the loss in nats.
 
-    The input ``classes`` starts a text and clears the state; the target -1 pads a lane that has ended.
+    The input ``layout.start`` begins a text and clears the state; the target -1 pads a lane that has ended.
     """
-    classes, hidden = m["wo"].shape[1], m["wo"].shape[0]
-    table = m["embed"] @ m["wx"] + m["bx"]
-    fed, on = table[inputs], (inputs != classes)[:, :, None].astype(np.float32)
+    hidden = m["wo"].shape[0]
+    met, place = np.unique(inputs, return_inverse=True)
+    place = place.reshape(inputs.shape)
+    table = m["embed"][met] @ m["wx"] + m["bx"]
+    fed, on = table[place], (inputs != layout.start)[:, :, None].astype(h.dtype)
     shape = (*inputs.shape, hidden)
-    old, new, z, r, c, own = (np.empty(shape, np.float32) for _ in range(6))
+    old, new, z, r, c, own = (np.empty(shape, h.dtype) for _ in range(6))
     for t in range(len(inputs)):
         old[t] = h * on[t]
         h, (z[t], r[t], c[t], own[t]) = _step(m, fed[t], old[t])
         new[t] = h
     flat, goal = new.reshape(-1, hidden), targets.ravel()
-    d = flat @ m["wo"] + m["bo"]
-    d -= d.max(1, keepdims=True)
-    np.exp(d, out=d)
-    d /= d.sum(1, keepdims=True)
     used = np.flatnonzero(goal >= 0)
-    loss = -float(np.log(d[used, goal[used]] + 1e-30).sum())
-    d[used, goal[used]] -= 1
-    d[goal < 0] = 0
-    d *= scale
-    above = (d @ m["wo"].T).reshape(shape)
+    logs, dh_used, g = outputs(m, layout, flat[used], goal[used], backward=True)
+    above = np.zeros_like(flat)
+    above[used] = dh_used * scale
+    above, g = above.reshape(shape), {k: v * scale for k, v in g.items()}
     by_c, by_z, by_r = (1 - z) * (1 - c * c), (old - c) * z * (1 - z), own * r * (1 - r)
-    gates, inner = (np.empty((*inputs.shape, 3 * hidden), np.float32) for _ in range(2))
+    gates, inner = (np.empty((*inputs.shape, 3 * hidden), h.dtype) for _ in range(2))
     back, turned = np.zeros_like(h), m["wh"].T.copy()
     for t in reversed(range(len(inputs))):
         dh = back + above[t]
@@ -126,13 +190,14 @@ def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         gates[t, :, 2 * hidden :] = dc
         back = (dh * z[t] + inner[t] @ turned) * on[t]
     gates[:, :, : 2 * hidden] = inner[:, :, : 2 * hidden]
-    order = np.argsort(inputs.ravel(), kind="stable")
-    names, starts = np.unique(inputs.ravel()[order], return_index=True)
-    dtable = np.zeros_like(table)
-    dtable[names] = np.add.reduceat(gates.reshape(-1, 3 * hidden)[order], starts, axis=0)
+    order = np.argsort(place.ravel(), kind="stable")
+    starts = np.searchsorted(place.ravel()[order], np.arange(len(met)))
+    dtable = np.add.reduceat(gates.reshape(-1, 3 * hidden)[order], starts, axis=0)
     inner = inner.reshape(-1, 3 * hidden)
-    g = {"embed": dtable @ m["wx"].T, "wx": m["embed"].T @ dtable, "wh": old.reshape(-1, hidden).T @ inner, "bx": dtable.sum(0), "bh": inner.sum(0), "wo": flat.T @ d, "bo": d.sum(0)}
-    return g, h, loss
+    embed = np.zeros_like(m["embed"])
+    embed[met] = dtable @ m["wx"].T
+    g |= {"embed": embed, "wx": m["embed"][met].T @ dtable, "wh": old.reshape(-1, hidden).T @ inner, "bx": dtable.sum(0), "bh": inner.sum(0)}
+    return g, h, -float(logs.sum())
 
 
 def flattened(m: dict[str, np.ndarray]) -> np.ndarray:
@@ -144,25 +209,41 @@ def unflattened(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np
     return {k: v.reshape(like[k].shape).astype(np.float32) for k, v in zip(WEIGHTS, np.split(values, ends[:-1]), strict=True)}
 
 
-def score(m: dict[str, np.ndarray], tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Natural-log probability of each text's run of classes; states go on to the end of each text.
+def score(m: dict[str, np.ndarray], layout: Layout, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Natural-log probability of each text's run of codes; states go on to the end of each text.
 
-    Texts of a batch advance side by side, the longest first, so a step holds those not yet ended.
+    Texts of a batch advance side by side, the longest first, so a step holds those not yet ended; outputs are worked out for many steps together.
     """
-    classes, hidden = m["wo"].shape[1], m["wo"].shape[0]
+    hidden = m["wo"].shape[0]
     lengths = np.diff(bounds)
     order = np.argsort(-lengths, kind="stable")
     starts, left = bounds[:-1][order], lengths[order]
     table = m["embed"] @ m["wx"] + m["bx"]
     total = np.zeros(len(order))
     h = np.zeros((len(order), hidden), np.float32)
-    inputs = np.full(len(order), classes)
+    inputs = np.full(len(order), layout.start)
     alive = np.searchsorted(-left, -np.arange(1, (left[0] if len(left) else 0) + 1), side="right")
+    states: list[np.ndarray] = []
+    goals: list[np.ndarray] = []
+
+    def settle() -> None:
+        if states:
+            logs = outputs(m, layout, np.concatenate(states), np.concatenate(goals))
+            total[:] += np.bincount(np.concatenate([np.arange(len(x)) for x in goals]), logs, len(total))
+            states.clear()
+            goals.clear()
+
+    held = 0
     for t, n in enumerate(alive.tolist()):
         h, _ = _step(m, table[inputs[:n]], h[:n])
-        scores = h @ m["wo"] + m["bo"]
-        inputs = tokens[starts[:n] + t]
-        total[:n] += scores[np.arange(n), inputs] - np.log(np.exp(scores).sum(1))  # scores stay small: states are within -1 and 1
+        inputs = codes[starts[:n] + t]
+        states.append(h)
+        goals.append(inputs)
+        held += n
+        if held >= HELD:
+            settle()
+            held = 0
+    settle()
     out = np.empty(len(order))
     out[order] = total
     return out
