@@ -79,7 +79,7 @@ class WordEncoder:
     SEPARATOR = "\x01"
     LETTERS = "^[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+$"
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 150_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -209,7 +209,7 @@ def _listed(words: pa.Array) -> list[str]:
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str, cache_words: int = 500_000) -> WordEncoder:
+def encoder(path: str, cache_words: int = 150_000) -> WordEncoder:
     """One encoder for each Python worker and file."""
     key = (path, cache_words)
     if key not in _ENCODERS:
