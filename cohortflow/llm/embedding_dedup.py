@@ -33,6 +33,7 @@ PROBES = 8
 MISS = 1e-4
 CHUNK = 512
 NEAREST = 4
+LEAST_WIDTH = 32
 SEED = 20_011
 ELEMENTS = 1 << 20  # of vectors held at a time
 SMALL = 48  # rows of a group below which pairs are listed for all groups at once
@@ -50,7 +51,8 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def width_of(dims: int) -> int:
-    return 1 << max(0, dims - 1).bit_length()
+    """The next power of two; short vectors are padded to LEAST_WIDTH, as flips and transforms of few dims give few different rotations."""
+    return max(LEAST_WIDTH, 1 << max(0, dims - 1).bit_length())
 
 
 @lru_cache(8)
@@ -230,7 +232,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, probes: int = PROBES, m
     grouped = keyed.where("vector is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
     # rows that share a vec_id may be several classes, so a class is known by its digests
     classes = scratch.keep(grouped.select("k1", "k2", F.col("id"), F.xxhash64("k1", "k2").alias("doc"), "weight", F.size("vector").alias("dims"), "vector"), "classes")
-    width = F.when(F.col("dims") < 2, 1).otherwise(F.expr("shiftleft(1, length(bin(dims - 1)))"))
+    width = F.when(F.col("dims") <= LEAST_WIDTH, LEAST_WIDTH).otherwise(F.expr("shiftleft(1, length(bin(dims - 1)))"))
     plans = {int(w): plan(int(w), n, least, probes, miss) for w, n in classes.groupBy(width).count().collect()}
     held = max(64, ELEMENTS // max(plans, default=1))
 

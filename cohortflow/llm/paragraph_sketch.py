@@ -126,7 +126,8 @@ def _place(key: Column, turn: Column, bounds: list[int], parts: int) -> Column:
     low, high = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, [*bounds[1:], bounds[-1] + 1]))
     at = F.greatest(F.size(F.filter(low, lambda b: b <= key)) - 1, F.lit(0))
     first = F.size(F.filter(low, lambda b: b < key))
-    share = (key - F.get(low, at)).cast("double") / F.greatest((F.get(high, at) - F.get(low, at)).cast("double"), F.lit(1.0))
+    wide = lambda c: c.cast("double")  # noqa: E731  # differences of keys may not fit a long
+    share = (wide(key) - wide(F.get(low, at))) / F.greatest(wide(F.get(high, at)) - wide(F.get(low, at)), F.lit(1.0))
     inner = F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
     plain = at.cast("long") * parts + inner
     dealt = first.cast("long") * parts + F.floor((turn.cast("double") / float(1 << 64) + 0.5) * (at - first) * parts)

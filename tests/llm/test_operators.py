@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -74,7 +75,7 @@ def test_a_damaged_record_is_refused():
     for at in range(len(good)):
         bad = bytearray(good)
         bad[at] ^= 1
-        with pytest.raises((ValueError, Exception)):
+        with pytest.raises((ValueError, struct.error)):
             records.unframe(bytes(bad))
 
 
@@ -295,7 +296,8 @@ def test_classifiers(spark, docs, empty):
     assert len(good) == 401 and all(good[i] == (i % 5 != 0) for i in range(400))
     scored = {r["doc_id"]: r for r in toxicity.toxicity(data, known).collect()}
     assert sum(scored[i]["predicted"] == (i % 3 == 0) for i in range(400)) >= 396
-    neutral = spark.createDataFrame([(1, "women muslims house"), (2, "tree delta house"), (3, None)], "doc_id long, text string")
-    assert all(r["predicted"] == 0 for r in toxicity.toxicity(data.select("doc_id", "text").union(neutral), known).where(F.col("doc_id") == 3).where("score is null").collect())
+    neutral = spark.createDataFrame([(1001, "women muslims house"), (1002, "tree delta house"), (1003, None)], "doc_id long, text string")
+    judged = toxicity.toxicity(data.select("doc_id", "text").union(neutral), known).where(F.col("doc_id") > 1000).collect()
+    assert len(judged) == 3 and all(r["predicted"] == 0 for r in judged)
     assert quality.quality(empty, known).count() == 0 and toxicity.toxicity(empty, known).count() == 0
     assert quality.quality(docs, known.limit(0)).where("not kept").count() == 0 and toxicity.toxicity(docs, known.limit(0)).where("score <> 0.5").count() == 0
