@@ -49,6 +49,7 @@ def first_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+# The tests of the rule label.
 RULES = {"sirs": ((">=", 2),), "qsofa": ((">=", 2),), "lactate": ((">=", 2),), "wbc": ((">", 12000), ("<", 4000)), "temp": ((">", 38), ("<", 36)), "hr": ((">", 90),), "rr": ((">", 20),), "sbp": (("<", 90),), "map": (("<", 65),)}
 
 

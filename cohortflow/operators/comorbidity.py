@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # For each flag its full codes, 4-character and 3-character beginnings.
@@ -26,7 +26,7 @@ CODES = {
     "aids": ("", "", "042 043 044"),
     "lymph": ("", "2030 2386", "200 201 202"),
     "mets": ("", "", "196 197 198 199"),
-    "tumor": ("", "", " ".join(str(i) for i in range(140, 196) if i != 173)),
+    "tumor": ("", "", "140 141 142 143 144 145 146 147 148 149 150 151 152 153 154 155 156 157 158 159 160 161 162 163 164 165 166 167 168 169 170 171 172 174 175 176 177 178 179 180 181 182 183 184 185 186 187 188 189 190 191 192 193 194 195"),
     "arth": ("72889 72930", "7010 7100 7101 7102 7103 7104 7108 7109 7112 7193 7285", "446 714 720 725"),
     "coag": ("", "2871 2873 2874 2875", "286"),
     "obese": ("", "2780", ""),
@@ -51,27 +51,38 @@ VIEW = {
 }
 
 
-def flag(name: str, code: Column) -> Column:
-    """Whether a code has a flag: 1 or 0, 0 for a null code."""
-    full, four, three = (x.split() for x in CODES[name])
-    tests = [c.isin(*v) for c, v in ((code, full), (F.substring(code, 1, 4), four), (F.substring(code, 1, 3), three)) if v]
-    any_of = tests[0]
-    for t in tests[1:]:
-        any_of = any_of | t
-    return F.when(any_of, 1).otherwise(0)
+LENGTHS = (None, 4, 3)  # of the beginnings: the whole code, 4 and 3 characters
+
+
+def code_masks(spark: SparkSession) -> DataFrame:
+    """kind (place in LENGTHS), part, mask: the flags, as bits in the order of CODES, that a code or its beginning has. A few hundred rows, fixed by CODES."""
+    masks: dict[tuple[int, str], int] = {}
+    for bit, parts in enumerate(CODES.values()):
+        for kind, codes in enumerate(parts):
+            for code in codes.split():
+                masks[kind, code] = masks.get((kind, code), 0) | 1 << bit
+    return spark.createDataFrame([(kind, part, mask) for (kind, part), mask in masks.items()], "kind int, part string, mask long")
 
 
 def secondary_flags(diagnoses: DataFrame) -> DataFrame:
-    """hadm_id with the 31 flags over its codes whose seq_num is not 1 (rows without one are left out).
+    """hadm_id with the 31 flags over its codes whose seq_num is not 1 (rows without one are left out); a null code has none.
 
-    The flags are maxima, so they are combined before the one shuffle on hadm_id.
+    A code carries its flags as one number, which is combined before the one shuffle on hadm_id and taken apart after it.
     """
-    rows = diagnoses.where("seq_num <> 1").select("hadm_id", *[flag(f, F.col("icd9_code")).alias(f) for f in CODES])
-    return rows.groupBy("hadm_id").agg(*[F.max(f).alias(f) for f in CODES])
+    rows, masks = diagnoses.where("seq_num <> 1").select("hadm_id", "icd9_code"), code_masks(diagnoses.sparkSession)
+    for kind, n in enumerate(LENGTHS):
+        own = masks.where(F.col("kind") == kind).select(F.col("part").alias(f"part{kind}"), F.col("mask").alias(f"mask{kind}"))
+        code = F.col("icd9_code") if n is None else F.substring("icd9_code", 1, n)
+        rows = rows.join(F.broadcast(own), code == F.col(f"part{kind}"), "left")
+    mask = F.lit(0).cast("long")
+    for kind in range(len(LENGTHS)):
+        mask = mask.bitwiseOR(F.coalesce(f"mask{kind}", F.lit(0)))
+    found = rows.groupBy("hadm_id").agg(F.bit_or(mask).alias("mask"))
+    return found.select("hadm_id", *[F.shiftright("mask", bit).bitwiseAND(1).cast("int").alias(name) for bit, name in enumerate(CODES)])
 
 
 def comorbidity_view(admissions: DataFrame, diagnoses: DataFrame) -> DataFrame:
-    """All admissions with the view's columns, ordered by hadm_id.
+    """All admissions with the view's columns.
 
     Admissions without a secondary code have null in plain columns and 0 in those that merge two flags.
     """
@@ -84,4 +95,4 @@ def comorbidity_view(admissions: DataFrame, diagnoses: DataFrame) -> DataFrame:
         return F.when(test, 1).otherwise(0)
 
     joined = admissions.select("hadm_id").join(secondary_flags(diagnoses), "hadm_id", "left")
-    return joined.select("hadm_id", *[column(s).alias(n) for n, s in VIEW.items()]).orderBy("hadm_id")
+    return joined.select("hadm_id", *[column(s).alias(n) for n, s in VIEW.items()])

@@ -43,7 +43,7 @@ FLAGS = f"flags AS (SELECT hadm_id, {', '.join(map(_flag_sql, comorbidity.CODES)
 
 @query(f"WITH {views.DIAGNOSES}, {FLAGS} SELECT o_orderkey AS hadm_id, {', '.join(f'{_view_sql(s)} AS {n}' for n, s in comorbidity.VIEW.items())} FROM orders LEFT JOIN flags ON o_orderkey = flags.hadm_id ORDER BY hadm_id")
 def comorbidity_view(spark, sf_dir):
-    return comorbidity.comorbidity_view(views.admissions(spark, sf_dir), views.diagnoses(spark, sf_dir))
+    return comorbidity.comorbidity_view(views.admissions(spark, sf_dir), views.diagnoses(spark, sf_dir)).orderBy("hadm_id")
 
 
 @query(f"WITH {views.DIAGNOSES}, {FLAGS} SELECT CAST(count(*) AS BIGINT) AS n, {', '.join(f'CAST(sum({f}) AS BIGINT) AS {f}' for f in comorbidity.CODES)} FROM flags")

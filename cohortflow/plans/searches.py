@@ -98,7 +98,7 @@ def ward_merge(spark, sf_dir):
 
 
 @query(vectors.SQL["fed_weights"].rsplit(" SELECT site", 1)[0] + ", wt AS (SELECT site, raw / sum(raw) OVER () AS w FROM raw) SELECT k, i, round(sum(m * w) / sum(w), 6) AS m FROM (SELECT site, k, i, avg(v) AS m FROM dims GROUP BY site, k, i) JOIN wt USING (site) GROUP BY k, i")
-def fed_pso_optimum(spark, sf_dir):
+def fed_weighted_mean(spark, sf_dir):
     """The minimum of sum w * |g - c| ** 2 over positions is the weighted mean, so no swarm has to look for it."""
     near = clusters.nearest(*vectors._both(spark, sf_dir))
     own = clusters.mean_vectors(near, ["site", "k"])

@@ -18,6 +18,7 @@ def process(spark, moves, rewards):
     return spark.createDataFrame(p, "s long, a long, s2 long, p double").coalesce(1), spark.createDataFrame(r, "s long, a long, r double").coalesce(1)
 
 
+# Two published processes.
 FOREST = [[[0.1, 0.9, 0], [0.1, 0, 0.9], [0.1, 0, 0.9]], [[1, 0, 0]] * 3], [[0, 0], [0, 1], [4, 2]]
 SMALL = [[[0.5, 0.5], [0.8, 0.2]], [[0, 1], [0.1, 0.9]]], [[5, 10], [-1, 2]]
 
