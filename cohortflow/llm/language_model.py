@@ -28,9 +28,9 @@ from .shared import Scratch, held_out
 from .words import plain_texts, slices, split_words
 
 HEAD = 65_536
-LEARNED, LEARNED_CLASSES, MOST_WORDS = 4_096, 56, 128  # words with a softmax of their own, their classes, and the words of a class
+LEARNED, LEARNED_CLASSES, MOST_WORDS = 2_048, 40, 96  # words with a softmax of their own, their classes, and the words of a class
 SHAPES = 8
-HIDDEN, WIDTH = 24, 16
+HIDDEN, WIDTH = 12, 12
 ROUNDS = 2
 UNIT = 1 << 16  # sums of weights are whole numbers of 1 / UNIT, so their order changes nothing
 END = ""  # no word is empty

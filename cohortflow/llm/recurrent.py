@@ -13,6 +13,7 @@ import numpy as np
 
 WEIGHTS = ("embed", "wx", "wh", "bx", "bh", "wo", "bo", "ww", "bw")
 LEAST_LANES, MOST_LANES, LANE_TOKENS = 16, 256, 4096  # texts read side by side, and the tokens a lane has at least if there are fewer
+MOST_SCORE = 70.0
 HELD = 32_768  # states kept before their outputs are worked out together
 
 
@@ -66,20 +67,27 @@ def _step(m: dict, inputs: np.ndarray, h: np.ndarray):
     return c + z * (h - c), (z, r, c, own[:, 2 * k :])
 
 
-def _softmax(scores: np.ndarray) -> np.ndarray:
-    scores = np.exp(scores - scores.max(1, keepdims=True))
-    return scores / scores.sum(1, keepdims=True)
+def _chosen(scores: np.ndarray, goal: np.ndarray, backward: bool):
+    """Log of the softmax at each row's goal; with ``backward`` also the softmax less one at the goal. scores are overwritten; they stay
+    far below MOST_SCORE, which only keeps the exponential within single precision."""
+    every = np.arange(len(goal))
+    np.minimum(scores, MOST_SCORE, out=scores)
+    own = scores[every, goal]
+    np.exp(scores, out=scores)
+    whole = scores @ np.ones(scores.shape[1], scores.dtype) + 1e-30
+    if backward:
+        scores /= whole[:, None]
+        scores[every, goal] -= 1
+    return own - np.log(whole), scores
 
 
 def outputs(m: dict, layout: Layout, h: np.ndarray, goal: np.ndarray, backward: bool = False):
     """Natural log of each goal's probability after state h: its class, and in a class of learned words its share. With ``backward`` also the
     gradients of the sum of -log: of h, and of wo, bo, ww, bw."""
-    classes, every = layout.class_of(goal), np.arange(len(goal))
-    p = _softmax(h @ m["wo"] + m["bo"])
-    logs = np.log(p[every, classes] + 1e-30)
+    classes = layout.class_of(goal)
+    logs, p = _chosen(h @ m["wo"] + m["bo"], classes, backward)
     g = {}
     if backward:
-        p[every, classes] -= 1
         g = {"wo": h.T @ p, "bo": p.sum(0), "ww": np.zeros_like(m["ww"]), "bw": np.zeros_like(m["bw"])}
         dh = p @ m["wo"].T
     order = np.argsort(classes, kind="stable")
@@ -89,11 +97,10 @@ def outputs(m: dict, layout: Layout, h: np.ndarray, goal: np.ndarray, backward:
         low, high = layout.bounds(k)
         if not len(mine) or high - low == 1:
             continue
-        own, which = h[mine], goal[mine] - low
-        q = _softmax(own @ m["ww"][low:high].T + m["bw"][low:high])
-        logs[mine] += np.log(q[np.arange(len(mine)), which] + 1e-30)
+        own = h[mine]
+        found, q = _chosen(own @ m["ww"][low:high].T + m["bw"][low:high], goal[mine] - low, backward)
+        logs[mine] += found
         if backward:
-            q[np.arange(len(mine)), which] -= 1
             g["ww"][low:high], g["bw"][low:high] = q.T @ own, q.sum(0)
             dh[mine] += q @ m["ww"][low:high]
     return (logs, dh, g) if backward else logs
@@ -124,14 +131,17 @@ class Learner:
         lengths = np.array([len(x) for x in parts])
         scale = np.float32(1 / (len(parts) * self.window))
         h = np.zeros((len(parts), hidden), np.float32)
-        for at in range(0, lengths[0], self.window):
-            n, steps = int(np.searchsorted(-lengths, -at)), int(min(self.window, lengths[0] - at))
+        at = 0
+        while at < lengths[0]:
+            n = int(np.searchsorted(-lengths, -at))
+            steps = int(min(self.window * min(8, len(parts) // n), lengths[0] - at))  # fewer lanes go further in a window
             inputs, targets = np.full((steps, n), begin), np.full((steps, n), -1)
             for i, own in enumerate(parts[:n]):
                 place = own[at : at + steps]
                 inputs[: len(place), i], targets[: len(place), i] = before[place], codes[place]
             g, h, _ = gradients(self.m, self.layout, inputs, targets, h[:n], scale)
             self._move(g)
+            at += steps
         self.tokens += len(codes)
 
     def _move(self, g: dict[str, np.ndarray]) -> None:
