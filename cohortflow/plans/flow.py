@@ -284,14 +284,14 @@ def cluster_statistics(spark, sf_dir):
 def choose_k_elbow(spark, sf_dir):
     points = views.features(spark, sf_dir)
     n, d = points.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    return spark.createDataFrame([(models.clusters_by_elbow(points, n, d),)], "k long")
+    return spark.createDataFrame([(models.clusters_by_elbow(points, n, d, 1),)], "k long")
 
 
 @query()
 def choose_k_silhouette(spark, sf_dir):
     points = views.features(spark, sf_dir)
     n, d = points.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    return spark.createDataFrame(models.clusters_by_silhouette(points, n, d), "k long, score double").withColumn("score", F.round("score", 6))
+    return spark.createDataFrame(models.clusters_by_silhouette(points, n, d, 1), "k long, score double").withColumn("score", F.round("score", 6))
 
 
 @query("WITH s AS (SELECT unnest(range(3)) AS s) SELECT s, 0 AS a, 0 AS s2, 0.1::DOUBLE AS p FROM s UNION ALL SELECT s, 0, least(s + 1, 2), 0.9 FROM s UNION ALL SELECT s, 1, 0, 1.0 FROM s")
