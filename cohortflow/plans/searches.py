@@ -114,9 +114,9 @@ def _kept_process(spark, sf_dir):
 
 
 def _states_sql(gamma: float, limit: float, most: int, rest: str = "") -> str:
-    """Sweeps from zero over states with an action, until a sweep's changes span less than limit: rows (n, s, v) of each sweep."""
+    """Sweeps from zero over states with an action, until a sweep's changes span less than limit: rows (n, s, v) of each sweep. The absorbing states stay at 0 and belong to the span."""
     swept = f"SELECT w.n, w.s, max(rew.r + {gamma} * coalesce(x.ahead, 0)) AS v, any_value(w.v) AS old FROM (SELECT * FROM it WHERE going) w JOIN rew ON rew.s = w.s LEFT JOIN (SELECT pr.s, pr.a, sum(pr.p * y.v) AS ahead FROM pr JOIN (SELECT * FROM it WHERE going) y ON y.s = pr.s2 GROUP BY pr.s, pr.a) x ON x.s = rew.s AND x.a = rew.a GROUP BY w.n, w.s"
-    return f"it AS (SELECT 0 AS n, s, 0.0::DOUBLE AS v, true AS going FROM (SELECT DISTINCT s FROM rew) UNION ALL SELECT n + 1, s, v, max(v - old) OVER () - min(v - old) OVER () >= {limit} AND n + 1 < {most} FROM ({swept}))"
+    return f"it AS (SELECT 0 AS n, s, 0.0::DOUBLE AS v, true AS going FROM (SELECT DISTINCT s FROM rew) UNION ALL SELECT n + 1, s, v, greatest(max(v - old) OVER (), 0) - least(min(v - old) OVER (), 0) >= {limit} AND n + 1 < {most} FROM ({swept}))"
 
 
 def _solution_sql(gamma: float, limit: float, most: int, base: str = process.BASE) -> str:
@@ -151,7 +151,16 @@ def modified_pi(spark, sf_dir):
     return _solution(spark, sf_dir, "partial", 0.9)
 
 
-@query()
+_AGAIN = f"""WITH RECURSIVE {process.BASE}, p2 AS (SELECT s, a, s2, p FROM pr UNION ALL SELECT s, 0, 0, 1.0 FROM (VALUES (750), (751)) t(s)), r2 AS (SELECT s, a, r FROM rew UNION ALL SELECT s, 0, 0.0 FROM (VALUES (750), (751)) t(s)),
+ it AS (SELECT 0 AS n, s, 0.0::DOUBLE AS v, 0.0::DOUBLE AS gain, true AS going, 0.0::DOUBLE AS mean FROM (SELECT DISTINCT s FROM r2) UNION ALL
+ SELECT n + 1, s, v, arg_max(v, s) OVER (), max(v - old) OVER () - min(v - old) OVER () >= 0.01 AND n + 1 < 1000, gain + min(v - old) OVER () FROM (
+ SELECT w.n, w.s, max(r2.r + coalesce(x.ahead, 0)) - any_value(w.gain) AS v, any_value(w.v) AS old, any_value(w.gain) AS gain FROM (SELECT * FROM it WHERE going) w JOIN r2 ON r2.s = w.s LEFT JOIN (SELECT p2.s, p2.a, sum(p2.p * y.v) AS ahead FROM p2 JOIN (SELECT * FROM it WHERE going) y ON y.s = p2.s2 GROUP BY p2.s, p2.a) x ON x.s = r2.s AND x.a = r2.a GROUP BY w.n, w.s)),
+ last AS (SELECT s, v, mean FROM it WHERE n = (SELECT max(n) FROM it)), before AS (SELECT s, v FROM it WHERE n = (SELECT max(n) - 1 FROM it)),
+ q AS (SELECT r2.s, r2.a, r + coalesce(x.v, 0) AS q FROM r2 LEFT JOIN (SELECT p2.s, a, sum(p * v) AS v FROM p2 JOIN before ON p2.s2 = before.s GROUP BY p2.s, a) x ON r2.s = x.s AND r2.a = x.a)
+ SELECT last.s, (SELECT min(a) FROM q WHERE q.s = last.s AND q.q >= (SELECT max(q) FROM q z WHERE z.s = last.s) - 1e-9) AS best, round(last.v, 6) AS v, round(mean, 6) AS average_reward FROM last"""
+
+
+@query(_AGAIN)
 def relative_vi(spark, sf_dir):
     """Stays that ended begin again at state 0, so that the mean reward a step exists."""
     probs, rewards = _kept_process(spark, sf_dir)
