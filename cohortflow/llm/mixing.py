@@ -106,6 +106,7 @@ def mix_order(docs: DataFrame, weights: dict[str | None, float] | None = None, b
         listed.append((name, i, None, n, after))
         after += n
     numbered = spark.createDataFrame(listed, "mix_name string, mix_s int, mix_w double, mix_n long, mix_tail long")
+    numbered = F.broadcast(numbered) if len(listed) <= 100_000 else numbered
     plan = scratch.keep(schedule(docs, shares, rows, turn, period).where(F.col("mix_turn") * turn < F.array(*map(F.lit, rows or [0]))[F.col("mix_s")]), "schedule")
 
     text = F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
