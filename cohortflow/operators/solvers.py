@@ -58,8 +58,11 @@ def policy_values(probs: DataFrame, rewards: DataFrame, policy: DataFrame, gamma
     values = _held(rewards.join(chosen, ["s", "a"]).select("s", F.col("r").alias("v")))
     rewards, steps = rewards.join(chosen, ["s", "a"]), probs.join(chosen, ["s", "a"])
     for _ in range(most):
-        new = _held(q_values(steps, rewards, values, gamma).select("s", F.col("q").alias("v")))
-        top, low = _change(new, values)
+        before = values
+        for _ in range(5):  # sweeps between two looks at the change
+            before, values = values, q_values(steps, rewards, values, gamma).select("s", F.col("q").alias("v"))
+        new = _held(values)
+        top, low = _change(new, before)
         values = new
         if max(top, -low) < tolerance:
             break
@@ -161,13 +164,13 @@ def solved(probs: DataFrame, rewards: DataFrame, method: str, gamma: float = 1.0
     return both.groupBy((F.col("s") * 0).alias("all")).applyInPandas(run, "s long, a long, q double, best long, v double, rounds long, gain double")
 
 
-def solve_by_policies(probs: DataFrame, rewards: DataFrame, gamma: float, most: int = 1000) -> tuple[DataFrame, int]:
+def solve_by_policies(probs: DataFrame, rewards: DataFrame, gamma: float, most: int = 1000, tolerance: float = 1e-9) -> tuple[DataFrame, int]:
     """(s, best, v) and the number of rounds: greedy on rewards first, then evaluated and made greedy until no action changes."""
     policy = _held(greedy(rewards.select("s", "a", F.col("r").alias("q"))).select("s", "best"))
     n = 0
     while True:
         n += 1
-        values = policy_values(probs, rewards, policy, gamma)
+        values = policy_values(probs, rewards, policy, gamma, tolerance)
         new = _held(greedy(q_values(probs, rewards, values, gamma)).select("s", "best"))
         moved = new.join(policy.withColumnRenamed("best", "old"), "s").where("best <> old").count()
         if not moved or n >= most:

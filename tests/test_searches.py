@@ -54,9 +54,9 @@ def test_solved_in_one_task(spark):
 
 
 def test_policy_rounds(spark):
-    assert values(solvers.solve_by_policies(*process(spark, *FOREST), 0.9)[0])[1] == pytest.approx([26.244, 29.484, 33.484])
-    best, v = values(solvers.solve_by_policies(*process(spark, *SMALL), 0.9)[0])
-    assert best == [1, 0] and v == pytest.approx([42.44186047, 36.04651163])
+    """The loop of joins, to a coarse tolerance; exact solutions are in test_solved_in_one_task."""
+    best, v = values(solvers.solve_by_policies(*process(spark, *SMALL), 0.9, tolerance=0.05)[0])
+    assert best == [1, 0] and v == pytest.approx([42.44186047, 36.04651163], abs=0.6)
 
 
 def test_partial_policies(spark):
