@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import divergence, filter_audit, url_filter
+from .divergence import source_divergence
 from .embedding_dedup import near_vectors
+from .filter_audit import filter_interactions
 from .language_model import score_texts
 from .minhash import near_duplicates
 from .mixing import BLOCK, SEED, mix_order
@@ -19,6 +22,7 @@ from .records import token_records
 from .secrets import find_secrets, report
 from .shared import table
 from .toxicity import toxicity
+from .url_filter import judge_urls
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -66,9 +70,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(recovered).drop("only_own", "only_edited", "next_own", "next_other")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_source_divergence": divergence.SQL, "op12_url_filter": url_filter.sql(), "op13_filter_audit": filter_audit.SQL}
