@@ -1,6 +1,6 @@
-"""Ranks and exact quantiles from counts of equal values, so that no group meets in one task and no value is gathered.
+"""Ranks and exact quantiles, so that no group meets in one task and no value is gathered.
 
-Counts are dealt into ranges of the value of about RANGE rows, whose bounds come from approximate quantiles; running counts inside a range
+Quantiles of up to a few hundred groups and columns come from selection. Ranks, and quantiles of more groups, come from counts of equal values. Counts are dealt into ranges of the value of about RANGE rows, whose bounds come from approximate quantiles; running counts inside a range
 and a small table of range totals give each value's place. Bounds only deal rows out; results are exact.
 """
 
@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import selection
+
 RANGE = 50_000
 MOST_RANGES = 10_000
 
 
 def running(counts: DataFrame, value: str, n: str, by: list[str] | None = None) -> DataFrame:
     """counts (by, value, n; one row for each value of a group) with before: the sum of n over smaller values of the group, and total: that over all of them."""
-    by = by or []
+    by, counts = by or [], counts.checkpoint()  # read four times
     ranges = min(MOST_RANGES, math.ceil(counts.count() / RANGE))
     bounds = sorted(set(counts.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or [])) if ranges > 1 else []
     low = F.array(*map(F.lit, bounds)) if bounds else None
@@ -41,8 +43,8 @@ def linear(total: Column, q: float) -> Column:
     return 1 + (total - 1) * q
 
 
-def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] | None = None, position=linear) -> DataFrame:
-    """by, and a column for each of qs: the exact quantile of the values that are not null, between the neighbours of its position (kept within 1 and n)."""
+def counted_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] | None = None, position=linear) -> DataFrame:
+    """by, and a column for each of qs, from ranked counts of equal values: for any number of groups."""
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_count"))
     ranked = running(counts, value, "_count", by)
@@ -56,10 +58,20 @@ def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] | N
     return sides.select(*by, *[(F.col(f"_low_{name}") + F.col(f"_part_{name}") * (F.col(f"_high_{name}") - F.col(f"_low_{name}"))).alias(name) for name in qs])
 
 
+def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] | None = None, position=linear) -> DataFrame:
+    """by, and a column for each of qs: the exact quantile of the values that are not null, between the neighbours of its position (kept within 1 and n)."""
+    found = selection.quantiles(df, [value], qs, by or [], position)
+    if found is None:
+        return counted_quantiles(df, value, qs, by, position)
+    return found.select(*(by or []), *[F.col(f"{name}_{value}").alias(name) for name in qs])
+
+
 def column_quantiles(df: DataFrame, columns: list[str], qs: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """by, and for each column and name of qs a column ``name_column``: all columns' quantiles from one pass over their values; NaN is missing."""
+    """by, and for each column and name of qs a column ``name_column``: all columns' quantiles from the same passes over their values; NaN is missing."""
     by = by or []
+    if (selected := selection.quantiles(df, columns, qs, by, linear)) is not None:
+        return selected
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns])).alias("_x")
     rows = df.select(*by, each).select(*by, "_x.*").where(~F.isnan("_value"))
-    found = quantiles(rows, "_value", qs, [*by, "_column"])
+    found = counted_quantiles(rows, "_value", qs, [*by, "_column"])
     return found.groupBy(*by).agg(*[F.max(F.when(F.col("_column") == c, F.col(name))).alias(f"{name}_{c}") for c in columns for name in qs])

@@ -32,13 +32,3 @@ def digest_uniform(*keys: Column | str, seed: int = 0) -> Column:
     text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
-
-def hazen_quantile(values: Column, q: float) -> Column:
-    """Quantile of an array by Hazen's positions: n * q + 1/2, kept within [1, n - 1], then linear; null if empty."""
-    v = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
-    n = F.size(v)
-    h = n * F.lit(q) + 0.5
-    k = F.greatest(F.lit(1), F.least(F.floor(h).cast("int"), n - 1))
-    g = F.greatest(F.lit(0.0), F.least(h - k, F.lit(1.0)))
-    low, high = F.get(v, k - 1), F.get(v, F.least(k, n - 1))
-    return F.when(n == 1, F.get(v, F.lit(0))).when(n > 1, low + g * (high - low))

@@ -66,7 +66,7 @@ class SitePreprocessing:
         """key, site and the features that are left."""
         rows = first_rows(df, key, order) if self.first_bloc else df
         normal, log, binary = ([c for c in columns if c in df.columns] for columns in (self.normal, self.log, self.binary))
-        filled = winsorise(impute(rows.select(key, site, *normal, *log, *binary), normal + binary, log, [site]), normal + log, self.low, self.high, [site])
+        filled = winsorise(impute(rows.select(key, site, *normal, *log, *binary), normal + binary, log, [site]).checkpoint(), normal + log, self.low, self.high, [site])
         shifted = filled.withColumns({c: log_shift(c) for c in log})
         gone = {r["name"] for r in correlated_columns(shifted, normal + log, self.most).collect()} if self.prune else set()
         kept = [c for c in normal + log if c not in gone]
@@ -106,7 +106,7 @@ def winsorise(df: DataFrame, columns: list[str], low: float = 0.01, high: float
 
 def site_preprocess(df: DataFrame, normal: list[str], log: list[str], binary: list[str], by: list[str]) -> DataFrame:
     """Impute, winsorise, log-shift, scale with n below, and binary columns less a half; statistics are each site's own."""
-    filled = winsorise(impute(df, normal + binary, log, by), normal + log, by=by)
+    filled = winsorise(impute(df, normal + binary, log, by).checkpoint(), normal + log, by=by)
     shifted = filled.withColumns({c: log_shift(c) for c in log})
     return zscore(shifted, normal + log, by, sample=False).withColumns({c: F.col(c) - 0.5 for c in binary})
 
