@@ -18,13 +18,19 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
     """points with k and d2 of the nearest centre, the smaller k of equals.
 
-    All centres go to each row as one array: no pair of a point and a centre becomes a row. More than MOST_CENTRES: ValueError.
+    Centres go to each row as arrays of about MOST_CENTRES, one after the other: no pair of a point and a centre becomes a row.
     """
-    if centres.count() > MOST_CENTRES:
-        raise ValueError("too many centres to send to every task")
-    held = F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("centres")))
-    best = F.array_min(F.transform("centres", lambda c: F.struct(squared_distance(F.col("x"), c["c"]).alias("d2"), c["k"].alias("k"))))
-    return points.crossJoin(held).withColumn("best", best).select(*points.columns, F.col("best.k").alias("k"), F.col("best.d2").alias("d2"))
+    parts = max(1, -(-centres.count() // MOST_CENTRES))
+    found = []
+    rows = points
+    for i in range(parts):
+        own = centres if parts == 1 else centres.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == i)
+        held = F.broadcast(own.agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("_centres")))
+        best = F.array_min(F.transform("_centres", lambda c: F.struct(squared_distance(F.col("x"), c["c"]).alias("d2"), c["k"].alias("k"))))
+        rows = rows.crossJoin(held).withColumn(f"_best{i}", best).drop("_centres")
+        found.append(f"_best{i}")
+    best = F.array_min(F.array(*found))
+    return rows.withColumn("_best", best).select(*points.columns, F.col("_best.k").alias("k"), F.col("_best.d2").alias("d2"))
 
 
 def mean_vectors(df: DataFrame, by: list[str], vector: str = "x", weight: str | None = None) -> DataFrame:
@@ -39,17 +45,25 @@ def gathered(means: DataFrame, by: list[str]) -> DataFrame:
     return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("c"))
 
 
+def mean_centres(df: DataFrame, by: list[str], vector: str = "x", weight: str | None = None) -> DataFrame:
+    """by, c: the (weighted) mean vector of each group, from one sum a dimension; all vectors have the length of the longest, which is asked first."""
+    dims = df.agg(F.max(F.size(vector))).first()[0] or 0
+    w = F.col(weight) if weight else F.lit(1.0)
+    means = [F.sum(w * F.get(vector, F.lit(i))) / F.sum(w) for i in range(dims)]
+    return df.groupBy(*by).agg(F.array(*means).cast("array<double>").alias("c"))
+
+
 def lloyd(points: DataFrame, centres: DataFrame) -> DataFrame:
     """k, c after one step; an empty cluster keeps its centre."""
-    moved = gathered(mean_vectors(nearest(points, centres), ["k"]), ["k"]).withColumnRenamed("c", "m")
+    moved = mean_centres(nearest(points, centres), ["k"]).withColumnRenamed("c", "m")
     return centres.join(moved, "k", "left").select("k", F.coalesce("m", "c").alias("c"))
 
 
 def federated_lloyd(points: DataFrame, centres: DataFrame, site: str = "site") -> DataFrame:
     """k, c after one step at every site and the plain mean over sites; a site without points of k gives the old centre."""
-    own = gathered(mean_vectors(nearest(points, centres), [site, "k"]), [site, "k"]).withColumnRenamed("c", "m")
+    own = mean_centres(nearest(points, centres), [site, "k"]).withColumnRenamed("c", "m")
     grid = points.select(site).distinct().crossJoin(F.broadcast(centres)).join(own, [site, "k"], "left").select("k", F.coalesce("m", "c").alias("x"))
-    return gathered(mean_vectors(grid, ["k"]), ["k"])
+    return mean_centres(grid, ["k"])
 
 
 def inertia(points: DataFrame, centres: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import alignment, clusters
+from . import alignment, clusters, many_means
 
 
 def _moved(new: DataFrame, old: DataFrame) -> float:
@@ -45,20 +45,30 @@ def warm_lloyd(points: DataFrame, centres: DataFrame, rounds: int = 300, thresho
 
 
 def site_lloyd(points: DataFrame, centres: DataFrame, rounds: int = 300, threshold: float = 1e-4) -> DataFrame:
-    """site, k, c, n, inertia: k-means at each site from its own centres (site, k, c); all sites take their steps in the same jobs.
+    """site, k, c, n, inertia: k-means at each site from its own centres (site, k, c), or the best of several starts (site, start, k, c).
 
-    This is a site's upload record: its centres, their sizes and its inertia by centre. A centre without points stays and has n = 0.
+    All sites and starts take their steps in the same jobs (many_means). The best start has the least inertia, the smaller start of equals. This
+    is a site's upload record: its centres, their sizes and its inertia by centre. A centre without points stays and has n = 0. Sites without points upload nothing.
     """
-    ids = [r["site"] for r in points.select("site").distinct().orderBy("site").collect()]  # sites are few
+    start = F.col("start") if "start" in centres.columns else F.lit(0)
+    given: dict[tuple, dict[int, list[float]]] = {}
+    for r in centres.select("site", start.alias("start"), "k", "c").collect():
+        given.setdefault((r["site"], r["start"]), {})[r["k"]] = r["c"]
+    keys = sorted(given, key=repr)
+    places = [sorted(given[key]) for key in keys]
+    rows = points.where("x is not null").select(F.col("site").alias("pool"), "x").persist()
+    runs = many_means.fit(rows, {i: (site, np.array([given[site, s][k] for k in places[i]])) for i, (site, s) in enumerate(keys)}, rounds, threshold)
+    rows.unpersist()
     found = []
-    for site in ids:
-        own = points.where(F.col("site") == site)
-        last, _ = warm_lloyd(own, centres.where(F.col("site") == site), rounds, threshold)
-        sums = clusters.nearest(own, last).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("inertia"))
-        found.append(last.join(sums, "k", "left").select(F.lit(site).alias("site"), "k", "c", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("inertia", F.lit(0.0)).alias("inertia")))
+    for site in {site for site, _ in keys}:
+        own = sorted((i for i, key in enumerate(keys) if key[0] == site and runs[i].sizes.sum()), key=lambda i: keys[i][1])
+        if own:
+            best = runs[at := many_means.best_of(runs, own)]
+            found += [(site, k, c, int(n), float(d)) for k, c, n, d in zip(places[at], best.centres.tolist(), best.sizes, best.inertia, strict=True)]
     if not found:
         raise ValueError("no site has points")
-    return reduce(DataFrame.unionByName, found)
+    kinds = {c: points.schema["site"].dataType.simpleString() if c == "site" else centres.schema["k"].dataType.simpleString() for c in ("site", "k")}
+    return points.sparkSession.createDataFrame(found, f"site {kinds['site']}, k {kinds['k']}, c array<double>, n long, inertia double")
 
 
 def upload_summary(uploads: DataFrame) -> DataFrame:
@@ -69,7 +79,7 @@ def upload_summary(uploads: DataFrame) -> DataFrame:
 def size_weighted(uploads: DataFrame) -> DataFrame:
     """k, c: centres of one number weighted by their sizes; the plain mean where all sizes are 0."""
     weighed = uploads.join(uploads.groupBy("k").agg(F.sum("n").alias("all_n")), "k").withColumn("w", F.when(F.col("all_n") > 0, F.col("n").cast("double")).otherwise(1.0))
-    return clusters.gathered(clusters.mean_vectors(weighed, ["k"], "c", "w"), ["k"])
+    return clusters.mean_centres(weighed, ["k"], "c", "w")
 
 
 def unequal_mean(uploads: DataFrame, weights: DataFrame, k: int) -> DataFrame:
@@ -82,12 +92,12 @@ def unequal_mean(uploads: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     order = uploads.withColumn("place_of", F.when(F.col("site") == full, F.lit(-1)).otherwise(F.col("site")))  # alignment takes the smallest site as its reference
     matched = alignment.aligned(order.select(F.col("place_of").cast("long").alias("site"), "k", "n", "c")).where("place is not null")
     weighed = matched.join(weights.select(F.when(F.col("site") == full, F.lit(-1)).otherwise(F.col("site")).cast("long").alias("site"), "weight"), "site")
-    return clusters.gathered(clusters.mean_vectors(weighed, ["place"], "c", "weight"), ["place"]).withColumnRenamed("place", "k")
+    return clusters.mean_centres(weighed, ["place"], "c", "weight").withColumnRenamed("place", "k")
 
 
 def site_groups(uploads: DataFrame, k: int = 2) -> DataFrame:
     """site, label: sites in k groups by Ward's hierarchy over the plain mean of their centres; the label is the smallest site of a group."""
-    means = clusters.gathered(clusters.mean_vectors(uploads, ["site"], "c"), ["site"])
+    means = clusters.mean_centres(uploads, ["site"], "c")
     return alignment.ward_labels(means.select(F.col("site").cast("long").alias("id"), "c"), k).select(F.col("id").alias("site"), "label")
 
 

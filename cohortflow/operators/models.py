@@ -1,4 +1,4 @@
-"""Clustering runs, choice of k, principal components and importances, by Spark's own estimators."""
+"""Clustering runs and choice of k, all runs in one loop; principal components and importances by Spark's own estimators."""
 
 from __future__ import annotations
 
@@ -6,33 +6,41 @@ import math
 import statistics
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import many_means
 from .clusters import nearest
-from .neighbours import silhouettes
+from .neighbours import mean_silhouettes
 
 
 def _vectors(points: DataFrame) -> DataFrame:
     return points.withColumn("_x", array_to_vector("x"))
 
 
-def kmeans_restarts(points: DataFrame, k: int, runs: int = 32, most: int = 10_000, seed: int = 42) -> tuple[DataFrame, float]:
-    """(k, c) and the cost of the best of ``runs`` seeded fits of (x); the first of equals. Each fit is a Spark job; only centres come back."""
-    data, best = _vectors(points).select("_x").persist(), None
+SAMPLE = 20_000  # rows that starting centres are drawn from; the fit itself uses every row
+
+
+def kmeans_searches(points: DataFrame, ks: list[int], runs: int, most: int = 10_000, seed: int = 42, sample: int = SAMPLE) -> dict[int, many_means.Run]:
+    """For each k the best of ``runs`` seeded fits of (x), the first of equals: all fits step together, from k-means++ starts on a bounded sample."""
+    data = points.select(F.lit(0).alias("pool"), "x").where("x is not null").persist()
     try:
-        for i in range(runs):
-            model = KMeans(k=k, maxIter=most, seed=seed + i, featuresCol="_x").fit(data)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = model.clusterCenters(), cost
+        drawn = many_means.start_sample(data, sample, seed)
+        if not len(drawn):
+            raise ValueError("no points")
+        keys = [(k, i) for k in ks for i in range(runs)]
+        fits = many_means.fit(data, {n: (0, many_means.seeded_centres(drawn, k, seed + i)) for n, (k, i) in enumerate(keys)}, most, 1e-4, furthest=True)
     finally:
         data.unpersist()
-    rows = [(i, [float(v) for v in c]) for i, c in enumerate(best[0])]
-    return points.sparkSession.createDataFrame(rows, "k long, c array<double>"), best[1]
+    return {k: fits[many_means.best_of(fits, [n for n, key in enumerate(keys) if key[0] == k])] for k in ks}
+
+
+def kmeans_restarts(points: DataFrame, k: int, runs: int = 32, most: int = 10_000, seed: int = 42) -> tuple[DataFrame, float]:
+    """(k, c) and the cost of the best of ``runs`` seeded fits of (x); a step of all of them is one Spark job, and only sums come back."""
+    best = kmeans_searches(points, [k], runs, most, seed)[k]
+    return points.sparkSession.createDataFrame([(i, c) for i, c in enumerate(best.centres.tolist())], "k long, c array<double>"), best.cost
 
 
 def few_clusters(n: int, d: int) -> int:
@@ -61,19 +69,22 @@ def clusters_by_elbow(points: DataFrame, n: int, d: int, runs: int = 5, least: i
     about = heuristic_clusters(n, d)
     low, high = max(least, about - 5), min(most, about + 10)
     ks = list(range(low, high + 1, max(1, (high - low) // 10)))
-    return elbow(ks, [kmeans_restarts(points, k, runs, 100)[1] for k in ks])
+    found = kmeans_searches(points, ks, runs, 100)
+    return elbow(ks, [found[k].cost for k in ks])
 
 
 def clusters_by_silhouette(points: DataFrame, n: int, d: int, runs: int = 5, least: int = 2, most: int = 50) -> list[tuple[int, float]]:
     """[(k, score)] of the k of the best mean silhouette about the heuristic, from 3 below to 7 above in steps of 2; the smaller of equals. Every point counts."""
-    about, best = heuristic_clusters(n, d), None
-    for k in range(max(least, about - 3), min(most, about + 7) + 1, 2):
-        centres, _ = kmeans_restarts(points, k, runs, 100)
-        labelled = nearest(points, centres).select("id", "x", F.col("k").alias("label")).checkpoint()
-        score = silhouettes(labelled).agg(F.avg("s")).first()[0]
-        if best is None or score > best[1]:
-            best = (k, score)
-    return [best] if best else []
+    about = heuristic_clusters(n, d)
+    ks = list(range(max(least, about - 3), min(most, about + 7) + 1, 2))
+    if not ks:
+        return []
+    labelled = points.select("id", "x")
+    for k, run in kmeans_searches(points, ks, runs, 100).items():
+        centres = points.sparkSession.createDataFrame([(i, c) for i, c in enumerate(run.centres.tolist())], "k long, c array<double>")
+        labelled = nearest(labelled, centres).drop("d2").withColumnRenamed("k", f"label{k}")
+    scores = mean_silhouettes(labelled.checkpoint(), [f"label{k}" for k in ks])
+    return [max(((k, scores[f"label{k}"]) for k in ks), key=lambda x: (round(x[1], 9), -x[0]))]
 
 
 def components(points: DataFrame, n: int = 2) -> DataFrame:

@@ -184,33 +184,61 @@ def fed_lloyd_3(spark, sf_dir):
     return vectors._long(federated.federated_lloyd(*vectors._both(spark, sf_dir), rounds=3, threshold=0.0)[0], "k")
 
 
-@query()
+def _loop_sql(rounds: int = 20) -> str:
+    """SQL of shared rounds until the mean change is under 1e-4: ``changes`` (round, change) and ``final``, the centres after the last of them."""
+    each = ", ".join(_round_sql(i, True) for i in range(1, rounds + 1))
+    gaps = " UNION ALL ".join(f"SELECT {i} AS round, avg(abs(a - b)) AS change FROM (SELECT unnest(n.c) AS a, unnest(o.c) AS b FROM cen{i} n JOIN cen{i - 1} o ON n.k = o.k)" for i in range(1, rounds + 1))
+    held = " UNION ALL ".join(f"SELECT {i} AS round, k, c FROM cen{i}" for i in range(1, rounds + 1))
+    return f"""WITH {views.FEATURES}, {views.CENTRES}, cen0 AS (SELECT k, c FROM cen), {each.replace(' AS (SELECT k, list', ' AS MATERIALIZED (SELECT k, list')}, gaps AS MATERIALIZED ({gaps}),
+        stop AS (SELECT coalesce(min(round) FILTER (change < 1e-4), {rounds}) AS final_round FROM gaps), changes AS (SELECT round, change FROM gaps, stop WHERE round <= final_round), final AS (SELECT k, c FROM ({held}) h, stop WHERE round = final_round)"""
+
+
+@query(f"{_loop_sql()} SELECT k, unnest(range(len(c))) AS i, round(unnest(c), 6) AS m FROM final")
 def fed_lloyd_loop(spark, sf_dir):
     """Twenty rounds at most, until the mean change is under 1e-4."""
     return vectors._long(federated.federated_lloyd(*vectors._both(spark, sf_dir))[0], "k")
 
 
-@query()
+@query(f"{_loop_sql()} SELECT CAST(round AS BIGINT) AS round, round(change, 6) AS change FROM changes")
 def fed_convergence(spark, sf_dir):
     """The change of each round, as a series."""
     changes = federated.federated_lloyd(*vectors._both(spark, sf_dir))[1]
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(changes, 1)], "round long, change double").withColumn("change", F.round("change", 6))
 
 
-def _uploads(spark, sf_dir):
-    points = views.features(spark, sf_dir)
-    starts = points.where("id < 30").select("site", F.col("id").alias("k"), F.col("x").alias("c"))
-    numbered = starts.withColumn("k", (F.row_number().over(Window.partitionBy("site").orderBy("k")) - 1).cast("long"))  # ten starts a site
-    return points, federated.site_lloyd(points, numbered).checkpoint()
+STARTS, UPLOADED = 10, 20  # starts a site; rounds of the SQL, after which every start has settled
 
 
-@query()
+def _uploads(spark, sf_dir):
+    """Ten centres a site by k-means, the best of ten starts: start r are the site's points of places 10 r to 10 r + 9."""
+    points = views.features(spark, sf_dir).checkpoint()
+    place = (F.row_number().over(Window.partitionBy("site").orderBy("id")) - 1).cast("long")
+    first = points.where(F.col("id") < 40 * STARTS).select("site", place.alias("place"), F.col("x").alias("c")).where(F.col("place") < 10 * STARTS)
+    starts = first.select("site", F.floor(F.col("place") / 10).alias("start"), (F.col("place") % 10).alias("k"), "c")
+    return points, federated.site_lloyd(points, starts, threshold=1e-12).checkpoint()
+
+
+def _uploads_sql() -> str:
+    """SQL of the same: all starts of all sites for UPLOADED rounds, and the start of the least inertia."""
+    each = []
+    for i in range(1, UPLOADED + 1):  # key: 10000 site + 100 start + k
+        near = f"n{i} AS MATERIALIZED (SELECT x, key, d FROM (SELECT f.id, f.x, o.key, {D2(a='x', b='c')} AS d FROM feat f JOIN c{i - 1} o ON f.site = o.key // 10000) QUALIFY row_number() OVER (PARTITION BY id, key // 100 ORDER BY d, key) = 1)"
+        sums = f"m{i} AS MATERIALIZED (SELECT key, list(v ORDER BY i) AS moved FROM (SELECT key, i, avg(v) AS v FROM (SELECT key, unnest(x) AS v, unnest(range(len(x))) AS i FROM n{i}) GROUP BY key, i) GROUP BY key)"
+        each.append(f"{near}, {sums}, c{i} AS MATERIALIZED (SELECT key, coalesce(moved, c) AS c FROM c{i - 1} LEFT JOIN m{i} USING (key))")
+    return f"""WITH {views.FEATURES}, placed AS MATERIALIZED (SELECT site, x, row_number() OVER (PARTITION BY site ORDER BY id) AS place FROM feat),
+        c0 AS MATERIALIZED (SELECT 10000 * site + 100 * ((place - 1) // 10) + (place - 1) % 10 AS key, x AS c FROM placed WHERE place <= {10 * STARTS}), {', '.join(each)},
+        sizes AS MATERIALIZED (SELECT key, count(*) AS n, sum(d) AS inertia FROM n{UPLOADED} GROUP BY key), costs AS (SELECT key // 100 AS start, sum(inertia) AS cost FROM sizes GROUP BY 1),
+        best AS MATERIALIZED (SELECT start FROM costs QUALIFY row_number() OVER (PARTITION BY start // 100 ORDER BY round(cost, 6), start) = 1),
+        uploads AS (SELECT key // 10000 AS site, key % 100 AS k, c, coalesce(n, 0) AS n, coalesce(inertia, 0) AS inertia FROM c{UPLOADED} LEFT JOIN sizes USING (key) WHERE key // 100 IN (FROM best))"""
+
+
+@query(f"{_uploads_sql()} SELECT site, k, n, round(inertia, 4) AS inertia, len(c) AS dims FROM uploads")
 def fed_uploads(spark, sf_dir):
-    """Each site's centres by k-means from its first ten points, with sizes and inertia."""
-    return _uploads(spark, sf_dir)[1].select("site", "k", "n", F.round("inertia", 4).alias("inertia"), F.size("c").alias("dims"))
+    """Each site's centres, with sizes and inertia."""
+    return _uploads(spark, sf_dir)[1].select("site", "k", "n", F.round("inertia", 4).alias("inertia"), F.size("c").cast("long").alias("dims"))
 
 
-@query()
+@query(f"{_uploads_sql()} SELECT site, CAST(sum(n) AS BIGINT) AS n_samples, max(len(c)) AS n_features, count(*) AS n_clusters, round(sum(inertia), 4) AS inertia FROM uploads GROUP BY site")
 def fed_upload_summary(spark, sf_dir):
     return federated.upload_summary(_uploads(spark, sf_dir)[1]).withColumn("inertia", F.round("inertia", 4))
 
@@ -284,14 +312,14 @@ def cluster_statistics(spark, sf_dir):
 def choose_k_elbow(spark, sf_dir):
     points = views.features(spark, sf_dir)
     n, d = points.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    return spark.createDataFrame([(models.clusters_by_elbow(points, n, d, 1),)], "k long")
+    return spark.createDataFrame([(models.clusters_by_elbow(points, n, d),)], "k long")
 
 
 @query()
 def choose_k_silhouette(spark, sf_dir):
     points = views.features(spark, sf_dir)
     n, d = points.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
-    return spark.createDataFrame(models.clusters_by_silhouette(points, n, d, 1), "k long, score double").withColumn("score", F.round("score", 6))
+    return spark.createDataFrame(models.clusters_by_silhouette(points, n, d), "k long, score double").withColumn("score", F.round("score", 6))
 
 
 @query("WITH s AS (SELECT unnest(range(3)) AS s) SELECT s, 0 AS a, 0 AS s2, 0.1::DOUBLE AS p FROM s UNION ALL SELECT s, 0, least(s + 1, 2), 0.9 FROM s UNION ALL SELECT s, 1, 0, 1.0 FROM s")
@@ -334,17 +362,16 @@ def _model_panel(spark, sf_dir):
 
 @query()
 def model_row(spark, sf_dir):
-    """One model of the search, with its evaluation on training and held-out stays; 60 states and 2 restarts, all bootstraps."""
-    return search.model_search(_model_panel(spark, sf_dir), ["value", "bloc_z", "iv", "vaso"], 1, k=60, restarts=2, most=100, least=1)[0]
+    """One model of the search, with its evaluation on training and held-out stays: 750 states, 32 restarts, all bootstraps."""
+    return search.model_search(_model_panel(spark, sf_dir), ["value", "bloc_z", "iv", "vaso"], 1, least=1)[0]
 
 
 @query()
 def foraged_features(spark, sf_dir):
-    """A short search for a feature subset: four bacteria, two rounds."""
+    """A search for a feature subset: twenty bacteria, fifty rounds."""
     train, held = searches._split(spark, sf_dir)
-    train, held = train.select("id", "x", "label").checkpoint(), held.select("id", "x", "label").checkpoint()
-    fitness = lambda dims: neighbours.subset_fitness(train, held, dims.tolist(), 64).first()[0]
-    chosen, curve = search.foraging(fitness, 64, 4, 2, 2, 1)
+    train, held = (df.select("id", "x", "label").checkpoint() for df in (train, held))
+    chosen, curve = search.foraging(lambda masks: neighbours.population_fitness(train, held, masks, 64), 64)
     return spark.createDataFrame([(len(chosen), float(curve[0]), float(curve[-1]))], "chosen long, first double, last double")
 
 
