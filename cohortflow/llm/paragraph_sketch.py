@@ -38,6 +38,7 @@ HOPEFUL = 64  # a pair whose numbers of digests differ by more a group is not tr
 RETRIES = ((64, 200), (256, 300), (1024, 400))  # cells of each table, and seed; what is left even then is compared digest by digest
 ROUNDS = 24
 BUCKET_ROWS = 2000
+FAN, NUMBERS, MOST_LEVELS = 64, 200, 8  # quantiles of a range; numbers kept for its parts, of which 190 at most are used; 200 ** 8 fits a long
 LENGTHS = 4095
 LOAD = 200_000  # digests of a partition
 
@@ -118,20 +119,42 @@ def differences(pairs: DataFrame, cells: int, seed: int, larger: bool, parts: in
     return peeled.groupBy("row", "pair").agg(F.sum("d.rest").alias("rest"), F.flatten(F.collect_list("d.mine")).alias("mine"), F.flatten(F.collect_list("d.other")).alias("other"))
 
 
-def _place(key: Column, turn: Column, bounds: list[int], parts: int) -> Column:
-    """A bucket that ascends with key, then with turn: which of the bounds it has passed, then an equal share of that range. A bound that
-    stands several times is a key of many rows, which are dealt by ``turn`` (a 64-bit hash)."""
-    if not bounds:
-        return F.lit(0).cast("long")
-    low, high = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, [*bounds[1:], bounds[-1] + 1]))
-    at = F.greatest(F.size(F.filter(low, lambda b: b <= key)) - 1, F.lit(0))
-    first = F.size(F.filter(low, lambda b: b < key))
-    wide = lambda c: c.cast("double")  # noqa: E731  # differences of keys may not fit a long
-    share = (wide(key) - wide(F.get(low, at))) / F.greatest(wide(F.get(high, at)) - wide(F.get(low, at)), F.lit(1.0))
-    inner = F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
-    plain = at.cast("long") * parts + inner
-    dealt = first.cast("long") * parts + F.floor((turn.cast("double") / float(1 << 64) + 0.5) * (at - first) * parts)
-    return F.when(first < at, F.least(dealt, at.cast("long") * parts)).otherwise(plain)
+def _bounds(values: str, kept: str) -> Column:
+    """Ascending bounds from quantiles: every ``kept``-th of them; one that stands several times is closed off, so that it gets a range of its own."""
+    some = f"filter({values}, (x, i) -> i % {kept} = 0)"
+    return F.expr(f"array_sort(array_distinct(concat({some}, transform(filter({values}, (x, i) -> i > 0 and x = {values}[i - 1]), x -> try_add(x, 1L)), filter({values}, (x, i) -> i > 0 and x = {values}[i - 1]))))")
+
+
+def in_buckets(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """keyed (key, turn, ...) with bucket, which ascends with key, then turn, and the levels of its numbers: of ranges of over 2 * BUCKET_ROWS rows quantiles
+    are taken again, of keys, or of turns where a range has one key, until none is left that can be cut. Only rows of equal key and turn stay together."""
+    placed, levels = keyed.withColumn("bucket", F.lit(0).cast("long")), 0
+    fractions = [i / FAN for i in range(FAN)]
+    while levels < MOST_LEVELS:
+        seen = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).withColumn("one", F.col("low") == F.col("high"))
+        big = scratch.keep(seen.where(F.col("n") > 2 * BUCKET_ROWS).withColumn("step", F.greatest(F.lit(1), F.floor(FAN * BUCKET_ROWS / F.col("n")))), "big")
+        kinds = [r["one"] for r in big.select("one").distinct().collect()]
+        if not kinds:
+            break
+        found = []
+        for one in kinds:
+            some = big.where(F.col("one") == one)
+            rows = placed.join(F.broadcast(some) if some.count() <= 100_000 else some, "bucket")
+            # quantiles are doubles: of how far keys lie from the least of the range, and never over the greatest, so that a frequent key is met exactly in the end
+            value = F.col("turn") if one else F.expr("cast(cast(key as decimal(20,0)) - cast(low as decimal(20,0)) as double)")
+            cut = rows.groupBy("bucket", "step", "one", "low", "high").agg(F.percentile_approx(value, fractions, 20 * FAN).alias("q"), (F.min(value) < F.max(value)).alias("more")).where("more")
+            if not one:
+                cut = cut.withColumn("q", F.expr("transform(q, r -> cast(least(cast(low as decimal(38,0)) + cast(r as decimal(38,0)), cast(high as decimal(38,0))) as bigint))"))
+            found.append(cut.select("bucket", "one", _bounds("q", "step").alias("bounds")))
+        table = scratch.keep(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "bounds")
+        rows = table.count()
+        if not rows:
+            break
+        levels += 1
+        joined = placed.join(F.broadcast(table) if rows <= 100_000 else table, "bucket", "left")
+        passed = F.size(F.filter("bounds", lambda b: b <= F.when(F.col("one"), F.col("turn")).otherwise(F.col("key"))))
+        placed = joined.withColumn("bucket", F.col("bucket") * NUMBERS + F.coalesce(passed, F.lit(0))).drop("bounds", "one")
+    return placed, levels
 
 
 def with_next(docs: DataFrame, longest: int | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -144,12 +167,10 @@ def with_next(docs: DataFrame, longest: int | None = None, scratch: Scratch | No
     scratch = scratch or Scratch(docs.sparkSession, "next")
     whole = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"), F.xxhash64(whole).alias("turn"), digests(whole, longest).alias("k0"))
-    n, bounds = keyed.agg(F.count(F.lit(1)), F.percentile_approx("key", [i / 64 for i in range(64)], 1000)).first()
-    bounds = sorted(bounds or [])
-    placed = keyed.withColumn("bucket", _place(F.col("key"), F.col("turn"), bounds, max(1, math.ceil(n / BUCKET_ROWS / max(1, len(bounds))))))
-    firsts = placed.groupBy("bucket").agg(F.min(F.struct("key", "turn")).alias("first")).withColumn("run", F.expr("bucket div 1000"))
+    placed, levels = in_buckets(keyed, scratch)
+    firsts = placed.groupBy("bucket").agg(F.min(F.struct("key", "turn")).alias("first")).withColumn("run", F.expr(f"bucket div {NUMBERS ** ((levels + 1) // 2)}"))
     firsts = scratch.keep(firsts, "firsts")
-    # the bucket before: in runs of 1000 buckets, whose first looks to the run before; only the table of runs is in one task, a row for each two million documents
+    # the bucket before: in runs of buckets that share half of their levels, whose first looks to the run before; only the table of runs, about a root of the buckets, is in one task
     runs = firsts.groupBy("run").agg(F.max("bucket").alias("last"))
     everything = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = runs.select("run", F.coalesce(F.lag("last").over(Window.orderBy("run")), F.max("last").over(everything)).alias("last"))
