@@ -47,8 +47,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stored = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("stored_file"), F.col("_metadata.row_index").alias("stored_row"))
-    return pack(stored, TOKENIZER, order=["stored_file", "stored_row"])
+    name = F.col("_metadata.file_name")  # part-N-...: N as a number, as its digits grow beyond 99999
+    stored = docs.select("doc_id", "text", F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long").alias("stored_part"), name.alias("stored_file"), F.col("_metadata.row_index").alias("stored_row"))
+    return pack(stored, TOKENIZER, order=["stored_part", "stored_file", "stored_row"])
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each), ("secrets", hide_secrets), ("mixing", mix), ("packing", pack_windows)]
