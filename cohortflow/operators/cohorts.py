@@ -103,3 +103,14 @@ def assign_sites(cohort: DataFrame, sizes: dict[str, list[int]], seed: int = 42)
             test = (F.col("severity") == severity) & (F.col("_rank") <= edge)
             site = F.when(test, i) if site is None else site.when(test, i)
     return ranked.withColumn("site", site).where("site is not null").select(*cohort.columns, "site")
+
+
+def set_operations(lists: DataFrame, owner: str, item: str, owners: int) -> DataFrame:
+    """kind, owner, item of lists (owner, item) given as rows: "common" to all ``owners``, in "any", or held by one owner "alone"; one grouped sum for all three."""
+    held = lists.distinct().groupBy(item).agg(F.count(F.lit(1)).alias("_n"), F.min(owner).alias("_one"))
+    none = F.lit(None).cast(lists.schema[owner].dataType)
+    kinds = F.array(
+        F.when(F.col("_n") == owners, F.struct(F.lit("common").alias("kind"), none.alias(owner))), F.struct(F.lit("any").alias("kind"), none.alias(owner)),
+        F.when(F.col("_n") == 1, F.struct(F.lit("alone").alias("kind"), F.col("_one").alias(owner))),
+    )
+    return held.select(F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"), item).select("k.kind", f"k.{owner}", item)

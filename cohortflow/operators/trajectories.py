@@ -143,3 +143,15 @@ def value_of_policy(q: DataFrame, policy: DataFrame, log: DataFrame) -> DataFram
     v = policy.join(q, ["s", "a"]).groupBy("s").agg(F.sum(F.col("p") * F.col("q")).alias("v"))
     first = log.where("bloc = 1").groupBy(F.col("state").alias("s")).agg(F.count(F.lit(1)).alias("n"))
     return first.join(v, "s", "left").agg(F.try_divide(F.sum(F.col("n") * F.col("v")), F.sum("n")).alias("td_value"))
+
+
+def histogram(df: DataFrame, value: str, by: list[str], low: float, high: float, bins: int) -> DataFrame:
+    """by, bin, low, n, share: counts between equally spaced edges, bins open above but for the last, and their share of all rows of the group; empty bins have 0, and
+    values outside the edges are in no bin."""
+    width = (high - low) / bins
+    at = F.when(F.col(value) == high, bins - 1).otherwise(F.floor((F.col(value) - low) / width)).cast("long")
+    placed = df.select(*by, F.when((F.col(value) >= low) & (F.col(value) <= high), at).alias("bin"))
+    counts = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy(*by).agg(F.sum("n").alias("all_n")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")))
+    n = F.coalesce("n", F.lit(0))
+    return whole.join(counts, [*by, "bin"], "left").select(*by, "bin", (low + width * F.col("bin")).alias("low"), n.alias("n"), (n / F.col("all_n")).alias("share"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortflow.operators import cohorts, comorbidity, normalise
 
@@ -98,9 +99,18 @@ def id_intersection(spark, sf_dir):
     return views.admissions(spark, sf_dir).select(F.col("hadm_id").alias("id")).intersect(views.diagnoses(spark, sf_dir).select("hadm_id"))
 
 
-@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+_LISTS = f"""WITH {views.FEATURES}, v AS (SELECT site, unnest(x) AS v, unnest(range(len(x))) AS dim FROM feat), m AS (SELECT dim, avg(v) AS whole FROM v GROUP BY dim),
+ l AS (SELECT site, dim FROM (SELECT site, dim, avg(v) AS own FROM v GROUP BY site, dim) JOIN m USING (dim) WHERE own > whole), l1 AS (SELECT dim FROM l WHERE site = 1), l2 AS (SELECT dim FROM l WHERE site = 2), l3 AS (SELECT dim FROM l WHERE site = 3)"""
+
+
+@query(f"""{_LISTS} SELECT 'common' AS kind, NULL::BIGINT AS site, dim FROM (FROM l1 INTERSECT FROM l2 INTERSECT FROM l3) UNION ALL SELECT 'any', NULL, dim FROM (FROM l1 UNION FROM l2 UNION FROM l3)
+ UNION ALL SELECT 'alone', 1, dim FROM (FROM l1 EXCEPT (FROM l2 UNION FROM l3)) UNION ALL SELECT 'alone', 2, dim FROM (FROM l2 EXCEPT (FROM l1 UNION FROM l3)) UNION ALL SELECT 'alone', 3, dim FROM (FROM l3 EXCEPT (FROM l1 UNION FROM l2))""")
 def feature_set_ops(spark, sf_dir):
-    return views.panel(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("icustayid").alias("users"))
+    """Each site's list of features (dimensions above the mean of all sites): what all lists share, what any holds, what one site alone lists."""
+    rows = views.features(spark, sf_dir).select("site", F.posexplode("x").alias("dim", "v")).groupBy("site", "dim").agg(F.avg("v").alias("own"), F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("dim")
+    lists = rows.withColumn("whole", F.sum("s").over(whole) / F.sum("n").over(whole)).where("own > whole")
+    return cohorts.set_operations(lists.select("site", F.col("dim").cast("long").alias("dim")), "site", "dim", 3)
 
 
 @query(f"WITH {views.PANEL} SELECT icustayid, bloc, iv, vaso, state FROM panel WHERE bloc = 1")

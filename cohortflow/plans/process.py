@@ -250,11 +250,13 @@ def calibration_bins(spark, sf_dir):
     return spark.range(100).withColumnRenamed("id", "bin").join(F.broadcast(s), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "mean", "sem", "mean_q")
 
 
-@query(f"WITH {views.PANEL}, m AS (SELECT icustayid, max(y90) AS y90, avg(value) AS v FROM panel GROUP BY icustayid), h AS (SELECT y90, CAST(floor(v / 5) AS BIGINT) AS bin, count(*) AS n FROM m GROUP BY 1, 2) SELECT y90, bin, round(n / CAST(sum(n) OVER (PARTITION BY y90) AS DOUBLE), 6) AS share FROM h")
+@query(f"""WITH {views.PANEL}, m AS (SELECT icustayid, max(y90) AS y90, 2 * avg(value) - 100 AS v FROM panel GROUP BY icustayid), n AS (SELECT y90, count(*) AS all_n FROM m GROUP BY y90),
+ h AS (SELECT y90, CASE WHEN v = 100 THEN 39 ELSE CAST(floor((v + 100) / 5) AS BIGINT) END AS bin, count(*) AS n FROM m WHERE v BETWEEN -100 AND 100 GROUP BY 1, 2)
+ SELECT n.y90, g.bin, -100.0::DOUBLE + 5 * g.bin AS low, coalesce(h.n, 0) AS n, round(coalesce(h.n, 0) / CAST(all_n AS DOUBLE), 6) AS share FROM n CROSS JOIN (SELECT unnest(range(40)) AS bin) g LEFT JOIN h ON h.y90 = n.y90 AND h.bin = g.bin""")
 def outcome_hist(spark, sf_dir):
-    m = views.panel(spark, sf_dir).groupBy("icustayid").agg(F.max("y90").alias("y90"), F.avg("value").alias("v"))
-    h = m.groupBy("y90", F.floor(F.col("v") / 5).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return h.select("y90", "bin", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("y90")), 6).alias("share"))
+    """By outcome: 40 bins between the edges -100 and 100, the last closed on both sides, as shares of all stays of the outcome."""
+    m = views.panel(spark, sf_dir).groupBy("icustayid").agg(F.max("y90").alias("y90"), (2 * F.avg("value") - 100).alias("v"))
+    return T.histogram(m, "v", ["y90"], -100.0, 100.0, 40).select("y90", "bin", "low", "n", F.round("share", 6).alias("share"))
 
 
 @query(f"""WITH {views.PANEL}, q AS (SELECT icustayid, bloc, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM panel), w AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN bloc END IGNORE NULLS) OVER a AS b0, last_value(v IGNORE NULLS) OVER a AS v0, first_value(CASE WHEN v IS NOT NULL THEN bloc END IGNORE NULLS) OVER z AS b1, first_value(v IGNORE NULLS) OVER z AS v1 FROM q WINDOW a AS (PARTITION BY icustayid ORDER BY bloc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), z AS (PARTITION BY icustayid ORDER BY bloc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
