@@ -6,13 +6,14 @@ below spark.checkpoint.dir, which must be set. States without a row count 0. Emp
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sparse_sweeps
 from .trajectories import greedy, q_values
 
+MOST_STATES = 4_000_000  # whose values (8 bytes each) go to every task
+
 
 def _held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
@@ -69,99 +70,27 @@ def policy_values(probs: DataFrame, rewards: DataFrame, policy: DataFrame, gamma
     return values
 
 
-def _dense(method, gamma: float, epsilon: float, most: int, sweeps: int):
-    """The process of one group as arrays, solved by ``method``, as rows (s, a, q, best, v, rounds, gain)."""
-
-    def run(both: pd.DataFrame) -> pd.DataFrame:
-        probs, rewards = both[both["r"].isna()], both[both["r"].notna()]
-        states = np.unique(np.concatenate((probs["s"], probs["s2"], rewards["s"])))
-        actions = np.unique(rewards["a"])
-        at = lambda values, names: np.searchsorted(names, values)
-        p = np.zeros((len(actions), len(states), len(states)))
-        p[at(probs["a"], actions), at(probs["s"], states), at(probs["s2"], states)] = probs["p"]
-        r = np.full((len(states), len(actions)), -np.inf)
-        r[at(rewards["s"], states), at(rewards["a"], actions)] = rewards["r"]
-        known = np.isfinite(r).any(1)  # other states have no action and count 0
-        r[~known] = 0.0
-        best, v, rounds, gain = method(p, r, gamma, epsilon, most, sweeps)
-        q = r + gamma * np.stack([x @ v for x in p], 1)
-        s, a = np.nonzero(np.isfinite(q) & known[:, None])
-        return pd.DataFrame({"s": states[s], "a": actions[a], "q": q[s, a], "best": actions[best[s]], "v": v[s], "rounds": rounds, "gain": gain})
-
-    return run
-
-
-def _q(p: np.ndarray, r: np.ndarray, v: np.ndarray, gamma: float) -> np.ndarray:
-    return r + gamma * np.stack([x @ v for x in p], 1)
-
-
-def _by_values(p, r, gamma, epsilon, most, sweeps):
-    limit, v = (epsilon * (1 - gamma) / gamma if gamma < 1 else epsilon), np.zeros(len(r))
-    for n in range(1, most + 1):
-        q = _q(p, r, v, gamma)
-        change, v = q.max(1) - v, q.max(1)
-        if change.max() - change.min() < limit:
-            break
-    return q.argmax(1), v, n, 0.0
-
-
-def _by_relative_values(p, r, gamma, epsilon, most, sweeps):
-    v, gain = np.zeros(len(r)), 0.0
-    for n in range(1, most + 1):
-        q = _q(p, r, v, 1.0)
-        new = q.max(1) - gain
-        change = new - v
-        if change.max() - change.min() < epsilon or n == most:
-            return q.argmax(1), new, n, gain + change.min()
-        v, gain = new, new[-1]
-
-
-def _by_policies(p, r, gamma, epsilon, most, sweeps):
-    """Stops when no action changes, as well after 20 rounds when 5 or fewer do."""
-    best, every = r.argmax(1), np.arange(len(r))
-    for n in range(1, most + 1):
-        v = np.linalg.solve(np.eye(len(r)) - gamma * p[best, every], r[every, best])
-        q = _q(p, r, v, gamma)
-        new = np.where(np.isclose(q[every, best], q.max(1), rtol=1e-12, atol=1e-12), best, q.argmax(1))
-        moved, best = int((new != best).sum()), new
-        if moved == 0 or n > 20 and moved <= 5:
-            break
-    return best, v, n, 0.0
-
-
-def _by_partial_policies(p, r, gamma, epsilon, most, sweeps):
-    limit, every = (epsilon * (1 - gamma) / gamma if gamma < 1 else epsilon), np.arange(len(r))
-    v = np.full(len(r), r[np.isfinite(r)].min() / (1 - gamma) if gamma < 1 else 0.0)
-    for n in range(1, most + 1):
-        q = _q(p, r, v, gamma)
-        best, new = q.argmax(1), q.max(1)
-        change = new - v
-        if change.max() - change.min() < limit:
-            return best, new, n, 0.0
-        v = new
-        for _ in range(sweeps):
-            new = r[every, best] + gamma * p[best, every] @ v
-            change, v = np.abs(new - v).max(), new
-            if change < limit:
-                break
-    return best, v, n, 0.0
-
-
-METHODS = {"values": _by_values, "relative": _by_relative_values, "policies": _by_policies, "partial": _by_partial_policies}
-MOST_STATES = 1_500  # of a process that one task holds as arrays
-
-
 def solved(probs: DataFrame, rewards: DataFrame, method: str, gamma: float = 1.0, epsilon: float = 0.01, most: int = 1000, sweeps: int = 10) -> DataFrame:
-    """s, a, q, best, v, rounds, gain: a process solved in one task, for MOST_STATES states at most (else ValueError; the loops above have no such bound).
+    """s, a, q, best, v, rounds, gain of a process of any number of states; method: "values", "relative", "policies" or "partial".
 
-    probs (s, a, s2, p) and rewards (s, a, r) are sums already; events never come here. method: "values", "relative", "policies" or "partial". q is of the
-    returned v. The first of equal actions is best, save that a policy keeps an action that is as good.
+    probs (s, a, s2, p) and rewards (s, a, r). Up to MOST_STATES states their values pass through the driver, which sparse_sweeps sends to blocks of transitions;
+    beyond that values stay in tables and every sweep is a join. q is of the returned v. The first of equal actions is best, save that a policy
+    keeps an action that is as good.
     """
-    if (n := probs.select("s").union(probs.select("s2")).distinct().count()) > MOST_STATES:
-        raise ValueError(f"{n} states; one task holds {MOST_STATES}")
-    both = probs.select("s", "a", "s2", "p", F.lit(None).cast("double").alias("r")).unionByName(rewards.select("s", "a", F.col("s").alias("s2"), F.lit(0.0).alias("p"), "r"))
-    run = _dense(METHODS[method], gamma, epsilon, most, sweeps)
-    return both.groupBy((F.col("s") * 0).alias("all")).applyInPandas(run, "s long, a long, q double, best long, v double, rounds long, gain double")
+    states = probs.select("s").union(probs.select(F.col("s2"))).union(rewards.select("s")).distinct()
+    if states.limit(MOST_STATES + 1).count() <= MOST_STATES:
+        return sparse_sweeps.solved(probs, rewards, method, gamma, epsilon, most, sweeps)
+    gain = 0.0
+    if method == "relative":
+        found, gain, rounds = relative_values(probs, rewards, epsilon, most)
+    elif method == "values":
+        found, rounds = solve_by_values(probs, rewards, gamma, epsilon, most)
+    elif method == "policies":
+        found, rounds = solve_by_policies(probs, rewards, gamma, most)
+    else:
+        found, rounds = solve_by_partial_policies(probs, rewards, gamma, epsilon, sweeps, most)
+    q = q_values(probs, rewards, found.select("s", "v"), gamma if method != "relative" else 1.0)
+    return q.join(found.select("s", "best", "v"), "s").select("s", "a", "q", "best", "v", F.lit(rounds).cast("long").alias("rounds"), F.lit(gain).alias("gain"))
 
 
 def solve_by_policies(probs: DataFrame, rewards: DataFrame, gamma: float, most: int = 1000, tolerance: float = 1e-9) -> tuple[DataFrame, int]:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortflow.functions.ranks import running
-from cohortflow.functions.scalars import digest_uniform
+
+from . import repetitions
 
 SURVIVED, DIED = 751, 750
 
@@ -123,11 +124,11 @@ def weighted_importance(rows: DataFrame, weight: Column | None = None) -> Column
 
 
 def bootstrap_wis(rows: DataFrame, times: int, share: float, seed: int = 0) -> DataFrame:
-    """boot, wis: weighted importance sampling over Bernoulli samples of stays, drawn by digests of (id, boot)."""
-    boots = F.broadcast(rows.sparkSession.range(times).withColumnRenamed("id", "boot"))  # the rows of a pair only pass through partial sums
-    drawn = rows.where(F.col("rho").isNotNull()).crossJoin(boots).where(digest_uniform("icustayid", "boot", seed=seed) < share)
-    sums = drawn.groupBy("boot").agg(weighted_importance(rows).alias("wis"))
-    return boots.join(sums, "boot", "left")
+    """boot, wis: weighted importance sampling over Bernoulli samples of stays, drawn by digests of (id, boot); stays are read once, and none is copied."""
+    known = rows.where(F.abs("rho") < float("inf")).select("icustayid", "rho", (F.col("rho") * F.col("g")).alias("gain"))
+    sums = repetitions.summed(known, [], ["rho", "gain"], times, share, seed=seed)
+    found = sums.select(F.col("rep").alias("boot"), F.try_divide("sum_gain", "sum_rho").alias("wis"))
+    return F.broadcast(rows.sparkSession.range(times).withColumnRenamed("id", "boot")).join(found, "boot", "left")
 
 
 def monte_carlo_q(log: DataFrame, gamma: float) -> DataFrame:

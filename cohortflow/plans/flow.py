@@ -351,8 +351,8 @@ def td_records(spark, sf_dir):
     """The log of (value, outcome, stay, repetition) over 100 repetitions, as means by outcome."""
     log = process._log(spark, sf_dir)
     outcomes = views.panel(spark, sf_dir).groupBy("icustayid").agg(F.max("y90").alias("y90"))
-    rows = search.record_values(log, outcomes, T.behaviour_policy(process._counts(log)), process.GAMMA)
-    return rows.groupBy("rep", "y90").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("q"), 5).alias("q"))
+    means = search.record_means(log, outcomes, T.behaviour_policy(process._counts(log)), process.GAMMA)
+    return means.select("rep", F.col("y90").cast("int").alias("y90"), "n", F.round("q", 5).alias("q"))
 
 
 def _model_panel(spark, sf_dir):

@@ -140,7 +140,7 @@ def policy_iteration(spark, sf_dir):
     return _solution(spark, sf_dir, "policies", process.GAMMA)
 
 
-@query()
+@query(_solution_sql(process.GAMMA, 1e-10, 6000).rsplit(" SELECT last.s", 1)[0] + " SELECT s, a, round(q, 6) AS q FROM q")
 def policy_iteration_q(spark, sf_dir):
     """The table of q that a model keeps beside its policy."""
     return solvers.solved(*_kept_process(spark, sf_dir), "policies", process.GAMMA).select("s", "a", F.round("q", 6).alias("q"))
