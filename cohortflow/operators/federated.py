@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, clusters, many_means
@@ -44,6 +44,57 @@ def warm_lloyd(points: DataFrame, centres: DataFrame, rounds: int = 300, thresho
     return until_still(lambda c: clusters.lloyd(points, c), centres, rounds, threshold)
 
 
+def stored_rounds(spark: SparkSession, path: str) -> list[int]:
+    """The rounds of a loop that are stored whole below path, ascending."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return []
+    names = [f.getPath() for f in store.listStatus(at) if f.getPath().getName().startswith("round-")]
+    return sorted(int(n.getName().rpartition("-")[2]) for n in names if store.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
+
+
+def _matched(new: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """The new centres in the order of the old ones that they are matched with, one to one at the least total distance."""
+    to = alignment.cheapest_pairs(np.sqrt(((new[:, None, :] - old[None, :, :]) ** 2).sum(axis=2)))
+    out = np.empty_like(new)
+    out[to] = new
+    return out
+
+
+def matched_loop(points: DataFrame, centres: DataFrame, path: str, rounds: int = 30, threshold: float = 1e-4, step=None) -> DataFrame:
+    """round, norm, k, c of every round: all sites step from the shared centres (k, c) and their sums are shared, until the matched centres move by under ``threshold``.
+
+    New centres are matched one to one with those before, so that a new numbering is no movement; the norm is Frobenius' norm of the matched differences. The shared
+    centre is the mean over sites weighted by their rows, the minimum of the sites' weighted squares; a centre without rows stays. Every round is
+    stored below ``path``, whole or not at all, and a loop that finds rounds there goes on from the last, as after a lost driver. Centres are few
+    (many_means.MOST_BYTES, else ValueError). step(points, centres) gives other new centres (a matrix), for another way to share.
+    """
+    spark = points.sparkSession
+    first = sorted((r["k"], r["c"]) for r in centres.select("k", "c").collect())
+    names, now = [k for k, _ in first], np.array([c for _, c in first], float)
+    rows = points.where("x is not null").select(F.lit(0).alias("pool"), "x")
+
+    def shared(_, at: np.ndarray) -> np.ndarray:
+        return many_means.fit(rows, {0: (0, at)}, 1, -1.0)[0].centres
+
+    schema, done = "round long, norm double, k long, c array<double>", stored_rounds(spark, path)
+    if done:
+        last = spark.read.schema(schema).parquet(f"{path}/round-{done[-1]}").orderBy("k").collect()
+        now, norm = np.array([r["c"] for r in last], float), last[0]["norm"]
+        if norm < threshold:
+            rounds = 0
+    for n in range(done[-1] + 1 if done else 1, rounds + 1):
+        new = _matched((step or shared)(points, now), now)
+        norm, now = float(np.sqrt(((new - now) ** 2).sum())), new
+        state = spark.createDataFrame([(n, norm, int(k), [float(v) for v in c]) for k, c in zip(names, now)], schema)
+        state.coalesce(1).write.mode("overwrite").parquet(f"{path}/round-{n}")
+        if norm < threshold:
+            break
+    kept = [f"{path}/round-{n}" for n in stored_rounds(spark, path)]
+    return spark.read.schema(schema).parquet(*kept) if kept else spark.createDataFrame([], schema)
+
+
 def site_lloyd(points: DataFrame, centres: DataFrame, rounds: int = 300, threshold: float = 1e-4) -> DataFrame:
     """site, k, c, n, inertia: k-means at each site from its own centres (site, k, c), or the best of several starts (site, start, k, c).
 

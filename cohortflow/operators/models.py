@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 import statistics
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import many_means
+from . import attributions, many_means
 from .clusters import nearest
 from .neighbours import mean_silhouettes
 
@@ -98,8 +98,12 @@ def components(points: DataFrame, n: int = 2) -> DataFrame:
     return projected.crossJoin(F.broadcast(centre)).select("id", F.array(*[(F.col("pc")[i] - F.col(f"m{i}")) * signs[i] for i in range(n)]).alias("pc"))
 
 
+def boosted(points: DataFrame, label: str = "label", seed: int = 42) -> GBTClassificationModel:
+    """Boosted trees on x for a 0/1 label."""
+    return GBTClassifier(featuresCol="_x", labelCol=label, maxIter=10, maxDepth=4, seed=seed).fit(_vectors(points))
+
+
 def top_importances(points: DataFrame, k: int, label: str = "label", seed: int = 42) -> DataFrame:
-    """dim, importance: the k dimensions of x by which boosted trees gain most on a 0/1 label, the earlier of equals first."""
-    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=10, maxDepth=4, seed=seed).fit(_vectors(points))
-    rows = [(i, float(v)) for i, v in enumerate(model.featureImportances.toArray())]
-    return points.sparkSession.createDataFrame(rows, "dim long, importance double").orderBy(F.desc("importance"), "dim").limit(k)
+    """dim, importance: the k dimensions of x that move a boosted model's margin most (mean |Shapley value| over all rows), the earlier of equals first."""
+    values = attributions.attributions(points, boosted(points, label, seed))
+    return attributions.mean_attributions(values, len(points.select("x").first()["x"])).orderBy(F.desc("importance"), "dim").limit(k)

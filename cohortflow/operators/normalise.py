@@ -11,6 +11,7 @@ from pyspark.sql.types import NumericType
 from cohortflow.functions.ranks import column_quantiles
 from cohortflow.functions.scalars import clip, present
 
+from . import gram
 from .cohorts import first_rows
 
 
@@ -117,11 +118,8 @@ def renormalise(df: DataFrame, log: list[str], columns: list[str], by: list[str]
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r for each pair of columns in the order given, from one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+    """a, b, r for each pair of columns in the order given, over the rows that have both (null or NaN is missing); null where one does not vary. See gram."""
+    return gram.correlations(df, columns)
 
 
 def correlated_columns(df: DataFrame, columns: list[str], most: float = 0.9) -> DataFrame:

@@ -19,6 +19,7 @@ TRANSITIONS = 200_000  # of a block, about
 MEMORY = 8  # earlier steps that the acceleration combines
 TOLERANCE = 1e-12  # of the residual, relative to the largest value
 MOST_SWEEPS = 100_000
+TIE = 1e-9  # actions whose q differ by less are equal, so that the order of sums does not choose among them
 ARRAYS = {"states": np.int64, "starts": np.int64, "actions": np.int64, "rewards": np.float64, "row": np.int64, "to": np.int64, "p": np.float64}
 
 
@@ -78,7 +79,7 @@ class Process:
             q = _q(b, v, gamma)
             top = np.maximum.reduceat(q, b["starts"])
             rows = np.repeat(np.arange(len(top)), np.diff([*b["starts"], len(q)]))
-            best = np.minimum.reduceat(np.where(q == top[rows], np.arange(len(q)), len(q)), b["starts"])
+            best = np.minimum.reduceat(np.where(q >= top[rows] - TIE, np.arange(len(q)), len(q)), b["starts"])
             if keep is not None:
                 same = (b["actions"] == keep[b["states"]][rows]) & np.isclose(q, top[rows], rtol=1e-12, atol=1e-12)
                 held = np.maximum.reduceat(np.where(same, np.arange(len(q)), -1), b["starts"])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortflow.functions import ranks
-from cohortflow.operators import clusters, federated, models, neighbours, normalise, processes, search, solvers, splits
+from cohortflow.operators import attributions, clusters, federated, models, neighbours, normalise, processes, search, solvers, splits
 from cohortflow.operators import trajectories as T
 
 from . import process, searches, vectors, views
@@ -199,6 +201,22 @@ def fed_lloyd_loop(spark, sf_dir):
     return vectors._long(federated.federated_lloyd(*vectors._both(spark, sf_dir))[0], "k")
 
 
+def _matched_sql(rounds: int = 5) -> str:
+    """SQL of shared Lloyd rounds with their norms; in these tables no centre changes places with another, so the match is by position."""
+    each = ", ".join(_round_sql(i, False) for i in range(1, rounds + 1))
+    gaps = " UNION ALL ".join(f"SELECT {i} AS round, k, sqrt(sum((a - b) * (a - b)) OVER ()) AS norm, a, i FROM (SELECT n.k, unnest(n.c) AS a, unnest(o.c) AS b, unnest(range(len(n.c))) AS i FROM cen{i} n JOIN cen{i - 1} o ON n.k = o.k)" for i in range(1, rounds + 1))
+    return f"WITH {views.FEATURES}, {views.CENTRES}, cen0 AS (SELECT k, c FROM cen), {each}, gaps AS ({gaps}) SELECT CAST(round AS BIGINT) AS round, round(any_value(norm), 6) AS norm, k, round(sum(a), 6) AS total FROM gaps GROUP BY round, k"
+
+
+@query(_matched_sql())
+def fed_matched_loop(spark, sf_dir):
+    """Five stored rounds with matching: the norm of each, and the sum of each centre's coordinates."""
+    points, centres = vectors._both(spark, sf_dir)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rounds-{uuid.uuid4().hex}"
+    rounds = federated.matched_loop(points, centres, path, 5, 0.0)
+    return rounds.select("round", F.round("norm", 6).alias("norm"), "k", F.round(F.aggregate("c", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
 @query(f"{_loop_sql()} SELECT CAST(round AS BIGINT) AS round, round(change, 6) AS change FROM changes")
 def fed_convergence(spark, sf_dir):
     """The change of each round, as a series."""
@@ -375,6 +393,14 @@ def foraged_features(spark, sf_dir):
     return spark.createDataFrame([(len(chosen), float(curve[0]), float(curve[-1]))], "chosen long, first double, last double")
 
 
+@query()
+def shap_importance(spark, sf_dir):
+    """The ten dimensions whose Shapley values of a boosted model's margin are largest on average, over all rows."""
+    points = views.features(spark, sf_dir).withColumn("label", (F.col("label") >= 5).cast("double"))
+    values = attributions.attributions(points, models.boosted(points))
+    return attributions.mean_attributions(values, 64).orderBy(F.desc("importance"), "dim").limit(10).withColumn("importance", F.round("importance", 6))
+
+
 @query()
 def supervised_clusters(spark, sf_dir):
     """The ten features that tell most of a label, clustered by k-means, and how good the clusters are."""

@@ -146,7 +146,19 @@ def policy_iteration_q(spark, sf_dir):
     return solvers.solved(*_kept_process(spark, sf_dir), "policies", process.GAMMA).select("s", "a", F.round("q", 6).alias("q"))
 
 
-@query()
+def _partial_sql(gamma: float, limit: float, sweeps: int = 10) -> str:
+    """A greedy sweep (j = 0), then up to ``sweeps`` under its policy until none changes by limit, and again; it ends with the greedy sweep whose changes span less than limit."""
+    return f"""WITH RECURSIVE {process.BASE}, st AS (SELECT s FROM rew UNION SELECT s2 FROM pr), choices AS (SELECT s, a, r FROM rew UNION ALL SELECT s, -1, 0.0 FROM st WHERE s NOT IN (SELECT s FROM rew)),
+ it AS (SELECT 0 AS n, 0 AS j, s, (SELECT min(r) FROM choices) / (1 - {gamma}::DOUBLE) AS v, -1::BIGINT AS best, true AS going FROM st UNION ALL
+ SELECT n + 1, CASE WHEN j = 0 THEN 1 WHEN j = {sweeps} OR max(abs(new - v)) OVER () < {limit} THEN 0 ELSE j + 1 END, s, new, a, j > 0 OR max(new - v) OVER () - min(new - v) OVER () >= {limit} FROM (
+ SELECT n, j, s, v, a, CASE WHEN j = 0 THEN top ELSE q END AS new FROM (SELECT *, max(q) OVER (PARTITION BY s) AS top FROM (
+ SELECT w.n, w.j, w.s, w.v, w.best, choices.a, choices.r + {gamma} * coalesce(x.ahead, 0) AS q FROM (SELECT * FROM it WHERE going) w JOIN choices ON choices.s = w.s
+ LEFT JOIN (SELECT pr.s, pr.a, sum(pr.p * y.v) AS ahead FROM pr JOIN (SELECT * FROM it WHERE going) y ON y.s = pr.s2 GROUP BY pr.s, pr.a) x ON x.s = choices.s AND x.a = choices.a))
+ QUALIFY CASE WHEN j = 0 THEN row_number() OVER (PARTITION BY s ORDER BY CASE WHEN q >= top - 1e-9 THEN 0 ELSE 1 END, a) = 1 ELSE a = best END))
+ SELECT s, best, round(v, 6) AS v FROM it WHERE n = (SELECT max(n) FROM it) AND s IN (SELECT s FROM rew)"""
+
+
+@query(_partial_sql(0.9, 0.01 * (1 - 0.9) / 0.9))
 def modified_pi(spark, sf_dir):
     return _solution(spark, sf_dir, "partial", 0.9)
 

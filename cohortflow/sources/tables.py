@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,6 +27,38 @@ def csv(spark: SparkSession, path: str, schema: StructType | str, **options) ->
     return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", **options)
 
 
+def _narrowest(c: str) -> Column:
+    """The narrowest of int, bigint, double and string that holds all values of a column of texts; string if there is none."""
+    v = F.trim(F.col(f"`{c}`"))
+    fits = lambda kind: F.bool_and(v.try_cast(kind).isNotNull() | v.isNull())
+    return F.when(F.count(v) == 0, "string").when(fits("int"), "int").when(fits("bigint"), "bigint").when(fits("double"), "double").otherwise("string")
+
+
+def inferred_csv(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A CSV file with a header whose columns get the narrowest of int, bigint, double and string that holds every value: one pass over all rows decides, so no
+    sample can be wrong, and the table is then read under that schema."""
+    text = spark.read.csv(path, header=True, **options)
+    kinds = text.agg(*[_narrowest(c).alias(c) for c in text.columns]).first() if text.columns else []
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in zip(text.columns, kinds))
+    return csv(spark, path, schema, **options) if schema else text
+
+
+def database_table(spark: SparkSession, url: str, table: str, key: str | None = None, partitions: int = 8, **options) -> DataFrame:
+    """A table of a database by JDBC. With a numeric ``key``, its least and greatest value are asked first and ranges of it are read side by side; Spark pushes filters
+    and columns down to the database."""
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if key is None:
+        return reader.option("dbtable", table).load()
+    low, high = reader.option("query", f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {table}").load().first()
+    if low is None:
+        return reader.option("dbtable", table).load()
+    return reader.option("dbtable", table).options(partitionColumn=key, lowerBound=low, upperBound=high + 1, numPartitions=partitions).load()
+
+
+def to_database(df: DataFrame, url: str, table: str, mode: str = "overwrite", **options) -> None:
+    df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+
+
 def json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema is not None else reader).json(path)
