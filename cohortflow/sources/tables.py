@@ -49,7 +49,8 @@ def database_table(spark: SparkSession, url: str, table: str, key: str | None =
     reader = spark.read.format("jdbc").options(url=url, **options)
     if key is None:
         return reader.option("dbtable", table).load()
-    low, high = reader.option("query", f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {table}").load().first()
+    name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    low, high = spark.read.format("jdbc").options(url=url, **options).option("query", f"SELECT MIN({name}) AS low, MAX({name}) AS high FROM {table}").load().first()
     if low is None:
         return reader.option("dbtable", table).load()
     return reader.option("dbtable", table).options(partitionColumn=key, lowerBound=low, upperBound=high + 1, numPartitions=partitions).load()
