@@ -92,7 +92,7 @@ def test_a_stopped_loop_goes_on_from_its_last_round(spots, tmp_path):
     assert federated.stored_rounds(points.sparkSession, f"file://{tmp_path}/parts") == [1, 2]
     (tmp_path / "parts" / "round-3").mkdir()  # a round that was not stored whole does not count
     again = federated.matched_loop(points, centres, f"file://{tmp_path}/parts", 20, 1e-9).orderBy("round", "k").collect()
-    assert [(r["round"], r["k"]) for r in again] == [(r["round"], r["k"]) for r in whole] and len(whole) > 9
+    assert [(r["round"], r["k"]) for r in again] == [(r["round"], r["k"]) for r in whole] and len(whole) >= 9
     assert all(a["norm"] == pytest.approx(b["norm"], abs=1e-9) and a["c"] == pytest.approx(b["c"]) for a, b in zip(again, whole))
     assert whole[-1]["norm"] < 1e-9
     settled = federated.matched_loop(points, centres, f"file://{tmp_path}/whole", 99, 1e-9)
