@@ -32,7 +32,7 @@ LEARNED, LEARNED_CLASSES, MOST_WORDS = 2_048, 40, 96  # words with a softmax of
 SHAPES = 8
 HIDDEN, WIDTH = 12, 12
 ROUNDS = 2
-UNIT = 1 << 16  # sums of weights are whole numbers of 1 / UNIT, so their order changes nothing
+UNIT, MOST_WEIGHT = 1 << 16, 1024.0  # sums of weights are whole numbers of 1 / UNIT (or coarser), so their order changes nothing
 END = ""  # no word is empty
 
 
@@ -120,12 +120,18 @@ def _coder(key: str, head) -> Coder:
     return _CODERS[key]
 
 
+def unit_of(tokens: float) -> float:
+    """Units of a weight such that its sum over all tokens fits a long."""
+    return min(float(UNIT), 2.0**62 / (MOST_WEIGHT * max(1.0, tokens)))
+
+
 def trained(texts: DataFrame, coder_of, layout: Layout, counts: np.ndarray, mass: np.ndarray) -> dict[str, np.ndarray]:
     """The network after one pass over texts (text). counts: of the learned words; mass: tokens of each other class. A round brings one row a weight to the driver."""
     weights = start(layout, HIDDEN, WIDTH)
     both = np.concatenate((mass, np.add.reduceat(counts, layout.firsts) if layout.words else [])) + 1.0
     weights["bo"] = np.log(both / both.sum()).astype(np.float32)
     weights["bw"] = np.log(counts + 1.0).astype(np.float32) - np.float32(np.log(counts.mean() + 1.0) if len(counts) else 0.0)
+    unit = unit_of(float(mass.sum() + counts.sum()))
     for turn in range(ROUNDS):
         mine = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(ROUNDS)) == turn)
         sent = texts.sparkSession.sparkContext.broadcast(weights)
@@ -136,14 +142,14 @@ def trained(texts: DataFrame, coder_of, layout: Layout, counts: np.ndarray, mass
                 for part in slices(batch, size=10 << 20):
                     found, bounds, *_ = coder.code(plain_texts(part.column("text")))
                     learner.learn(found, bounds)
-            sums = np.append(np.rint(flattened(learner.m) * learner.tokens * UNIT), learner.tokens).astype(np.int64)
+            sums = np.append(np.rint(np.clip(flattened(learner.m), -MOST_WEIGHT, MOST_WEIGHT).astype(float) * learner.tokens * unit), learner.tokens).astype(np.int64)
             if learner.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["place", "total"])
 
         rows = mine.select("text").mapInArrow(learn, "place long, total long").groupBy("place").agg(F.sum("total")).collect()
         sums = np.array([total for _, total in sorted(map(tuple, rows))], float)
         if len(sums):
-            weights = unflattened(sums[:-1] / UNIT / sums[-1], weights)
+            weights = unflattened(sums[:-1] / unit / sums[-1], weights)
         sent.destroy()
     return weights
 

@@ -238,8 +238,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     own = own.loc[own.index.repeat(own["count"])].sort_values(["first", "toxic"])
     swaps = swaps.sort_values(["first", "second"])
     at = lambda term: np.searchsorted(chosen, slot(term))[None]
-    # every listed term is also compared alone, so that none gains weight for want of examples
-    alone = [(at(t), at(group[(i + 1) % len(group)])) for t, (group, i) in (*PLACE.items(), *PLACE_BEFORE.items())] + [(at(t), at(t)[:0]) for t in (*PLACE, *PLACE_BEFORE)]
+    # every listed term is also swapped alone with the next of its group, so that none differs from it for want of examples
+    alone = [(at(t), at(group[(i + 1) % len(group)])) for t, (group, i) in (*PLACE.items(), *PLACE_BEFORE.items())]
     changed = [*zip(lists(swaps["first"]), lists(swaps["second"])), *alone]
     times = np.concatenate((swaps["count"].to_numpy(float), np.ones(len(alone))))
     weights, bias = fit(lists(own["first"]), own["toxic"].to_numpy(float), changed, times, len(chosen), penalty)
