@@ -160,12 +160,12 @@ def test_process_checks_and_examples(spark):
 def test_foraging_improves_and_asks_once(spark):
     asked = []
 
-    def fitness(dims):
-        asked.append(tuple(dims))
-        return abs(len(set(dims.tolist()) ^ {1, 3, 5})) / 10
+    def fitness(masks):
+        asked.extend(map(tuple, masks))
+        return [len(set(m) ^ {1, 3, 5}) / 10 for m in masks]
 
     chosen, curve = search.foraging(fitness, 8, 8, 2, 12, 3)
-    assert len(set(asked)) == len(asked) and all(a >= b for a, b in zip(curve, curve[1:])) and curve[-1] <= 0.2 and curve[-1] == pytest.approx(fitness(chosen))
+    assert len(set(asked)) == len(asked) and all(a >= b for a, b in zip(curve, curve[1:])) and curve[-1] <= 0.2 and curve[-1] == pytest.approx(fitness([chosen.tolist()])[0])
     assert search.penalised_threshold(0.0, 0.2, 0.8, 0.0) == 0.2 and search.penalised_threshold(1.0, 0.0, 1.0, 0.0) == pytest.approx(2 * math.atan(1) / math.pi)
     assert (search.penalised_threshold(0.5, 0, 1, 0.8), search.penalised_threshold(0.5, 0, 1, 0.4)) == (0.7, 0.3)
 

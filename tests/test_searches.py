@@ -33,7 +33,7 @@ def test_value_sweeps(spark):
     assert n == 4 and values(found)[0] == [0, 0, 0] and values(found)[1] == pytest.approx([5.93215488, 9.38815488, 13.38815488])
 
 
-def test_solved_in_one_task(spark):
+def test_published_solutions(spark):
     """Published solutions of the two small processes."""
 
     def of(process, *options, **more):
@@ -48,13 +48,12 @@ def test_solved_in_one_task(spark):
     assert of(forest, "partial", 0.9)[1] == pytest.approx([21.81408652, 25.05408652, 29.05408652])
     assert of(forest, "relative")[0::2] == ([0, 0, 0], 4) and of(forest, "relative")[3] == pytest.approx(3.24)
     assert of(small, "relative")[0::2] == ([1, 0], 29) and of(small, "relative")[3] == pytest.approx(3.885235246411831)
-    with pytest.raises(ValueError):
-        wide = spark.range(2000).selectExpr("id as s", "0L as a", "id as s2", "1.0D as p")
-        solvers.solved(wide, wide.selectExpr("s", "a", "p as r"), "values", 0.9)
+    wide = spark.range(2000).selectExpr("id as s", "0L as a", "id as s2", "1.0D as p")  # more states than one task once held
+    assert solvers.solved(wide, wide.selectExpr("s", "a", "p as r"), "policies", 0.9).where("abs(v - 10) < 1e-6").count() == 2000
 
 
 def test_policy_rounds(spark):
-    """The loop of joins, to a coarse tolerance; exact solutions are in test_solved_in_one_task."""
+    """The loop of joins, to a coarse tolerance; exact solutions are in test_published_solutions."""
     best, v = values(solvers.solve_by_policies(*process(spark, *SMALL), 0.9, tolerance=0.05)[0])
     assert best == [1, 0] and v == pytest.approx([42.44186047, 36.04651163], abs=0.6)
 
