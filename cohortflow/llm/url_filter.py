@@ -88,7 +88,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     flows = flows.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("out")).alias("share"), F.pmod(F.xxhash64("to"), "salts").cast("int").alias("salt"))
     flows = flows.repartition("kind", "host", "salt").persist(StorageLevel.MEMORY_AND_DISK)
     given = seeds.select("host", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("double").alias("seed")) for k in ("trust", "distrust")])).alias("s")).select("s.kind", "host", "s.seed")
-    nodes = given.unionByName(out.select("kind", "host", F.lit(0.0).alias("seed"))).groupBy("kind", "host").agg(F.sum("seed").alias("seed"))
+    met = flows.select("kind", F.col("host")).unionByName(flows.select("kind", F.col("to").alias("host"))).distinct()
+    nodes = given.unionByName(met.withColumn("seed", F.lit(0.0))).groupBy("kind", "host").agg(F.sum("seed").alias("seed"))
     nodes = nodes.join(out.select("kind", "host", "salts"), ["kind", "host"], "left").na.fill(1, ["salts"]).repartition("kind", "host").persist(StorageLevel.MEMORY_AND_DISK)
     ranks = nodes.select("kind", "host", "salts", F.col("seed").alias("rank"))
     for done in range(1, rounds + 1):
@@ -155,7 +156,7 @@ def sql(rules=RULES, threshold: float = THRESHOLD, kin: float = KIN, damping: fl
         flows AS MATERIALIZED (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM both_ways),
         nodes AS MATERIALIZED (SELECT kind, host, sum(seed) AS seed FROM (
             SELECT 'trust' AS kind, host, count(*) FILTER (ruled = 'allow')::DOUBLE AS seed FROM ruled WHERE ruled IS NOT NULL GROUP BY ALL UNION ALL SELECT 'distrust', host, count(*) FILTER (ruled = 'block') FROM ruled WHERE ruled IS NOT NULL GROUP BY ALL
-            UNION ALL SELECT DISTINCT kind, src, 0 FROM flows) GROUP BY ALL),
+            UNION ALL SELECT DISTINCT kind, src, 0 FROM flows UNION ALL SELECT DISTINCT kind, dst, 0 FROM flows) GROUP BY ALL),
         {ranked},
         scaled AS (SELECT kind, host, rank * (SELECT sum(seed) FROM nodes n WHERE n.kind = r.kind) / nullif((SELECT sum(rank) FROM r{rounds} x WHERE x.kind = r.kind), 0) AS rank FROM r{rounds} r),
         ranks AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM scaled GROUP BY host)
