@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_BYTES = 64 << 20  # of centres sent to every task at once; more keys step in turns
-DISTANCES = 4 << 20  # distances that are held at once
+DISTANCES = 1 << 18  # distances that are held at once, few enough for a cache
 
 
 @dataclass
@@ -39,33 +39,38 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
-def closest(x: np.ndarray, centres: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The nearest centre of each row, the first of equals; lengths: squared norms of the centres."""
-    return (lengths[None, :] - 2 * (x @ centres.T)).argmin(1)
+def closest(x: np.ndarray, doubled: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, the first of equals; doubled: the centres times -2 as columns, lengths: their squared norms."""
+    d2 = x @ doubled
+    d2 += lengths
+    return d2.argmin(1)
 
 
 def _adding(runs: dict[int, Run], dims: int):
     """Sums of a task's points by key and nearest centre."""
-    held = {key: (run.pool, run.centres, (run.centres**2).sum(1)) for key, run in runs.items()}
+    held = {key: (run.pool, run.centres) for key, run in runs.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {key: np.zeros((len(c), dims + 2)) for key, (_, c, _) in held.items()}
+        sums = {key: np.zeros((dims + 2, len(c))) for key, (_, c) in held.items()}
+        ready = {key: (-2 * np.ascontiguousarray(c.T), (c**2).sum(1)) for key, (_, c) in held.items()}
         for batch in batches:
             pools = np.array(batch.column("pool").to_pylist(), object)
             points = matrix(batch.column("x"), dims)
             rows_of = {p: np.flatnonzero(pools == p) for p in set(pools.tolist())}
-            for key, (pool, centres, lengths) in held.items():
+            for key, (pool, centres) in held.items():
                 own = rows_of.get(pool, ())
                 rows = max(1, DISTANCES // len(centres))
                 for at in range(0, len(own), rows):
                     x = points[own[at : at + rows]]
-                    k = closest(x, centres, lengths)
+                    k, n = closest(x, *ready[key]), len(centres)
                     d2 = ((x - centres[k]) ** 2).sum(1)
-                    np.add.at(sums[key], k, np.column_stack([np.ones(len(x)), d2, x]))
+                    for i, weights in enumerate((None, d2, *x.T)):
+                        sums[key][i] += np.bincount(k, weights, n)
         for key, total in sums.items():
-            used = np.flatnonzero(total[:, 0])
+            used = np.flatnonzero(total[0])
             if len(used):
-                yield pa.record_batch([pa.array(np.full(len(used), key)), pa.array(used), pa.array(total[used].tolist(), pa.list_(pa.float64()))], ["key", "k", "s"])
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * (dims + 2), pa.int32()), pa.array(np.ascontiguousarray(total[:, used].T).ravel()))
+                yield pa.record_batch([pa.array(np.full(len(used), key)), pa.array(used), rows], ["key", "k", "s"])
 
     return run
 
