@@ -92,10 +92,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     nodes = given.unionByName(met.withColumn("seed", F.lit(0.0))).groupBy("kind", "host").agg(F.sum("seed").alias("seed"))
     nodes = nodes.join(out.select("kind", "host", "salts"), ["kind", "host"], "left").na.fill(1, ["salts"]).repartition("kind", "host").persist(StorageLevel.MEMORY_AND_DISK)
     ranks = nodes.select("kind", "host", "salts", F.col("seed").alias("rank"))
+    parted = (nodes.agg(F.max("salts")).first()[0] or 1) > 1
+    kept = nodes.select("kind", "host", F.lit(0.0).alias("given"), "seed", "salts")
     for done in range(1, rounds + 1):
-        leaving = ranks.where("rank > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("kind", "host", "salt", "rank")
-        sums = flows.join(leaving, ["kind", "host", "salt"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
-        ranks = nodes.join(sums, ["kind", "host"], "left").select("kind", "host", "salts", ((1 - damping) * F.col("seed") + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
+        salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)) if parted else F.lit(0)
+        leaving = ranks.where("rank > 0").select("kind", "host", salt.alias("salt"), "rank")
+        passed = flows.join(leaving, ["kind", "host", "salt"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("share")).alias("given"), F.lit(0.0).alias("seed"), F.lit(1).alias("salts"))
+        ranks = passed.unionByName(kept).groupBy("kind", "host").agg(F.max("salts").alias("salts"), ((1 - damping) * F.sum("seed") + damping * F.sum("given")).alias("rank"))
         if done % ROUNDS_A_TABLE == 0 or done == rounds:
             ranks = scratch.keep(ranks, "ranks")
     flows.unpersist()
