@@ -20,7 +20,7 @@ def _vectors(points: DataFrame) -> DataFrame:
     return points.withColumn("_x", array_to_vector("x"))
 
 
-SAMPLE = 20_000  # rows that starting centres are drawn from; the fit itself uses every row
+SAMPLE = 8_000  # rows that starting centres are drawn from; the fit itself uses every row
 
 
 def kmeans_searches(points: DataFrame, ks: list[int], runs: int, most: int = 10_000, seed: int = 42, sample: int = SAMPLE) -> dict[int, many_means.Run]:
