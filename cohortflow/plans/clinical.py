@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortflow.functions import ranks
 from cohortflow.operators import cohorts, comorbidity, normalise
 
 from . import views
@@ -235,9 +236,7 @@ def confusion_metrics(spark, sf_dir):
 
 @query("WITH d AS (SELECT n_chars AS x, quality AS y FROM documents JOIN labels USING (doc_id)), c AS (SELECT x, sum(y) AS p, count(*) - sum(y) AS q FROM d GROUP BY x), r AS (SELECT p, q, coalesce(sum(q) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c) SELECT round(CAST(sum(p * (below + q / 2.0)) / (CAST(sum(p) AS DOUBLE) * sum(q)) AS DOUBLE), 6) AS auc FROM r")
 def roc_auc(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     d = views.table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(views.table(spark, sf_dir, "labels"), "doc_id")
     c = d.groupBy("n_chars").agg(F.sum("quality").alias("p"), (F.count(F.lit(1)) - F.sum("quality")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return c.withColumn("below", below).agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p").cast("double") * F.sum("q")), 6).alias("auc"))
+    below = ranks.running(c, "n_chars", "q")
+    return below.agg(F.round(F.sum(F.col("p") * (F.col("before") + F.col("q") / 2)) / (F.sum("p").cast("double") * F.sum("q")), 6).alias("auc"))

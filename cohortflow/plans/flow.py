@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortflow.functions import ranks
-from cohortflow.operators import attributions, clusters, federated, models, neighbours, normalise, processes, search, solvers, splits
+from cohortflow.operators import attributions, clusters, federated, halo, models, neighbours, normalise, processes, search, smoothing, solvers, splits
 from cohortflow.operators import trajectories as T
 
 from . import process, searches, vectors, views
@@ -95,10 +95,30 @@ def return_to_go(spark, sf_dir):
 
 @query(f"WITH {views.PANEL} SELECT icustayid, bloc, round(sum(value) OVER w, 6) AS total, round(avg(value) OVER (PARTITION BY icustayid ORDER BY bloc ROWS BETWEEN 49999 PRECEDING AND CURRENT ROW), 6) AS moving FROM panel WINDOW w AS (PARTITION BY icustayid ORDER BY bloc)")
 def running_values(spark, sf_dir):
-    """Cumulative sum, and the mean of the last 50,000 values of a series."""
-    order = Window.partitionBy("icustayid").orderBy("bloc")
-    total, moving = F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.avg("value").over(order.rowsBetween(-49_999, 0))
-    return views.panel(spark, sf_dir).select("icustayid", "bloc", F.round(total, 6).alias("total"), F.round(moving, 6).alias("moving"))
+    """Cumulative sum, and the mean of the last 50,000 values of a series; in blocks of positions, so that no series is one task."""
+    rows = halo.numbered(views.panel(spark, sf_dir).select("icustayid", "bloc", "value"), "icustayid", "bloc")
+    found = halo.running_sum(halo.moving_mean(rows, "value", 50_000), "value")
+    return found.select("icustayid", "bloc", F.round("total", 6).alias("total"), F.round("moving", 6).alias("moving"))
+
+
+@query(f"""WITH {views.PANEL}, m AS (SELECT icustayid, bloc, avg(value) OVER (PARTITION BY icustayid ORDER BY bloc ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m FROM panel),
+ c AS (SELECT icustayid, bloc, m, abs((m - lag(m) OVER w) / nullif(lag(m) OVER w, 0)) AS d FROM m WHERE bloc % 5 = 0 WINDOW w AS (PARTITION BY icustayid ORDER BY bloc)),
+ f AS (SELECT icustayid, min(bloc) AS stopped FROM c WHERE d < 0.05 GROUP BY icustayid)
+ SELECT i.icustayid, f.stopped, round(m, 6) AS moving, round(d, 6) AS change FROM (SELECT DISTINCT icustayid FROM panel) i LEFT JOIN f USING (icustayid) LEFT JOIN c ON c.icustayid = f.icustayid AND c.bloc = f.stopped""")
+def moving_stop(spark, sf_dir):
+    """Where the mean of a stay's last 10 values, looked at every 5 steps, changes by under 5 per cent for the first time."""
+    rows = halo.numbered(views.panel(spark, sf_dir).select("icustayid", "bloc", "value"), "icustayid", "bloc")
+    return halo.settled(rows, "value", 10, 5, 0.05, ["icustayid"]).select("icustayid", "stopped", F.round("moving", 6).alias("moving"), F.round("change", 6).alias("change"))
+
+
+@query(f"""WITH {views.PANEL}, d AS (SELECT a.icustayid, a.bloc, z.bloc AS near, rank() OVER (PARTITION BY a.icustayid, a.bloc ORDER BY abs(z.bloc - a.bloc)) AS place
+ FROM panel a JOIN panel z ON z.icustayid = a.icustayid AND z.event_type = 'purchase') SELECT icustayid, bloc, near FROM d WHERE place <= 3""")
+def nearest_purchases(spark, sf_dir):
+    """For each step of a stay the 3 nearest steps of a kind, with those that tie with the third."""
+    panel = views.panel(spark, sf_dir).select("icustayid", "bloc", (F.col("event_type") == "purchase").cast("double").alias("_r"))
+    rows = halo.numbered(panel, "icustayid", "bloc")
+    series = rows.where("_i = 1").select("_series", "icustayid")
+    return smoothing.masked_neighbours(rows, 3).join(series, "_series").select("icustayid", F.col("_i").alias("bloc"), "near")
 
 
 _N = "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END - 0.5 AS flag, ln(0.1 + l_discount) AS dose, CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) AS e, ln(0.1 + l_tax) AS t FROM lineitem"

@@ -182,7 +182,23 @@ def relative_vi(spark, sf_dir):
     return found.select("s", "best", F.round("v", 6).alias("v"), F.round("gain", 6).alias("average_reward")).distinct()
 
 
-@query()
+def _smooth_sql(span: int, rounds: int) -> str:
+    """Every pair of the 100 bins, once a round; fits by normal equations."""
+    steps, power = [], lambda p, y="1": f"sum(w * pow(x, {p}) * {y})"
+    sums = ", ".join([*(f"{power(p)} AS m{p}" for p in range(5)), *(f"{power(p, 'y')} AS t{p}" for p in range(3)), "sum(CASE WHEN w > 1e-12 THEN 1 ELSE 0 END) AS counted"])
+    for k in range(rounds + 1):
+        steps.append(f"""p{k} AS MATERIALIZED (SELECT a.i, z.i - a.i AS x, z.y, z.r, z.i - greatest(1, least(a.i - a.held // 2, a.n - a.held + 1)) BETWEEN 0 AND a.held - 1 AS inside, a.held FROM r{k} a, r{k} z),
+ q{k} AS (SELECT *, bool_or(inside AND r <= 0) OVER (PARTITION BY i) AND max(r) OVER (PARTITION BY i) > 0 AS spoilt, rank() OVER (PARTITION BY i, r > 0 ORDER BY abs(x)) AS place FROM p{k}),
+ d{k} AS (SELECT i, x / {span}.0 AS x, y, r, abs(x) / greatest(max(abs(x)) OVER (PARTITION BY i), 1.0) AS d FROM q{k} WHERE CASE WHEN spoilt THEN r > 0 AND place <= held ELSE inside END),
+ w{k} AS (SELECT i, x, y, r * CASE WHEN max(pow(1 - pow(d, 3), 3)) OVER (PARTITION BY i) < pow(2, -52) THEN 1 ELSE pow(1 - pow(d, 3), 3) END AS w FROM d{k}),
+ c{k} AS MATERIALIZED (SELECT i, coalesce(CASE WHEN counted >= 3 THEN (t0 * (m2 * m4 - m3 * m3) + t1 * (m2 * m3 - m1 * m4) + t2 * (m1 * m3 - m2 * m2))
+ / (m0 * (m2 * m4 - m3 * m3) + m1 * (m2 * m3 - m1 * m4) + m2 * (m1 * m3 - m2 * m2)) WHEN m0 > 0 THEN t0 / m0 END, y) AS c FROM (SELECT i, {sums} FROM w{k} GROUP BY i) JOIN (SELECT i, y FROM r{k}) USING (i)),
+ r{k + 1} AS MATERIALIZED (SELECT i, n, held, y, CASE WHEN coalesce(u, 0) < 1 THEN pow(1 - pow(coalesce(u, 0), 2), 2) ELSE 0 END AS r FROM (SELECT i, n, held, y, abs(y - c) / nullif(6 * greatest(median(abs(y - c)) OVER (), 1e8 * pow(2, -52) * max(abs(y)) OVER ()), 0) AS u FROM r{k} JOIN c{k} USING (i)))""")
+    return f"""WITH cb AS MATERIALIZED ({process.SQL["calibration_bins"]}), b AS (SELECT bin, mean AS y, row_number() OVER (ORDER BY bin) AS i, count(*) OVER () AS n FROM cb WHERE mean IS NOT NULL),
+ r0 AS MATERIALIZED (SELECT i, n, least({2 * (span // 2) + 1}, n) AS held, y, 1.0::DOUBLE AS r FROM b), {", ".join(steps)} SELECT cb.bin, cb.mean, round(c, 6) AS smooth FROM cb LEFT JOIN b USING (bin) LEFT JOIN c{rounds} USING (i)"""
+
+
+@query(_smooth_sql(30, 5))
 def smoothed_curve(spark, sf_dir):
     bins = process.calibration_bins(spark, sf_dir).withColumn("series", F.lit(0))
     return smoothing.smooth(bins, "series", "bin", "mean", 30).select("bin", "mean", F.round("smooth", 6).alias("smooth"))
