@@ -66,7 +66,7 @@ def settled(rows: DataFrame, value: str, span: int, every: int, limit: float, ke
     stopped is the place of the first look that changes by under ``limit``, moving and change are those of that look; all are null for a series that does not settle or has no look.
     """
     means = moving_mean(rows, value, span, "_mean", block)
-    looks = means.where(F.col("_i") % every == 0).select("_series", (F.col("_i") / every).cast("long").alias("_look"), "_i", "_mean")
+    looks = means.where(F.col("_i") % every == 0).select("_series", (F.col("_i") / every).cast("long").alias("_look"), "_i", "_mean").checkpoint()  # read twice
     old = looks.select("_series", (F.col("_look") + 1).alias("_look"), F.col("_mean").alias("_old"))  # by equal keys, as the looks of a series have no bound
     change = F.abs(F.try_divide(F.col("_mean") - F.col("_old"), F.col("_old")))
     stops = looks.join(old, ["_series", "_look"]).withColumn("_change", change).where(F.col("_change") < limit)
