@@ -55,6 +55,16 @@ class Scratch:
                 store.delete(found.getPath(), True)
 
 
+def steady_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark``, except that plans stay as they were made: loops of many small joins run as few jobs there."""
+    steady = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if steady.conf.isModifiable(key):
+            steady.conf.set(key, value)
+    steady.conf.set("spark.sql.adaptive.enabled", "false")
+    return steady
+
+
 def semi(df: DataFrame, few: DataFrame, key: str, most: int = 1_000_000, join: str = "left_semi") -> DataFrame:
     """Rows of df whose key is in ``few`` (a written table of ids, and little else): a broadcast of ``most`` rows at most, a shuffled join beyond."""
     return df.join(F.broadcast(few) if few.count() <= most else few, key, join)

@@ -152,3 +152,15 @@ def test_hubs_are_parted(spark, monkeypatch):
 def test_sums_of_weights_fit_a_long():
     assert language_model.unit_of(1e9) == language_model.UNIT
     assert all(language_model.unit_of(n) * n * language_model.MOST_WEIGHT <= 2.0**62 for n in (1e11, 4.7e12, 1e16))
+
+
+def test_rounds_of_ranks_are_few_jobs(spark):
+    """Each job of a round keeps plans, threads and broadcasts on the driver; the session's own settings stay."""
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    spark.sparkContext.setJobGroup("ranks", "rounds")
+    try:
+        assert url_filter.judge_urls(df).count() == len(PAGES)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("ranks")
+    assert len(jobs) < 2 * url_filter.ROUNDS and spark.conf.get("spark.sql.adaptive.enabled") == "true"
