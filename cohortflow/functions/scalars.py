@@ -32,3 +32,9 @@ def digest_uniform(*keys: Column | str, seed: int = 0) -> Column:
     text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
+
+def exact_mean(c: Column) -> Column:
+    """The mean of a group of doubles, the same for any order and partitioning of its rows: values of up to 9 decimals are added as decimals. A group with others gets avg."""
+    short = c.try_cast("decimal(28,9)")
+    short = F.when(short.cast("double") == c, short)
+    return F.when(F.count(short) == F.count(c), F.sum(short).cast("double") / F.nullif(F.count(c), F.lit(0))).otherwise(F.avg(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortflow.functions import ranks
+from cohortflow.functions import ranks, scalars
 from cohortflow.operators import trajectories as T
 
 from . import views
@@ -254,8 +254,9 @@ def calibration_bins(spark, sf_dir):
  h AS (SELECT y90, CASE WHEN v = 100 THEN 39 ELSE CAST(floor((v + 100) / 5) AS BIGINT) END AS bin, count(*) AS n FROM m WHERE v BETWEEN -100 AND 100 GROUP BY 1, 2)
  SELECT n.y90, g.bin, -100.0::DOUBLE + 5 * g.bin AS low, coalesce(h.n, 0) AS n, round(coalesce(h.n, 0) / CAST(all_n AS DOUBLE), 6) AS share FROM n CROSS JOIN (SELECT unnest(range(40)) AS bin) g LEFT JOIN h ON h.y90 = n.y90 AND h.bin = g.bin""")
 def outcome_hist(spark, sf_dir):
-    """By outcome: 40 bins between the edges -100 and 100, the last closed on both sides, as shares of all stays of the outcome."""
-    m = views.panel(spark, sf_dir).groupBy("icustayid").agg(F.max("y90").alias("y90"), (2 * F.avg("value") - 100).alias("v"))
+    """By outcome: 40 bins between the edges -100 and 100, the last closed on both sides, as shares of all stays of the outcome. Means are exact, so a stay on an edge
+    falls in the same bin however its rows are dealt."""
+    m = views.panel(spark, sf_dir).groupBy("icustayid").agg(F.max("y90").alias("y90"), (2 * scalars.exact_mean(F.col("value")) - 100).alias("v"))
     return T.histogram(m, "v", ["y90"], -100.0, 100.0, 40).select("y90", "bin", "low", "n", F.round("share", 6).alias("share"))
 
 
