@@ -248,11 +248,11 @@ STARTS, UPLOADED = 10, 20  # starts a site; rounds of the SQL, after which every
 
 
 def _uploads(spark, sf_dir):
-    """Ten centres a site by k-means, the best of ten starts: start r are the site's points of places 10 r to 10 r + 9."""
+    """Ten centres a site by k-means, the best of ten starts: start r are the site's points of places 10 r to 10 r + 9 by id, whatever the ids are."""
     points = views.features(spark, sf_dir).checkpoint()
-    place = (F.row_number().over(Window.partitionBy("site").orderBy("id")) - 1).cast("long")
-    first = points.where(F.col("id") < 40 * STARTS).select("site", place.alias("place"), F.col("x").alias("c")).where(F.col("place") < 10 * STARTS)
-    starts = first.select("site", F.floor(F.col("place") / 10).alias("start"), (F.col("place") % 10).alias("k"), "c")
+    first = points.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("id"))).where(F.col("place") <= 10 * STARTS)  # cut in each task first
+    place = (F.col("place") - 1).cast("long")
+    starts = first.select("site", F.floor(place / 10).alias("start"), (place % 10).alias("k"), F.col("x").alias("c"))
     return points, federated.site_lloyd(points, starts, threshold=1e-12).checkpoint()
 
 

@@ -32,3 +32,14 @@ def test_outcome_hist_keeps_means_on_an_edge(spark, tmp_path):
     events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
     got = {(r["y90"], r["bin"]): r["n"] for r in process.outcome_hist(spark, str(tmp_path)).collect() if r["n"]}
     assert got == {(0, 16): 32, (1, 16): 8}
+
+
+def test_uploads_do_not_hang_on_the_numbering_of_rows(spark, tmp_path):
+    from cohortflow.plans import flow
+
+    x = np.random.default_rng(5).standard_normal((360, 4)).tolist()
+    found = []
+    for name, step in (("dense", 1), ("sparse", 1_000)):  # 1,000 % 3 is 1: sites and order stay
+        spark.createDataFrame([(i * step, v, 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        found.append(sorted(tuple(r) for r in flow.fed_uploads(spark, f"{tmp_path}/{name}").collect()))
+    assert found[0] == found[1] and len(found[0]) == 30
