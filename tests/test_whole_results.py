@@ -43,3 +43,31 @@ def test_uploads_do_not_hang_on_the_numbering_of_rows(spark, tmp_path):
         spark.createDataFrame([(i * step, v, 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
         found.append(sorted(tuple(r) for r in flow.fed_uploads(spark, f"{tmp_path}/{name}").collect()))
     assert found[0] == found[1] and len(found[0]) == 30
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_judged_subsets_are_those_of_plain_loops(spark, most, monkeypatch):
+    from cohortflow.operators import neighbours
+
+    if most is not None:
+        monkeypatch.setattr(neighbours, "MOST_BYTES", most)  # blocks meet
+    monkeypatch.setattr(neighbours, "STRETCH", 32)
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, (300, 5)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, v, int(i * 7 % 3)) for i, v in enumerate(x.tolist())], "id long, x array<double>, label long")
+    train, held = df.where("id % 6 <> 0"), df.where("id % 6 = 0")
+    masks = [[0, 1, 2, 3, 4], [2], [], [1, 4]]
+    labels, ids = np.arange(300) * 7 % 3, np.arange(300)
+    want = []
+    for m in masks:
+        predicted, odd = {}, 0
+        for q in range(0, 300, 6):
+            d2 = ((x[:, m] - x[q, m]) ** 2).sum(1)
+            order = [i for i in np.lexsort((ids, d2)) if i != q]
+            votes = np.bincount([labels[i] for i in order if i % 6][:5], minlength=3)
+            predicted[q] = int(votes.argmax())
+            odd += sum(labels[i] != labels[q] for i in [i for i in order if i % 6 == 0][:4]) > 2
+        f = [2 * t / (n + t) for c in range(3) for t, n in [(sum(labels[q] == p == c for q, p in predicted.items()), sum(c in (labels[q], p) for q, p in predicted.items()))] if n]
+        want.append(0.98 * (1 - sum(f) / len(f)) + 0.01 * len(m) / 5 + 0.01 * odd / 50 if m else 1.0)
+    judge = neighbours.population_judge(train, held, 5)
+    assert judge(masks) == pytest.approx(want, abs=1e-12) and judge([[2], [1, 4]]) == pytest.approx([want[1], want[3]], abs=1e-12)
