@@ -5,21 +5,26 @@ Points are (id, x array<double>); centres (k, c array<double>) are few and are b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-MOST_CENTRES = 20_000
+MOST_CENTRES = 20_000  # in one array
+MOST_BYTES = 64 << 20  # of centres sent to every task
+DISTANCES = 1 << 18  # distances that are held at once, few enough for a cache
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
 
-def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """points with k and d2 of the nearest centre, the smaller k of equals.
-
-    Centres go to each row as arrays of about MOST_CENTRES, one after the other: no pair of a point and a centre becomes a row.
-    """
+def _nearest_of_any_number(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """nearest by column functions: centres go to each row as arrays of about MOST_CENTRES, one after the other, so no pair of a point and a centre becomes a row."""
     parts = max(1, -(-centres.count() // MOST_CENTRES))
     found = []
     rows = points
@@ -33,6 +38,54 @@ def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
     return rows.withColumn("_best", best).select(*points.columns, F.col("_best.k").alias("k"), F.col("_best.d2").alias("d2"))
 
 
+def _closest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest row of c of each row of x, the first of equals, and its squared distance. Products find it; where they leave a second one open, differences decide."""
+    middle = c.mean(0)
+    y, z = x - middle, c - middle
+    d2 = y @ (-2 * z.T) + (z**2).sum(1)
+    k = d2.argmin(1)
+    each, size = np.arange(len(x)), (y**2).sum(1)
+    margin = 1e-12 * (size + (z**2).sum(1).max())
+    open_ = np.flatnonzero(~((d2 <= (d2[each, k] + margin)[:, None]).sum(1) == 1))  # NaN is open, too
+    for row in open_:
+        k[row] = ((x[row] - c) ** 2).sum(1).argmin()
+    return k, ((x - c[k]) ** 2).sum(1)
+
+
+def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """points with k and d2 of the nearest centre, the smaller k of equals. A null x, or one with a null or of another length than the centres, has the
+    smallest k and no d2.
+
+    Centres of MOST_BYTES go to every task, which compares a block of points with all of them at once; more go by column functions.
+    """
+    size = centres.agg(F.count(F.lit(1)), F.min(F.size("c")), F.max(F.size("c"))).first()
+    if not size[0] or size[1] != size[2] or size[1] < 1 or size[0] * size[1] * 8 > MOST_BYTES:
+        return _nearest_of_any_number(points, centres)
+    dims = size[1]
+    table = centres.select("k", F.col("c").cast("array<double>").alias("c")).orderBy("k").toArrow().combine_chunks()
+    names, c = table.column("k").combine_chunks(), table.column("c").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    sent = points.sparkSession.sparkContext.broadcast((names, c))
+    columns = points.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, c = sent.value
+        step = max(1, DISTANCES // len(c))
+        for batch in batches:
+            column = batch.column("_x")
+            fits = pc.fill_null(pc.equal(pc.list_value_length(column), dims), False).to_numpy(zero_copy_only=False).copy()
+            if column.flatten().null_count:
+                fits[pc.list_parent_indices(column).filter(pc.is_null(column.flatten())).to_numpy()] = False
+            x = column.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            k, d2 = np.zeros(len(fits), np.int64), np.zeros(len(fits))
+            if len(x):
+                found = [_closest(x[at : at + step], c) for at in range(0, len(x), step)]
+                k[fits], d2[fits] = (np.concatenate(v) for v in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in columns), names.take(pa.array(k)), pa.array(d2, mask=~fits)], [*columns, "k", "d2"])
+
+    schema = StructType([*points.schema.fields, StructField("k", centres.schema["k"].dataType), StructField("d2", DoubleType())])
+    return points.withColumn("_x", F.col("x").cast("array<double>")).mapInArrow(run, schema)
+
+
 def mean_vectors(df: DataFrame, by: list[str], vector: str = "x", weight: str | None = None) -> DataFrame:
     """by, i, m: the (weighted) mean of each dimension of each group."""
     w = F.col(weight) if weight else F.lit(1.0)

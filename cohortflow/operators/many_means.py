@@ -3,6 +3,9 @@
 A key is one run: the pool of points that it clusters (such as a site) and its centres. In a step the centres of all keys still moving go to the tasks, each task
 adds up k rows of sums for each key with matrix products, one grouped sum puts the tasks' rows together, and keys leave as they settle. So a
 step is one Spark job for all keys, and what is shuffled are sums of fixed size, not points.
+
+Fits of many steps over points of HELD_BYTES at most, equal points counted once, are one job instead: every task gets the points and fits whole keys, where bounds on the
+distances (Hamerly's, and balls around a point's centre where centres are many) spare most of them. The steps are the same.
 """
 
 from __future__ import annotations
@@ -16,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_BYTES = 64 << 20  # of centres sent to every task at once; more keys step in turns
+HELD_BYTES = 128 << 20  # of points, and of what a fit keeps beside each, that a task holds
+MANY_STEPS = 10  # fits of fewer are not worth sending the points
+FEW_CENTRES = 64  # up to so many, a point is compared with all
 DISTANCES = 1 << 18  # distances that are held at once, few enough for a cache
 
 
@@ -113,6 +119,8 @@ def fit(points: DataFrame, starts: dict[int, tuple[object, np.ndarray]], rounds:
     if max(run.centres.nbytes for run in runs.values()) > MOST_BYTES:
         raise ValueError("too many centres to send to every task")
     points = points.select("pool", F.col("x").cast("array<double>").alias("x"))
+    if rounds >= MANY_STEPS and sum(run.centres.nbytes for run in runs.values()) <= MOST_BYTES and (held := _held(points, dims)) is not None:
+        return _fit_held(points, held, runs, rounds, threshold, furthest)
     moving = dict(runs)
     for done in range(rounds + 1):
         for turn in _turns(moving):
@@ -132,6 +140,145 @@ def fit(points: DataFrame, starts: dict[int, tuple[object, np.ndarray]], rounds:
     return runs
 
 
+class _Bounded:
+    """The nearest centre of each of the points x under centres that move: ``at``; by upper bounds on its distance and lower bounds on the second's."""
+
+    def __init__(self, x: np.ndarray, centres: np.ndarray):
+        self.x, self.slack = x, 1e-7 * (1.0 + float(np.abs(x).max(initial=0.0)))  # over what rounding does to a distance
+        self.at, self.upper, self.lower = np.zeros(len(x), np.int64), np.full(len(x), np.inf), np.zeros(len(x))
+        self._compare(np.arange(len(x)), centres)
+
+    def _compare(self, rows: np.ndarray, centres: np.ndarray) -> None:
+        """Rows against all centres."""
+        step, middle = max(1, DISTANCES // len(centres)), centres.mean(0)
+        moved = centres - middle
+        doubled, lengths = -2 * np.ascontiguousarray(moved.T), (moved**2).sum(1)
+        for i in range(0, len(rows), step):
+            own = rows[i : i + step]
+            x = self.x[own] - middle
+            self._settle(own, x @ doubled + lengths, (x**2).sum(1), None, np.inf)
+
+    def _settle(self, own: np.ndarray, d2: np.ndarray, length: np.ndarray, names: np.ndarray | None, beyond) -> None:
+        each = np.arange(len(own))
+        k = d2.argmin(1)
+        best = d2[each, k]
+        d2[each, k] = np.inf
+        second = d2.min(1) if d2.shape[1] > 1 else np.full(len(own), np.inf)
+        self.at[own] = k if names is None else names[k]
+        self.upper[own] = np.sqrt(np.maximum(best + length, 0.0))
+        self.lower[own] = np.minimum(np.sqrt(np.maximum(second + length, 0.0)), beyond)
+
+    def move(self, old: np.ndarray, new: np.ndarray) -> None:
+        gaps = np.sqrt(((new - old) ** 2).sum(1))
+        far = int(gaps.argmax())
+        rest = float(np.delete(gaps, far).max(initial=0.0))
+        self.upper += gaps[self.at]
+        self.lower -= np.where(self.at == far, rest, gaps[far])
+        z = new - new.mean(0)
+        lengths = (z**2).sum(1)
+        apart = np.sqrt(np.maximum(lengths[:, None] - 2 * z @ z.T + lengths[None, :], 0.0))
+        np.fill_diagonal(apart, np.inf)
+        half = apart.min(1) / 2 - self.slack * 10  # centres lie apart by more than their products' rounding, or are compared
+        rows = np.flatnonzero(self.upper + self.slack >= np.maximum(self.lower, half[self.at]))
+        if not len(rows):
+            return
+        self.upper[rows] = np.sqrt(((self.x[rows] - new[self.at[rows]]) ** 2).sum(1))
+        rows = rows[self.upper[rows] + self.slack >= np.maximum(self.lower[rows], half[self.at[rows]])]
+        if len(new) <= FEW_CENTRES:
+            self._compare(rows, new)
+            return
+        np.fill_diagonal(apart, 0.0)
+        rows = rows[np.argsort(self.at[rows], kind="stable")]
+        now = self.at[rows]
+        edges = np.flatnonzero(np.diff(now, prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(rows)], strict=True):
+            centre, group = int(now[a]), rows[a:b]
+            radius = 2.2 * float(self.upper[group].max()) + self.slack * 10
+            names = np.flatnonzero(apart[centre] <= radius)
+            z = new[names] - new[centre]
+            doubled, lengths = -2 * np.ascontiguousarray(z.T), (z**2).sum(1)
+            step = max(1, DISTANCES // len(names))
+            for i in range(0, len(group), step):
+                own = group[i : i + step]
+                y = self.x[own] - new[centre]
+                self._settle(own, y @ doubled + lengths, (y**2).sum(1), names, radius - self.slack * 10 - self.upper[own])
+
+
+def _sums(x: np.ndarray, weight: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Rows (weight, sums) of the centres."""
+    return np.stack([np.bincount(at, weight, k), *(np.bincount(at, weight * v, k) for v in x.T)], axis=1)
+
+
+def _fitted(x: np.ndarray, weight: np.ndarray, centres: np.ndarray, rounds: int, threshold: float, furthest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Centres, sizes, inertia and changes of one key's fit, all in this task."""
+    changes: list[float] = []
+    near, k = _Bounded(x, centres), len(centres)
+    before, sums = near.at.copy(), _sums(x, weight, near.at, k)
+    for done in range(rounds):
+        if changes and changes[-1] <= threshold:
+            break
+        moved = np.flatnonzero(before != near.at)
+        if len(moved) * 4 > len(x) or not done % 32:  # anew now and then, so that rounding does not add up
+            sums = _sums(x, weight, near.at, k)
+        elif len(moved):
+            sums = sums + _sums(x[moved], weight[moved], near.at[moved], k) - _sums(x[moved], weight[moved], before[moved], k)
+        before[moved] = near.at[moved]
+        n = np.rint(sums[:, :1])
+        new = np.where(n > 0, sums[:, 1:] / np.maximum(n, 1), centres)
+        gap = new - centres
+        changes.append(float(np.sqrt((gap**2).sum(1)).max() if furthest else np.abs(gap).mean()))
+        near.move(centres, new)
+        centres = new
+    return centres, np.bincount(near.at, weight, k), np.bincount(near.at, weight * ((x - centres[near.at]) ** 2).sum(1), k), changes
+
+
+def _held(points: DataFrame, dims: int) -> dict | None:
+    """pool to its different points and their numbers, if a task can hold them; else None."""
+    most = HELD_BYTES // ((dims + 4) * 8)
+    if points.limit(most + 1).count() > most:
+        points = points.groupBy("pool", "x").agg(F.count(F.lit(1)).alias("n"))
+        if points.count() > most:
+            return None
+    else:
+        points = points.withColumn("n", F.lit(1).cast("long"))
+    table = points.toArrow().combine_chunks()
+    if not len(table):
+        return {}
+    pool, x, n = table.column("pool"), matrix(table.column("x").combine_chunks(), dims), table.column("n").to_numpy().astype(np.float64)
+    codes = pool.combine_chunks().dictionary_encode()
+    names, codes, found = codes.dictionary.to_pylist(), codes.indices.to_numpy(), {}
+    for i, name in enumerate(names):
+        rows = np.flatnonzero(codes == i) if len(names) > 1 else slice(None)
+        own, weight = x[rows], n[rows]
+        order = np.lexsort(own.T)  # equal points beside each other, and the same order for any partitioning
+        own, weight = own[order], weight[order]
+        first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(1)]))
+        found[name] = (np.ascontiguousarray(own[first]), np.add.reduceat(weight, first))
+    return found
+
+
+def _fit_held(points: DataFrame, held: dict, runs: dict[int, Run], rounds: int, threshold: float, furthest: bool) -> dict[int, Run]:
+    """All keys fitted in one job, a key in a task."""
+    spark, keys = points.sparkSession, list(runs)
+    sent = spark.sparkContext.broadcast((held, [(runs[key].pool, runs[key].centres) for key in keys]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, starts = sent.value
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                pool, centres = starts[i]
+                none = (np.zeros((0, centres.shape[1])), np.zeros(0))
+                centres, sizes, inertia, changes = _fitted(*points.get(pool, none), centres, rounds, threshold, furthest)
+                yield pa.record_batch([pa.array([i]), *(pa.array([np.asarray(v, float)]) for v in (centres.ravel(), sizes, inertia, changes))], ["i", "c", "n", "d", "changes"])
+
+    found = spark.range(0, len(keys), 1, len(keys)).mapInArrow(run, "i long, c array<double>, n array<double>, d array<double>, changes array<double>").collect()
+    sent.destroy()
+    for r in found:
+        out = runs[keys[r["i"]]]
+        out.centres, out.sizes, out.inertia, out.changes = np.array(r["c"], float).reshape(out.centres.shape), np.array(r["n"]).astype(np.int64), np.array(r["d"], float), list(r["changes"])
+    return runs
+
+
 def seeded_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     """k rows of the sample by k-means++: each next one drawn in proportion to its squared distance from those chosen; with fewer different rows some repeat."""
     rng = np.random.default_rng(seed)

@@ -71,3 +71,47 @@ def test_judged_subsets_are_those_of_plain_loops(spark, most, monkeypatch):
         want.append(0.98 * (1 - sum(f) / len(f)) + 0.01 * len(m) / 5 + 0.01 * odd / 50 if m else 1.0)
     judge = neighbours.population_judge(train, held, 5)
     assert judge(masks) == pytest.approx(want, abs=1e-12) and judge([[2], [1, 4]]) == pytest.approx([want[1], want[3]], abs=1e-12)
+
+
+def _plain_fit(x, c, rounds, threshold):
+    changes = []
+    for done in range(rounds + 1):
+        d2 = ((x[:, None] - c[None]) ** 2).sum(2)
+        k = d2.argmin(1)
+        n = np.bincount(k, minlength=len(c))
+        if (changes and changes[-1] <= threshold) or done == rounds:
+            return c, n, np.bincount(k, d2[np.arange(len(x)), k], len(c)), changes
+        new = np.where(n[:, None] > 0, np.stack([np.bincount(k, v, len(c)) for v in x.T], 1) / np.maximum(n, 1)[:, None], c)
+        changes.append(float(np.sqrt(((new - c) ** 2).sum(1)).max()))
+        c = new
+
+
+def test_held_fits_are_lloyds_steps(spark, monkeypatch):
+    from cohortflow.operators import many_means
+
+    rng = np.random.default_rng(8)
+    pools = {0: rng.standard_normal((600, 3)) + 1e3, 1: rng.integers(0, 3, (400, 3)).astype(float)}  # far from 0, and many copies and ties
+    df = spark.createDataFrame([(p, v) for p, x in pools.items() for v in x.tolist()], "pool long, x array<double>").repartition(3)
+    starts = {n: (p, pools[p][rng.choice(len(pools[p]), k, replace=False)]) for n, (p, k) in enumerate([(0, 4), (0, 90), (1, 4), (0, 1)])}
+    starts[9] = (7, np.zeros((2, 3)))  # a pool without points
+    jobs = []
+    monkeypatch.setattr(many_means, "_step", lambda *a, **b: jobs.append(1))
+    runs = many_means.fit(df, starts, 200, 1e-4, furthest=True)
+    assert not jobs  # no job a step
+    for n, (p, c) in starts.items():
+        if n != 9:
+            centres, sizes, inertia, changes = _plain_fit(pools[p], c, 200, 1e-4)
+            assert runs[n].sizes.tolist() == sizes.tolist() and len(runs[n].changes) == len(changes)
+            assert np.allclose(runs[n].centres, centres, atol=1e-9) and np.allclose(runs[n].inertia, inertia, atol=1e-8)
+    assert runs[9].sizes.tolist() == [0, 0] and runs[9].centres.tolist() == [[0.0] * 3] * 2
+
+
+def test_nearest_in_tasks_is_that_of_column_functions(spark):
+    from cohortflow.operators import clusters
+
+    rng = np.random.default_rng(9)
+    x = [*rng.integers(0, 5, (300, 3)).astype(float).tolist(), None, [1.0], [1.0, None, 2.0]]
+    points = spark.createDataFrame([(i, v, "a") for i, v in enumerate(x)], "id long, x array<double>, site string")
+    centres = spark.createDataFrame([(k, v) for k, v in zip([9, 3, 7, 5], [[1.0, 1.0, 1.0], [3.0, 1.0, 2.0], [3.0, 1.0, 2.0], [0.0, 4.0, 4.0]])], "k int, c array<double>")
+    got, want = (sorted(tuple(r)[0:1] + tuple(r)[2:] for r in f(points, centres).collect()) for f in (clusters.nearest, clusters._nearest_of_any_number))
+    assert got == want and clusters.nearest(points, centres).schema["k"].dataType.simpleString() == "int"
