@@ -115,3 +115,25 @@ def test_nearest_in_tasks_is_that_of_column_functions(spark):
     centres = spark.createDataFrame([(k, v) for k, v in zip([9, 3, 7, 5], [[1.0, 1.0, 1.0], [3.0, 1.0, 2.0], [3.0, 1.0, 2.0], [0.0, 4.0, 4.0]])], "k int, c array<double>")
     got, want = (sorted(tuple(r)[0:1] + tuple(r)[2:] for r in f(points, centres).collect()) for f in (clusters.nearest, clusters._nearest_of_any_number))
     assert got == want and clusters.nearest(points, centres).schema["k"].dataType.simpleString() == "int"
+
+
+@pytest.mark.parametrize("block", [None, 13])
+def test_silhouettes_shuffle_no_pairs(spark, block, monkeypatch):
+    from cohortflow.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "against_blocks", None)  # rows are not dealt to blocks of others
+    monkeypatch.setattr(neighbours, "STRETCH", 16)
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 3, (90, 3)) + 100.0 + 0.1 * (np.arange(90)[:, None] > 60)  # copies, far from 0, not in single precision
+    labels = [int(v) for v in np.where(np.arange(90) == 5, 9, np.arange(90) * 5 % 4)]  # one alone
+    df = spark.createDataFrame([(i * 10, v, k, 1) for i, (v, k) in enumerate(zip(x.tolist(), labels))], "id long, x array<double>, label int, same long")
+    d, k = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), np.array(labels)
+    want = []
+    for i in range(90):
+        a = d[i][k == k[i]].sum() / max(1, (k == k[i]).sum() - 1)
+        b = min(d[i][k == c].mean() for c in set(labels) - {labels[i]})
+        want.append(0.0 if (k == k[i]).sum() == 1 else (b - a) / max(a, b))
+    got = sorted((r["id"], r["label"], r["s"]) for r in neighbours.silhouettes(df, block=block).collect())
+    assert [g[:2] for g in got] == [(10 * i, c) for i, c in enumerate(labels)] and [g[2] for g in got] == pytest.approx(want, abs=1e-10)
+    means = neighbours.mean_silhouettes(df, ["label", "same"], **({"block": block} if block else {}))
+    assert means["label"] == pytest.approx(sum(want) / 90, abs=1e-10) and means["same"] == 0.0
