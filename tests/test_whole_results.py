@@ -137,3 +137,14 @@ def test_silhouettes_shuffle_no_pairs(spark, block, monkeypatch):
     assert [g[:2] for g in got] == [(10 * i, c) for i, c in enumerate(labels)] and [g[2] for g in got] == pytest.approx(want, abs=1e-10)
     means = neighbours.mean_silhouettes(df, ["label", "same"], **({"block": block} if block else {}))
     assert means["label"] == pytest.approx(sum(want) / 90, abs=1e-10) and means["same"] == 0.0
+
+
+def test_choice_of_k_shuffles_no_pairs(spark, monkeypatch):
+    from cohortflow.operators import models, neighbours
+
+    monkeypatch.setattr(neighbours, "against_blocks", None)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.standard_normal((40, 4)) * 0.1 + c for c in (0.0, 5.0, 10.0, 15.0)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, x array<double>")
+    [(k, score)] = models.clusters_by_silhouette(df, 160, 4)
+    assert k == 4 and score > 0.9
